@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup
+from sievegrid.llm import exact_dedup, gif_media
 from sievegrid.llm.common import table
 
 
@@ -13,7 +14,30 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    shown = gif_media.gif_frames(gif_media.text_to_gif(docs), canvas=False).withColumn("payload", gif_media.payload_of("frames"))
+    bins = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 64), lambda got, f: F.zip_with(got, f["histogram"], lambda a, b: a + b))
+    feature = F.format_string(
+        "frames=%d;ms=%d;bins=%s",
+        F.size("frames"),
+        F.aggregate("frames", F.lit(0), lambda got, f: got + f["delay_ms"]),
+        F.array_join(F.filter(F.transform(bins, lambda n, i: F.when(n > 0, F.concat_ws(":", i, n))), lambda x: x.isNotNull()), ","),
+    )
+    return shown.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 QUERIES = {
+    "op6_gif_media": op6_gif_media,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
