@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media
+from sievegrid.llm import exact_dedup, gif_media, packing
 from sievegrid.llm.common import table
 
 
@@ -36,7 +36,19 @@ def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_bpe_path() -> str:
+    """The public tokenizer's file, a parameter of the operators that tokenise."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
 QUERIES = {
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op6_gif_media": op6_gif_media,
     "op9_exact_dedup": op9_exact_dedup,
 }
