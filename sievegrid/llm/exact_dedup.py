@@ -26,6 +26,8 @@ from sievegrid.llm.radix import PatriciaTrie
 
 #: Bytes of distinct text a task holds before it spills or hands on what it has folded.
 TRIE_BYTES = 64 << 20
+#: What a row counts besides its text, so that many empty or short texts are bounded as well.
+ROW_BYTES = 400
 _FOLDED = [("id", None), ("row", "long"), ("stand", "long"), ("mark", "long"), ("mark2", "int"), ("body", "binary"), ("best_chars", "long"), ("best_id", None), ("best_row", "long"), ("n", "long")]
 _DROP = b" \t\n\x0b\x0c\r"
 
@@ -83,7 +85,7 @@ def _folder(budget: int):
                 body = (text or b"").translate(None, _DROP)
                 trie.put(body, [(chars, id_, row), 1, [row]])
                 rows.append((id_, row, mark, mark2))
-                held += len(body)
+                held += len(body) + ROW_BYTES
                 row += 1
                 if held > budget:
                     yield from emit()
