@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,49 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def null_safe(column: Column, placeholder: str = "") -> Column:
     return F.coalesce(column, F.lit(placeholder))
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base = f"_{base}"
+    return base
+
+
+def row_marks(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell a row of this id and text; rows that repeat whole share them."""
+    return F.xxhash64(id_col, text_col), F.xxhash64(F.lit("/"), F.col(text_col), F.lit("/"), F.col(id_col))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about so many bytes of that column, one row at least."""
+    for batch in batches:
+        at, held = 0, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for i, size in enumerate(sizes):
+            held += size
+            if held >= most or i == len(sizes) - 1:
+                yield batch.slice(at, i + 1 - at)
+                at, held = i + 1, 0
+
+
+def word_parts(text: bytes, overlap: int = 0, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of words of a text, each of about so many bytes, with the place of its first word.
+
+    A run begins with the last ``overlap`` words of the run before it. bytes.split() parts at
+    exactly the six ASCII white-space characters.
+    """
+    if len(text) <= most:
+        yield 0, text.split()
+        return
+    at, first, carry = 0, 0, []
+    while at < len(text):
+        end = min(at + most, len(text))
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        words = carry + text[at:end].split()
+        yield first, words
+        carry = words[-overlap:] if overlap else []
+        first += len(words) - len(carry)
+        at = end

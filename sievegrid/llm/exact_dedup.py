@@ -18,17 +18,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import materialise
+from sievegrid.llm.common import fresh, materialise, row_marks
 from sievegrid.llm.radix import PatriciaTrie
 
 #: Bytes of distinct text a task holds before it spills or hands on what it has folded.
 TRIE_BYTES = 64 << 20
 #: What a row counts besides its text, so that many empty or short texts are bounded as well.
 ROW_BYTES = 400
-_FOLDED = [("id", None), ("row", "long"), ("stand", "long"), ("mark", "long"), ("mark2", "int"), ("body", "binary"), ("best_chars", "long"), ("best_id", None), ("best_row", "long"), ("n", "long")]
+_FOLDED = [("id", None), ("row", "long"), ("stand", "long"), ("mark", "long"), ("mark2", "long"), ("body", "binary"), ("best_chars", "long"), ("best_id", None), ("best_row", "long"), ("n", "long")]
 _DROP = b" \t\n\x0b\x0c\r"
 
 
@@ -69,7 +69,7 @@ def _folder(budget: int):
                         pa.array([x[1] for x in part], pa.int64()),
                         pa.array([stands[x[1]] for x in part], pa.int64()),
                         pa.array([x[2] for x in part], pa.int64()),
-                        pa.array([x[3] for x in part], pa.int32()),
+                        pa.array([x[3] for x in part], pa.int64()),
                         pa.array([g[0] for g in got], pa.binary()),
                         pa.array([g[1][0] for g in got], pa.int64()),
                         pa.array([g[1][1] for g in got], schema.field(0).type),
@@ -124,15 +124,10 @@ def _owners(budget: int):
     return own
 
 
-def _marks(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """96 bits that tell a row of this id and text."""
-    return F.xxhash64(id_col, text_col), F.hash(F.col(text_col), F.lit("/"), F.col(id_col))
-
-
 def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per row of df: id, keep_id, group_size, kept, text_sha256, and the marks that tell the row again."""
     kind = df.schema[id_col].dataType.simpleString()
-    mark, mark2 = _marks(id_col, text_col)
+    mark, mark2 = row_marks(id_col, text_col)
     rows = df.select(
         F.col(id_col).alias("id"),
         F.encode(F.col(text_col), "UTF-8").alias("text"),
@@ -153,8 +148,9 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that own their text, with all columns of df."""
-    mark, mark2 = _marks(id_col, text_col)
-    kept = exact_classes(df, id_col, text_col).where("kept").select(F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2"))
-    stays = df.withColumns({"_mark": mark, "_mark2": mark2}).join(kept, ["_mark", "_mark2"], "left_semi")
+    mark, mark2 = row_marks(id_col, text_col)
+    a, b = fresh(df, "mark"), fresh(df, "mark2")
+    kept = exact_classes(df, id_col, text_col).where("kept").select(F.col("mark").alias(a), F.col("mark2").alias(b))
+    stays = df.withColumns({a: mark, b: mark2}).join(kept, [a, b], "left_semi")
     # Rows that repeat whole (same id, same text) match alike: one of them stays.
-    return stays.dropDuplicates(["_mark", "_mark2"]).select(*df.columns)
+    return stays.dropDuplicates([a, b]).select(*df.columns)

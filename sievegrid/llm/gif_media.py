@@ -6,7 +6,7 @@ row by row inside Arrow batches, without a shuffle, so one very long row costs i
 
 Defined results: a null text counts as empty; null media gives null frames; bytes that are no
 readable GIF give null frames too; an empty table gives no rows; other columns pass through,
-and a column that already has the name of an output raises ValueError.
+and an output replaces a column that has its name.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievegrid.llm.common import slices
+
 #: Samples in a row of a frame; payloads are padded to a multiple of it.
 WIDTH = 192
 #: Rows of a frame: 65,280 samples at most, so that a frame's sides fit GIF's 16 bits.
@@ -267,46 +268,28 @@ def decode_gif(data: bytes, canvas: bool = True) -> list[dict]:
         disposal, delay, clear_index = 0, 0, None
 
 
-def _free_name(df: DataFrame, name: str) -> None:
-    if name.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"the table already has a column {name}")
-
-
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about 4 MB of that column, one row at least."""
-    for batch in batches:
-        at, held = 0, 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
-        for i, size in enumerate(sizes):
-            held += size
-            if held >= 4 << 20 or i == len(sizes) - 1:
-                yield batch.slice(at, i + 1 - at)
-                at, held = i + 1, 0
-
-
 def text_to_gif(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """df without its text, with the text's UTF-8 bytes (padded with spaces) stored as a GIF."""
-    _free_name(df.drop(text_col), media_col)
-    rest = [c for c in df.columns if c != text_col]
+    rest = [c for c in df.columns if c not in (text_col, media_col)]
     source = df.select(*rest, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(media_col))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, media_col):
+        for part in slices(batches, media_col):
             media = []
             for text in part.column(media_col).to_pylist():
                 media.append(encode_gif(text.ljust(max(1, -(-len(text) // WIDTH)) * WIDTH, b" ")))
             columns = [*part.columns[:-1], pa.array(media, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return source.mapInArrow(store, T.StructType([*df.drop(text_col).schema.fields, T.StructField(media_col, T.BinaryType())]))
+    return source.mapInArrow(store, T.StructType([*df.select(*rest).schema.fields, T.StructField(media_col, T.BinaryType())]))
 
 
 def gif_frames(df: DataFrame, media_col: str = "media", frames_col: str = "frames", canvas: bool = True) -> DataFrame:
     """df with one more column: the frames of its media. canvas: also keep each shown canvas as RGB."""
-    _free_name(df, frames_col)
+    df = df.drop(frames_col)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, media_col):
+        for part in slices(batches, media_col):
             frames = []
             for data in part.column(media_col).to_pylist():
                 try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, packing
+from sievegrid.llm import exact_dedup, gif_media, packing, substring_dedup
 from sievegrid.llm.common import table
 
 
@@ -47,9 +47,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.drop_repeated_windows(docs)
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op6_gif_media": op6_gif_media,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
