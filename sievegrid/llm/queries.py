@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, packing, substring_dedup
+from sievegrid.llm import exact_dedup, gif_media, packing, simhash_dedup, substring_dedup
 from sievegrid.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring_dedup.drop_repeated_windows(docs)
@@ -56,6 +61,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_gif_media": op6_gif_media,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
