@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, packing, simhash_dedup, substring_dedup
+from sievegrid.llm import exact_dedup, gif_media, packing, quality_rules, simhash_dedup, substring_dedup
 from sievegrid.llm.common import table
 
 
@@ -47,6 +47,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_rules.fit(docs, labels.where(~quality_rules.held_out(F.col("doc_id"))))
+    scored = quality_rules.score(docs, model)
+    return scored.select("doc_id", quality_rules.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -60,6 +67,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_gif_media": op6_gif_media,
