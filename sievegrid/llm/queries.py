@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, packing, quality_rules, simhash_dedup, substring_dedup
+from sievegrid.llm import exact_dedup, gif_media, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup
 from sievegrid.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_links")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_rules.fit(docs, labels.where(~quality_rules.held_out(F.col("doc_id"))))
@@ -67,6 +72,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op5_simhash_dedup": op5_simhash_dedup,
@@ -76,6 +82,34 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": r"""
+        WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        split AS (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM docs),
+        lines AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM split),
+        sets AS (SELECT r, doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM lines),
+        classes AS (
+            SELECT row_number() OVER () AS c, words, len(words) AS n, min((doc_id, r, line_no)) AS first
+            FROM sets WHERE len(words) > 0 GROUP BY words),
+        tokens AS (SELECT c, n, unnest(words) AS w FROM classes WHERE n > 3),
+        ranked AS (
+            SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY df, w) AS place
+            FROM (SELECT *, count(*) OVER (PARTITION BY w) AS df FROM tokens)),
+        heads AS (SELECT * FROM ranked WHERE place <= n - (4 * n + 4) // 5 + 1),
+        pairs AS (
+            SELECT DISTINCT a.c AS a, b.c AS b FROM heads a JOIN heads b ON a.w = b.w AND a.c <> b.c
+            WHERE 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+        links AS (
+            SELECT x.c, y.first < x.first AS late FROM pairs
+            JOIN classes x ON x.c = pairs.a JOIN classes y ON y.c = pairs.b
+            WHERE 9 * len(list_intersect(x.words, y.words)) >= 4 * (x.n + y.n)),
+        judged AS (SELECT c, count(*) AS links, bool_or(late) AS late FROM links GROUP BY c),
+        told AS (
+            SELECT s.r, s.doc_id, coalesce(j.links, 0) AS links,
+                   coalesce(j.late, false) OR (k.c IS NOT NULL AND (s.doc_id, s.r, s.line_no) <> k.first) AS goes
+            FROM sets s LEFT JOIN classes k ON s.words = k.words LEFT JOIN judged j ON j.c = k.c)
+        SELECT doc_id, count(*) AS n_lines, count_if(goes)::BIGINT AS n_removed, sum(links)::BIGINT AS n_links
+        FROM told GROUP BY r, doc_id
+    """,
     "op9_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
