@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup
+from sievegrid.llm import exact_dedup, gif_media, line_dedup, mixing, packing, quality_rules, simhash_dedup, substring_dedup
 from sievegrid.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_rules.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -75,13 +80,48 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op4_mixing": op4_mixing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_gif_media": op6_gif_media,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+
+
+def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topics: int = mixing.TOPICS) -> str:
+    """Raking written out, one step after another, over the table of cells."""
+    dims = ["source", "lang", "topic"]
+    steps, last = [], "cells"
+    for k in range(rounds * 3):
+        d = dims[k % 3]
+        rest = " * ".join(f"f_{x}" for x in dims if x != d)
+        others = ", ".join(f"f_{x}" for x in dims if x != d)
+        steps.append(f"s{k} AS MATERIALIZED (SELECT source, lang, topic, w, total, t_source, t_lang, t_topic, {others}, t_{d} * total / sum(w * {rest}) OVER (PARTITION BY {d}) AS f_{d} FROM {last})")
+        last = f"s{k}"
+    targets = ", ".join(f"g_{d} AS (SELECT {d}, sum(n_tokens) ^ {temper} / sum(sum(n_tokens) ^ {temper}) OVER () AS t_{d} FROM measured GROUP BY {d})" for d in dims)
+    return rf"""
+        WITH words AS (SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        longest AS (SELECT *, coalesce(list_max(list_transform(ws, lambda x: {{'n': length(x), 'w': x}})).w, '') AS long FROM words),
+        measured AS (
+            SELECT doc_id, source, lang, 'topic' || (('0x' || substr(md5(long), 1, 4))::INT % {topics}) AS topic,
+                   len(ws)::BIGINT AS n_tokens, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u
+            FROM longest),
+        {targets},
+        cells AS MATERIALIZED (
+            SELECT *, 1.0::DOUBLE AS f_source, 1.0::DOUBLE AS f_lang, 1.0::DOUBLE AS f_topic
+            FROM (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w, sum(sum(n_tokens)) OVER ()::DOUBLE AS total
+                  FROM measured GROUP BY ALL HAVING sum(n_tokens) > 0)
+            JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic)),
+        {", ".join(steps)},
+        fitted AS (SELECT source, lang, topic, f_source * f_lang * f_topic AS f, max(f_source * f_lang * f_topic) OVER () AS top FROM {last}),
+        p AS (SELECT m.*, least(1.0, least(1.0, 1.0 / top) * f) AS probability FROM measured m JOIN fitted USING (source, lang, topic))
+        SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, u < probability AS sampled FROM p
+    """
+
+
 ORACLE_SQL = {
+    "op4_mixing": _mixing_sql(),
     "op2_line_dedup": r"""
         WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS text FROM documents),
         split AS (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM docs),
