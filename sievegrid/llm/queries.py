@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, line_dedup, mixing, packing, quality_rules, simhash_dedup, substring_dedup
+from sievegrid.llm import exact_dedup, gif_media, licences, line_dedup, mixing, packing, quality_rules, simhash_dedup, substring_dedup
 from sievegrid.llm.common import table
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in folders source/language/hundreds of their ids."""
+    number = F.col("doc_id").cast("string")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), number)
+    found = licences.scan(table(spark, sf_dir, "documents"), path)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -84,6 +92,7 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_gif_media": op6_gif_media,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_licences": op8_licences,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -120,7 +129,47 @@ def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topi
     """
 
 
+def _licence_sql(threshold: float = licences.THRESHOLD) -> str:
+    """Every line with any term of a template, against every template."""
+    values = ", ".join("('{}', '{}')".format(*x) for x in licences.TEMPLATES.items())
+    return rf"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id // 100) AS folder,
+                   concat_ws('/', source, lang, doc_id // 100, doc_id) AS path FROM documents),
+        n AS (SELECT count(*)::DOUBLE AS n FROM docs),
+        bags AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{licences.TERM}'))) AS term FROM docs),
+        idf AS (SELECT term, 1 + ln((any_value(n) + 1) / (count(*) + 1)) AS idf FROM bags, n GROUP BY term),
+        templates(licence, words) AS (VALUES {values}),
+        tf AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(words), '{licences.TERM}')) AS term FROM templates) GROUP BY ALL),
+        tw AS (SELECT licence, term, tf * coalesce(idf, 1 + ln(n + 1)) AS w FROM tf LEFT JOIN idf USING (term), n),
+        tn AS (SELECT licence, sqrt(sum(w * w)) AS norm FROM tw GROUP BY licence),
+        split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs),
+        lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM split),
+        terms AS (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '{licences.TERM}')) AS term FROM lines),
+        lw AS (SELECT doc_id, line_no, term, count(*) * any_value(idf) AS w FROM terms JOIN idf USING (term) GROUP BY ALL),
+        ln AS (SELECT doc_id, line_no, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
+        dots AS (SELECT doc_id, line_no, licence, sum(lw.w * tw.w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL),
+        cosines AS (SELECT doc_id, line_no, licence, round(dot / ln.norm / tn.norm, 9) AS cosine FROM dots JOIN ln USING (doc_id, line_no) JOIN tn USING (licence)),
+        hits AS (SELECT * FROM cosines WHERE cosine >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY cosine DESC, licence) = 1),
+        counted AS (SELECT doc_id, line_no, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+        own AS (
+            SELECT doc_id, arg_min(licence, (-cosine, line_no, licence)) AS own_licence, max(cosine) AS cosine, sum(words) AS words
+            FROM hits JOIN counted USING (doc_id, line_no) GROUP BY doc_id),
+        sizes AS (SELECT doc_id, sum(words) AS words FROM counted GROUP BY doc_id),
+        files AS (
+            SELECT folder, arg_min(own_licence, (-cosine, doc_id)) AS given
+            FROM docs JOIN own USING (doc_id) JOIN sizes USING (doc_id) WHERE own.words * 2 >= sizes.words GROUP BY folder),
+        near AS (
+            SELECT d.doc_id, arg_max(f.folder, len(f.folder)) AS above, arg_max(f.given, len(f.folder)) AS given
+            FROM docs d JOIN files f ON d.folder = f.folder OR starts_with(d.folder, f.folder || '/') GROUP BY d.doc_id)
+        SELECT doc_id, path, own_licence, round(cosine, 6) AS cosine,
+               CASE WHEN own_licence IS NULL THEN above END AS inherited_from, coalesce(own_licence, given) AS licence
+        FROM docs LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
+    """
+
+
 ORACLE_SQL = {
+    "op8_licences": _licence_sql(),
     "op4_mixing": _mixing_sql(),
     "op2_line_dedup": r"""
         WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS text FROM documents),
