@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, licences, line_dedup, mixing, packing, quality_rules, simhash_dedup, substring_dedup
-from sievegrid.llm.common import table
+from sievegrid.llm import exact_dedup, gif_media, licences, line_dedup, mixing, packing, quality_rules, shards, simhash_dedup, substring_dedup
+from sievegrid.llm.common import scratch_path, table
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+#: Arrivals in which the documents come to the shard table, by ranges of their ids.
+ARRIVALS = 4
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in arrivals, are compacted, and are read back through the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    shelf = shards.ShardTable(spark, scratch_path(spark, "shards"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = max(1, ((high or 0) - (low or 0)) // ARRIVALS + 1)
+    for k in range(ARRIVALS):
+        at = (low or 0) + k * step
+        here = (F.col("doc_id") >= at) & (F.col("doc_id") < at + step)
+        shelf.append(docs.where(here | F.col("doc_id").isNull() if k == 0 else here))
+    shelf.compact_all()
+    return shelf.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_links")
@@ -85,6 +103,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -169,6 +188,7 @@ def _licence_sql(threshold: float = licences.THRESHOLD) -> str:
 
 
 ORACLE_SQL = {
+    "op1_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op8_licences": _licence_sql(),
     "op4_mixing": _mixing_sql(),
     "op2_line_dedup": r"""
