@@ -151,6 +151,13 @@ def score(df: DataFrame, model: RuleModel, text_col: str = "text", score_col: st
     return measured.withColumn(score_col, model.score(columns)).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int")).drop(stats)
 
 
+def keep(df: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
+    """The rows of df that the model does not reject, with the columns of df."""
+    columns, whole = df.columns, fresh(df, "whole")
+    scored = score(df.withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in columns])), model, text_col)
+    return scored.where(F.col("predicted") == 1).select(f"{whole}.*")
+
+
 def held_out(id_: Column, folds: int = 3, fold: int = 1) -> Column:
     """Rows that no model learns from: crc32 of the id's digits, modulo folds."""
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
