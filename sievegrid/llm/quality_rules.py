@@ -28,7 +28,7 @@ from sievegrid.llm.common import SPACE, fresh, materialise
 
 #: The bound of the training sample: about so many labelled rows, chosen by a hash of their ids.
 SAMPLE_ROWS = 12_000
-TREES, DEPTH = 24, 4
+TREES, DEPTH = 12, 4
 LASSO = 0.002
 SEED = 7
 
@@ -123,8 +123,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     # The sample is bounded by sample_rows whatever the tables' size, so it may be broadcast.
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     measured, stats = with_statistics(texts)
-    rows = materialise(measured.select("id", "label", f"{stats}.*"), "training")
-    rows = rows.repartition(4, "id").sortWithinPartitions("id", "label").cache()
+    # The sample is small: a few partitions keep the many short jobs of the fits short.
+    rows = materialise(measured.select("id", "label", f"{stats}.*"), "training").coalesce(2).cache()
     try:
         ones, all_ = rows.agg(F.sum("label"), F.count("*")).first()
         if not all_ or ones in (0, all_):
@@ -137,7 +137,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         stats_of = {c: F.col(c) for c in names}
         flags = F.array(*[_holds(r, stats_of).cast("double") for r in rules])
         table = rows.select("label", array_to_vector(flags).alias("features"))
-        weighed = LogisticRegression(labelCol="label", regParam=lasso, elasticNetParam=1.0, maxIter=80, standardization=True).fit(table)
+        weighed = LogisticRegression(labelCol="label", regParam=lasso, elasticNetParam=1.0, maxIter=30, tol=1e-5, standardization=True).fit(table)
         kept = tuple((r, float(w)) for r, w in zip(rules, weighed.coefficients, strict=True) if w)
         return RuleModel(float(weighed.intercept), kept)
     finally:
