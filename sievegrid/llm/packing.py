@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import materialise
+from sievegrid.llm.common import materialise, slices, word_parts
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,7 +39,9 @@ OPEN_GAP = 64
 #: Second-round tasks: one for so many of the first round.
 MERGE = 32
 #: Words and parts of words whose ids a Python worker remembers, of each kind.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Parts encoded in one call: short enough for the tokenizer's own cost to stay linear.
+TOGETHER = 2000
 
 # Between an ASCII letter and ASCII punctuation (but the apostrophe) this tokenizer always parts.
 _PARTS = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z])")
@@ -58,37 +60,58 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        split = {w: _PARTS.split(w) for w in words}
-        fresh = sorted({p for parts in split.values() for p in parts} - self.parts.keys())
-        for part, got in zip(fresh, self.tokenizer.encode_batch([p.decode() for p in fresh], add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(got.ids, "<u4").tobytes()
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
-        known = self.words
-        for text in texts:
-            words = text.lower().split()  # ASCII only: letters A-Z, the six white-space characters
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                for at in range(0, len(words), REMEMBERED):
-                    fresh = set(words[at : at + REMEMBERED]) - known.keys()
-                    if fresh:
-                        self._learn(fresh)
-                if all(w in known for w in set(words)):
-                    yield b"".join([known[w] for w in words])
-                else:  # one text of more words than are remembered
-                    yield b"".join([np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words])
+        parted = [(w,) if w.isalpha() else _PARTS.split(w) for w in words]
+        fresh = {p for parts in parted for p in parts if p not in self.parts}
+        letters = {p for p in fresh if p.decode().isalpha()}
+        for group in (list(letters), list(fresh - letters)):
+            for at in range(0, len(group), TOGETHER):
+                self._encode_parts(group[at : at + TOGETHER])
+        of = self.parts.__getitem__
+        for word, parts in zip(words, parted, strict=True):
+            self.words[word] = of(word) if parts == (word,) else b"".join(map(of, parts))
+
+    def _encode_parts(self, parts: list[bytes]) -> None:
+        """One call for many parts, a space between them.
+
+        Parts of letters only are one word to the tokenizer, whose last token has the word-end
+        mark; of other parts a token belongs to the part in which it starts.
+        """
+        shown = [p.decode() for p in parts]
+        got = self.tokenizer.encode(" ".join(shown), add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        cuts = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(cuts) != len(parts) or not all(map(str.isalpha, shown)):
+            cuts = np.searchsorted(np.array([a for a, _ in got.offsets]), np.cumsum([len(p) + 1 for p in shown]))
+        cuts, raw = cuts.tolist(), ids.tobytes()
+        for part, a, b in zip(parts, [0, *cuts], cuts, strict=False):
+            self.parts[part] = raw[4 * a : 4 * b]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text; what is remembered grows by the words of these texts at most."""
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        lists = [t.lower().split() for t in texts]  # ASCII only: letters A-Z, the six white-space characters
+        fresh = [w for w in set().union(*lists) if w not in self.words]
+        for at in range(0, len(fresh), REMEMBERED):
+            self._learn(fresh[at : at + REMEMBERED])
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) for words in lists]
+
+
+def ids_in(ids_of: WordIds, texts: list[bytes]) -> list[bytes]:
+    """The ids of each text; a long text goes part by part."""
+    if sum(map(len, texts)) <= 4 << 20:
+        return ids_of.encode(texts)
+    return [b"".join([ids_of.encode([b" ".join(words)])[0] for _, words in word_parts(t)]) for t in texts]
 
 
 @lru_cache(2)
@@ -103,11 +126,11 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _word_ids(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+        for batch in slices(batches, "text", 1 << 20):
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 keys, rows = part.column(0).to_pylist(), []
-                for key, ids in zip(keys, ids_of.encode([t or b"" for t in part.column(1).to_pylist()]), strict=True):
+                for key, ids in zip(keys, ids_in(ids_of, [t or b"" for t in part.column(1).to_pylist()]), strict=True):
                     ids += end
                     step = capacity * 4
                     for piece, begin in enumerate(range(0, len(ids), step)):
