@@ -10,7 +10,9 @@ ZONE = "Asia/Shanghai"
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970; a timestamp without zone counts as UTC, whatever the session's zone."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    wall = ts.cast("timestamp_ntz")
+    days = F.datediff(wall.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86_400 + F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall)
 
 
 def instant(x: Column) -> Column:
