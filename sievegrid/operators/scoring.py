@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (at most so many hours or days, points), in order; then what is beyond.
+# Fixed values: (at most so many hours or days, points) in order, then what is beyond; for amounts (at least so much, points).
 DEADLINE_HOURS, DEADLINE_LATER, DEADLINE_NONE = [(24, 10), (72, 9), (168, 7), (336, 5), (720, 3)], 1, 0
 AMOUNTS = [(5_000_000, 10), (3_000_000, 9), (1_000_000, 7), (500_000, 4)]
 AGE_DAYS = [(1, 7), (3, 6), (7, 5), (14, 3), (30, 1)]
