@@ -108,10 +108,9 @@ def licence_lines(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshol
     )
     wanted = materialise(spread.select("term").distinct(), "licence-words")
     every = df.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    if wanted.count() <= broadcast_rows:
-        frequency = every.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    else:  # counts fold in each task before the words meet
-        frequency = every.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
+    # Counts fold in each task before the words meet. An inner join with distinct words, since Spark
+    # would push a semi join below the counting, where it makes a row for each word of each text.
+    frequency = every.groupBy("term").agg(F.count("*").alias("df")).join(_sized(wanted, broadcast_rows), "term")
     frequency = materialise(frequency, "licence-frequency")
     weighed = spread.join(_sized(frequency, broadcast_rows), "term").withColumn("w", F.col("tf") * idf(F.col("df"), n))
     flat = [(name, term, w) for name, vector in unit.items() for term, w in vector.items()]
