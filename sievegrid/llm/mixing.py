@@ -51,12 +51,19 @@ def uniform(id_: Column) -> Column:
 
 
 def tempered(cells: DataFrame, dims: list[str], temper: float = TEMPER, most: int = 64) -> Targets:
-    """Target shares that even out the natural ones. Of each dimension the values with most tokens are listed, so many at most."""
+    """Target shares that even out the natural ones.
+
+    Of each dimension the values with most tokens are listed, so many at most. The shares of all the
+    others, each tempered by itself, are left to OTHER: listed shares then sum to less than one.
+    """
     out: Targets = {}
     for d in dims:
-        top = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").orderBy(F.desc("t"), d).limit(most).collect()
-        sums = [r.t**temper for r in top]
-        out[d] = {r[d]: s / sum(sums) for r, s in zip(top, sums, strict=True)}
+        sums = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0")
+        top = sums.where(F.col(d) != OTHER).orderBy(F.desc("t"), d).limit(most).collect()
+        rest = sums.where(~F.col(d).isin([r[d] for r in top])).agg(F.sum(F.pow("t", F.lit(temper)))).first()[0] or 0.0
+        listed = [r.t**temper for r in top]
+        whole = sum(listed) + rest
+        out[d] = {r[d]: s / whole for r, s in zip(top, listed, strict=True)}
     return out
 
 

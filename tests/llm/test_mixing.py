@@ -61,3 +61,24 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 400_000, "s", "en")], "doc_id long, text string, source string, lang string")
     row = op.mix(df).first()
     assert (row.n_tokens, row.probability, row.sampled) == (400_000, 1.0, True)
+
+
+def test_more_values_than_are_listed(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * (1 + s % 7 + rng.randrange(9)), f"s{s:02}" if s else None, rng.choice(["en", "de"]), "x") for i in range(1600) for s in [i % 80]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kind string")
+    got = op.mix(df, topic=F.col("kind")).collect()
+    natural = {}
+    for _, text, source, *_ in rows:
+        natural[source] = natural.get(source, 0) + len(text.split())
+    whole = sum(t**op.TEMPER for t in natural.values())
+    listed = sorted((s for s in natural if s), key=lambda s: (-natural[s], s))[:64]
+    assert len(natural) == 80 and all(0 < r.probability <= 1 for r in got)
+    expected = {}
+    for r in got:
+        expected[r.source] = expected.get(r.source, 0) + r.n_tokens * r.probability
+    tokens = sum(expected.values())
+    for s in listed:
+        assert expected[s] / tokens == pytest.approx(natural[s] ** op.TEMPER / whole, rel=1e-6)
+    others = set(natural) - set(listed)
+    assert sum(expected[s] for s in others) / tokens == pytest.approx(sum(natural[s] ** op.TEMPER for s in others) / whole, rel=1e-6)
