@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,11 +48,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors.
+
+    free: let Spark remove the shuffle files of what is finished now. It does so for plans that the
+    driver has collected as garbage, which may else take as long as the job.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,9 +75,20 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def named(name: str) -> Column:
+    """The column of that name, dots and all."""
+    return F.col(name if name.startswith("`") else f"`{name}`")
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [named(c) for c in df.columns]
+
+
 def row_marks(id_col: str, text_col: str) -> tuple[Column, Column]:
     """128 bits that tell a row of this id and text; rows that repeat whole share them."""
-    return F.xxhash64(id_col, text_col), F.xxhash64(F.lit("/"), F.col(text_col), F.lit("/"), F.col(id_col))
+    i, t = named(id_col), named(text_col)
+    return F.xxhash64(i, t), F.xxhash64(F.lit("/"), t, F.lit("/"), i)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -87,8 +106,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 def word_parts(text: bytes, overlap: int = 0, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of words of a text, each of about so many bytes, with the place of its first word.
 
-    A run begins with the last ``overlap`` words of the run before it. bytes.split() parts at
-    exactly the six ASCII white-space characters.
+    A run begins with the last ``overlap`` words of the run before it, and has more words than
+    those unless the text ends. bytes.split() parts at exactly the six ASCII white-space characters.
     """
     if len(text) <= most:
         yield 0, text.split()
@@ -99,7 +118,10 @@ def word_parts(text: bytes, overlap: int = 0, most: int = 1 << 20) -> Iterator[t
         while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
             end += 1
         words = carry + text[at:end].split()
+        at = end
+        if len(words) <= overlap and at < len(text):
+            carry = words
+            continue
         yield first, words
         carry = words[-overlap:] if overlap else []
         first += len(words) - len(carry)
-        at = end

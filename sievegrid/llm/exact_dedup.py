@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import fresh, materialise, row_marks
+from sievegrid.llm.common import all_of, fresh, materialise, named, row_marks
 from sievegrid.llm.radix import PatriciaTrie
 
 #: Bytes of distinct text a task holds before it spills or hands on what it has folded.
@@ -129,9 +129,9 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
     mark, mark2 = row_marks(id_col, text_col)
     rows = df.select(
-        F.col(id_col).alias("id"),
-        F.encode(F.col(text_col), "UTF-8").alias("text"),
-        F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"),
+        named(id_col).alias("id"),
+        F.encode(named(text_col), "UTF-8").alias("text"),
+        F.coalesce(F.length(named(text_col)), F.lit(0)).cast("long").alias("n_chars"),
         mark.alias("mark"),
         mark2.alias("mark2"),
     )
@@ -153,4 +153,4 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = exact_classes(df, id_col, text_col).where("kept").select(F.col("mark").alias(a), F.col("mark2").alias(b))
     stays = df.withColumns({a: mark, b: mark2}).join(kept, [a, b], "left_semi")
     # Rows that repeat whole (same id, same text) match alike: one of them stays.
-    return stays.dropDuplicates([a, b]).select(*df.columns)
+    return stays.dropDuplicates([a, b]).select(*all_of(df))

@@ -1,12 +1,15 @@
 """Media columns: GIF89a files in a binary column, and their timed frames as nested rows.
 
-``text_to_gif`` stores bytes as 8-bit samples of greyscale frames; ``gif_frames`` reads any GIF:
-LZW code streams, global and local palettes, interlacing, transparency and disposal. Both work
-row by row inside Arrow batches, without a shuffle, so one very long row costs its own size only.
+``text_to_gif`` stores bytes as 8-bit samples of about three greyscale frames, one over the other:
+plain; with a palette of its own and a transparent index; interlaced and taken back; and with a
+palette of its own, then cleared. ``gif_frames`` reads any GIF: LZW code streams, global and local
+palettes, interlacing, transparency and disposal; every frame is painted on the canvas, of which the
+histogram is taken. Both work row by row inside Arrow batches, without a shuffle, so one very long
+row costs its own size only.
 
 Defined results: a null text counts as empty; null media gives null frames; bytes that are no
-readable GIF give null frames too; an empty table gives no rows; other columns pass through,
-and an output replaces a column that has its name.
+readable GIF give null frames too; rows that repeat are stored and read alike; an empty table gives
+no rows; other columns pass through, and an output replaces a column that has its name.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievegrid.llm.common import slices
+from sievegrid.llm.common import named, slices
 
 #: Samples in a row of a frame; payloads are padded to a multiple of it.
 WIDTH = 192
-#: Rows of a frame: 65,280 samples at most, so that a frame's sides fit GIF's 16 bits.
+#: Rows of a frame at most: 65,280 samples, so that a frame's sides fit GIF's 16 bits.
 ROWS = 340
+#: Frames that a payload is parted into where that leaves each some rows.
+FRAMES = 3
+#: Index that the second of each four of our own frames shows through: the space.
+SEEN_THROUGH = 32
 DELAY_MS = 100
 _CLEAR, _END, _FIRST, _FULL = 256, 257, 258, 4096
 #: Codes between two clear codes of our own streams: the table is then just full.
@@ -159,15 +166,27 @@ def _blocks(data: bytes) -> bytes:
     return head + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = DELAY_MS) -> bytes:
-    """A payload of a positive multiple of width bytes, as greyscale frames one after another."""
-    frames = [payload[i : i + width * rows] for i in range(0, len(payload), width * rows)]
+def frame_rows(rows: int) -> int:
+    """Rows of each frame of a payload of so many rows; the last has what is left."""
+    return min(ROWS, max(4, -(-rows // FRAMES)))
+
+
+def encode_gif(payload: bytes, width: int = WIDTH, delay_ms: int = DELAY_MS) -> bytes:
+    """A payload of a positive multiple of width bytes, as frames one over the other; of four, each is stored another way."""
+    step = width * frame_rows(len(payload) // width)
+    frames = [payload[i : i + step] for i in range(0, len(payload), step)]
     grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
     out = [b"GIF89a", struct.pack("<HHBBB", width, len(frames[0]) // width, 0xF7, 0, 0), grey]
-    for frame in frames:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_ms // 10, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(frame) // width, 0) + b"\x08")
-        out.append(_blocks(lzw_encode(frame)))
+    for n, frame in enumerate(frames):
+        kind, rows = n % 4, len(frame) // width
+        disposal, clear = (1, 1, 3, 2)[kind], kind == 1
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | clear, delay_ms // 10, SEEN_THROUGH if clear else 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, rows, 0x40 if kind == 2 else 0x87 if kind % 2 else 0))
+        if kind % 2:
+            out.append(grey[::-1])
+        if kind == 2:
+            frame = np.frombuffer(frame, np.uint8).reshape(rows, width)[_interlaced(rows)].tobytes()
+        out.append(b"\x08" + _blocks(lzw_encode(frame)))
     return b"".join(out) + b"\x3b"
 
 
@@ -192,12 +211,14 @@ def _palette(reader: _Reader, flags: int) -> np.ndarray | None:
     return np.frombuffer(reader.take(3 << (flags & 7) + 1), np.uint8).reshape(-1, 3) if flags & 0x80 else None
 
 
+def _interlaced(h: int) -> list[int]:
+    """The order in which an interlaced frame has its rows: 0, 8, ..; 4, 12, ..; 2, 6, ..; 1, 3, .."""
+    return [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
+
+
 def _rows_in_order(samples: np.ndarray) -> np.ndarray:
-    """Undo interlacing: rows come as 0, 8, ..; 4, 12, ..; 2, 6, ..; 1, 3, .."""
-    h = len(samples)
-    order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
     out = np.empty_like(samples)
-    out[order] = samples
+    out[_interlaced(len(samples))] = samples
     return out
 
 
@@ -205,16 +226,18 @@ def decode_gif(data: bytes, canvas: bool = True) -> list[dict]:
     """Every frame as stored (samples) and as shown (canvas_rgb: transparent pixels and disposal applied).
 
     histogram: pixels of the shown canvas by the two high bits of red, green and blue, 64 counts;
-    pixels that nothing has painted yet count as the background's black.
+    pixels that nothing has painted yet count as the background's black. canvas: also paint and keep
+    the colours themselves, not their histogram bins only.
     """
     reader = _Reader(data)
     if reader.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", reader.take(7))
     shared = _palette(reader, flags)
-    shown = np.zeros((height, width, 3), np.uint8)
+    # What is painted: bins of colours and, if asked for, the colours.
+    layers = [np.zeros((height, width), np.uint8)] + [np.zeros((height, width, 3), np.uint8)] * canvas
     frames: list[dict] = []
-    disposal, delay, clear_index, late = 0, 0, None, None
+    disposal, delay, clear_index = 0, 0, None
     while True:
         kind = reader.take(1)
         if kind == b"\x3b":
@@ -238,40 +261,34 @@ def decode_gif(data: bytes, canvas: bool = True) -> list[dict]:
             samples = _rows_in_order(samples)
         full = np.zeros((256, 3), np.uint8)
         full[: len(palette)] = palette
-        if clear_index is None and (y, x, h, w) == (0, 0, height, width) and disposal < 2 and not canvas:
-            # It hides all that was there: count palette entries, and paint only if a later frame needs it.
-            late = (full, samples)
-            histogram = np.bincount((full >> 6) @ _HIGH_BITS, weights=np.bincount(samples.ravel(), minlength=256), minlength=64).astype(np.int64)
-        else:
-            if late:
-                shown[:] = late[0][late[1]]
-                late = None
-            before = shown.copy() if disposal == 3 else None
-            part = shown[y : y + h, x : x + w]
-            inside = samples[: part.shape[0], : part.shape[1]]
+        inside = samples[: max(0, height - y), : max(0, width - x)]
+        before = [layer.copy() for layer in layers] if disposal == 3 else None
+        for layer, paint in zip(layers, ((full >> 6) @ _HIGH_BITS, full), strict=False):
+            part = layer[y : y + h, x : x + w]
             if clear_index is None:
-                part[:] = full[inside]
+                part[:] = paint[inside]
             else:
-                part[inside != clear_index] = full[inside[inside != clear_index]]
-            histogram = np.bincount(((shown >> 6) @ _HIGH_BITS).ravel(), minlength=64)
+                seen = inside != clear_index
+                part[seen] = paint[inside[seen]]
         frames.append(
             {
                 "frame": len(frames), "delay_ms": delay, "x": x, "y": y, "width": w, "height": h, "disposal": disposal,
-                "transparent": clear_index, "samples": samples.tobytes(), "canvas_rgb": shown.tobytes() if canvas else None,
-                "histogram": histogram.tolist(),
+                "transparent": clear_index, "samples": samples.tobytes(), "canvas_rgb": layers[1].tobytes() if canvas else None,
+                "histogram": np.bincount(layers[0].ravel(), minlength=64).tolist(),
             }
         )
         if disposal == 2:  # the background's place is left unpainted
-            part[:] = 0
+            for layer in layers:
+                layer[y : y + h, x : x + w] = 0
         elif disposal == 3:
-            shown = before
+            layers = before
         disposal, delay, clear_index = 0, 0, None
 
 
 def text_to_gif(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """df without its text, with the text's UTF-8 bytes (padded with spaces) stored as a GIF."""
-    rest = [c for c in df.columns if c not in (text_col, media_col)]
-    source = df.select(*rest, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(media_col))
+    rest = [named(c) for c in df.columns if c not in (text_col, media_col)]
+    source = df.select(*rest, F.coalesce(named(text_col), F.lit("")).cast("binary").alias(media_col))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, media_col):

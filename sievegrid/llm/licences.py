@@ -1,21 +1,27 @@
-"""Licence scans: sparse TF-IDF cosine of lines to licence templates, then inheritance by path joins.
+"""Licence scans: sparse TF-IDF cosine of headers and whole files to licence templates, then inheritance by path joins.
 
-Every line of every text is held against the templates. A term weighs tf * idf, with document
-frequencies counted over all texts. Only a line with a core term can reach the threshold (the
-other terms of a template carry too little of its norm), so lines without one are left out before
-anything is shuffled; that loses nothing. A row whose licence lines make up half of its words is
-a licence file of its directory. Rows without a licence of their own inherit from the nearest
-directory above them that has a licence file; ancestors are joined per distinct directory, not per
-row.
+Templates are headers, as files carry them, and whole licence texts (``licence_texts``). A text is
+judged as a whole and by its header blocks: it is cut into pieces (lines, or the sentences of long
+lines), and every run of up to five pieces is a block, so a header is found however it is wrapped. A
+term weighs (1 + ln tf) * idf, with document frequencies counted over all texts.
+
+Only what can reach the threshold is weighed, which loses nothing: by Cauchy-Schwarz a cosine is at
+most the norm of the template's part on shared terms. So a block without a core term of a header (the
+others carry too little of its norm) is left out, and so is a whole text whose terms cover too little
+of every template. Both are told inside the scan, by a list of words and by sums per row. A row whose
+whole text is at the threshold is a licence file of its directory. Rows without a licence of their own
+inherit from the nearest directory above them that has one; ancestors are joined per distinct
+directory, not per row.
 
 DataFrame functions only. Sent whole to tasks: the templates' terms, a fixed list; and word and
 directory tables only while their counted rows stay under a bound, beyond which they are joined by
 a shuffle.
 
 Defined results: a null text counts as empty and has no licence; null parts of a path are left out;
-of equal cosines the earlier line, then the licence that sorts first, wins; of licence files in one
-directory the one with the larger cosine, then the smaller id; repeated rows are judged alike; an
-empty table gives no rows; only the id, path and text are read, so other columns may have any names.
+of equal cosines the whole text, then the earlier and then the shorter block, then the licence that
+sorts first, wins; of licence files in one directory the one with the larger cosine, then the smaller
+id; repeated rows are judged alike; an empty table gives no rows; only the id, path and text are read,
+so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,26 +29,55 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import SPACE, materialise
-
-# Header lines as their licences word them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+from sievegrid.llm.common import materialise, named
+
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+# Headers as their licences word them.
+HEADERS = [
+    ("AGPL-3.0", _GNU.format("Affero General Public License", "3")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", _GNU.format("General Public License", "3")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1").replace("program", "library")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3").replace("program", "library")),
+    ("MIT", "Released under the MIT License"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+]
 THRESHOLD = 0.75
+#: A line of more words than that is cut into its sentences.
+LONG_LINE = 40
+#: Pieces in a block at most.
+RUN = 5
 #: Rows of a word or directory table that may be broadcast.
 BROADCAST_ROWS = 200_000
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
+#: A mark ends a sentence only before a space.
+SENTENCE = r"(?:[^.;!?]|[.;!?]+[^\s.;!?])+[.;!?]*"
+
+
+@cache
+def templates() -> tuple[tuple[str, str, bool], ...]:
+    """(licence, text, is it a header) of all templates: headers, the tags that name a licence, and whole texts."""
+    files = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    names = sorted({name for name, _ in [*HEADERS, *files]})
+    headers = [*HEADERS, *[(name, f"SPDX-License-Identifier: {name}") for name in names]]
+    return tuple([(*h, True) for h in headers] + [(*f, False) for f in files])
 
 
 def terms_of(text: Column) -> Column:
@@ -56,24 +91,24 @@ def idf(df: float | Column, n: float | Column) -> float | Column:
     return 1.0 + math.log((n + 1.0) / (df + 1.0))
 
 
-def vectors(templates: dict[str, str], weight: dict[str, float]) -> dict[str, dict[str, float]]:
+def vectors(texts: list[str], weight: dict[str, float]) -> list[dict[str, float]]:
     """Unit TF-IDF vectors of the templates."""
-    out = {}
-    for name, text in templates.items():
-        tf = Counter(re.findall(TERM, text.lower()))
-        norm = math.sqrt(sum((n * weight[t]) ** 2 for t, n in tf.items()))
-        out[name] = {t: n * weight[t] / norm for t, n in tf.items()}
+    out = []
+    for text in texts:
+        w = {t: (1 + math.log(n)) * weight[t] for t, n in Counter(re.findall(TERM, text.lower())).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        out.append({t: x / norm for t, x in w.items()})
     return out
 
 
-def core_terms(unit: dict[str, dict[str, float]], threshold: float) -> list[str]:
-    """Terms of which every line at the threshold has at least one.
+def core_terms(unit: list[dict[str, float]], threshold: float) -> list[str]:
+    """Terms of which every block at the threshold has at least one.
 
     The cosine is at most the norm of the template's part on shared terms; the lightest terms
     whose part stays under the threshold cannot reach it by themselves.
     """
     core = set()
-    for vector in unit.values():
+    for vector in unit:
         part = 0.0
         for term, w in sorted(vector.items(), key=lambda x: (x[1], x[0])):
             part += w * w
@@ -87,64 +122,83 @@ def _sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def licence_lines(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Of df (r, text): (r, line_no, licence, cosine, words) for each line at the threshold."""
-    known = sorted({t for text in templates.values() for t in re.findall(TERM, text.lower())})
-    own = F.explode(F.array_intersect(F.array_distinct(terms_of(F.col("text"))), F.array(*[F.lit(t) for t in known])))
+def pieces_of(text: Column) -> Column:
+    """Lines of a text, the long ones by their sentences."""
+    cut = lambda line: F.when(F.size(F.split(line, " ")) > LONG_LINE, F.regexp_extract_all(line, F.lit(f"({SENTENCE})"), F.lit(1))).otherwise(F.array(line))
+    return F.flatten(F.transform(F.split(text, "\n"), cut))
+
+
+def blocks(df: DataFrame, core: list[str]) -> DataFrame:
+    """Of df (r, text): (r, at, size, terms) for each run of pieces with a core term."""
+    some = F.lower("text").rlike("|".join(re.escape(t) for t in core))
+    pieces = df.where(some).select("r", pieces_of(F.col("text")).alias("p"))
+    ahead = [F.slice("p", F.lit(k + 1), F.greatest(F.size("p") - k, F.lit(0))).alias(f"p{k}") for k in range(RUN)]
+    runs = pieces.select("r", F.posexplode(F.arrays_zip(*ahead)).alias("at", "z"))
+    whole = [F.when(F.col(f"z.p{k}").isNotNull(), F.struct(F.lit(k + 1).alias("size"), F.concat_ws(" ", *[F.col(f"z.p{i}") for i in range(k + 1)]).alias("text"))) for k in range(RUN)]
+    each = runs.select("r", "at", F.explode(F.array_compact(F.array(*whole))).alias("b"))
+    each = each.where(F.lower("b.text").rlike("|".join(re.escape(t) for t in core))).select("r", "at", "b.size", terms_of(F.col("b.text")).alias("terms"))
+    return each.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in core])))
+
+
+def covering(df: DataFrame, unit: list[dict[str, float]], threshold: float) -> DataFrame:
+    """r of the rows of df (r, text) whose terms cover enough of any template for its threshold."""
+    squares: dict[str, list[float]] = {}
+    for i, vector in enumerate(unit):
+        for t, w in vector.items():
+            squares.setdefault(t, [0.0] * len(unit))[i] = w * w
+    table = F.broadcast(df.sparkSession.createDataFrame(sorted(squares.items()), "term string, squares array<double>"))
+    met = df.select("r", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).join(table, "term")
+    summed = met.groupBy("r").agg(F.greatest(*[F.sum(F.get("squares", F.lit(i))) for i in range(len(unit))]).alias("most"))
+    return summed.where(F.col("most") >= threshold**2 - 1e-9).select("r")
+
+
+def found_licences(df: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Of df (r, text): (r, at, size, licence, cosine) for each block and whole text (at -1, size 0) at the threshold."""
+    spark, known = df.sparkSession, templates()
     n = df.count()
-    counted = {r.term: r.n for r in df.select(own.alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most one row a template term
-    unit = vectors(templates, {t: idf(counted.get(t, 0), n) for t in known})
-    core = core_terms(unit, threshold)
-
-    lines = df.select("r", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    some = "|".join(re.escape(t) for t in core)
-    lines = lines.where(F.lower("line").rlike(some)).withColumn("terms", terms_of(F.col("line")))
-    lines = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in core])))
-    spread = materialise(
-        lines.select("r", "line_no", F.size(F.filter(F.split("line", f"{SPACE}+"), lambda w: w != "")).alias("words"), F.explode("terms").alias("term"))
-        .groupBy("r", "line_no", "words", "term")
-        .agg(F.count("*").alias("tf")),
-        "licence-terms",
-    )
-    wanted = materialise(spread.select("term").distinct(), "licence-words")
     every = df.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    # Counts fold in each task before the words meet. An inner join with distinct words, since Spark
-    # would push a semi join below the counting, where it makes a row for each word of each text.
-    frequency = every.groupBy("term").agg(F.count("*").alias("df")).join(_sized(wanted, broadcast_rows), "term")
-    frequency = materialise(frequency, "licence-frequency")
-    weighed = spread.join(_sized(frequency, broadcast_rows), "term").withColumn("w", F.col("tf") * idf(F.col("df"), n))
-    flat = [(name, term, w) for name, vector in unit.items() for term, w in vector.items()]
-    return _cosines(weighed, flat, threshold)
-
-
-def _cosines(weighed: DataFrame, flat: list[tuple[str, str, float]], threshold: float) -> DataFrame:
-    names = sorted({name for name, _, _ in flat})
-    dots = []
-    for name in names:
-        part = F.lit(0.0)
-        for a, term, w in flat:
-            if a == name:
-                part = F.when(F.col("term") == term, F.lit(w)).otherwise(part)
-        dots.append(F.sum(F.col("w") * part).alias(name))
-    summed = weighed.groupBy("r", "line_no", "words").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
-    scored = F.array(*[F.struct((-F.round(F.col(f"`{name}`") / F.col("norm"), 9)).alias("far"), F.lit(name).alias("licence")) for name in names])
-    best = summed.select("r", "line_no", "words", F.array_min(scored).alias("b"))
-    return best.select("r", "line_no", F.col("b.licence").alias("licence"), (-F.col("b.far")).alias("cosine"), "words").where(F.col("cosine") >= threshold)
-
-
-def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of df: id, path, own_licence, cosine, inherited_from (a directory) and licence."""
+    # Counts fold in each task before the words meet anything.
+    frequency = materialise(every.groupBy("term").agg(F.count("*").alias("df")), "licence-frequency")
+    words = sorted({t for _, text, _ in known for t in re.findall(TERM, text.lower())})
+    listed = F.broadcast(spark.createDataFrame([(t,) for t in words], "term string"))
+    counted = {r.term: r.df for r in frequency.join(listed, "term").collect()}  # at most one row a template term
+    unit = vectors([text for _, text, _ in known], {t: idf(counted.get(t, 0), n) for t in words})
+
+    headers = blocks(df, core_terms([u for u, k in zip(unit, known, strict=True) if k[2]], threshold))
+    files = df.join(_sized(materialise(covering(df, unit, threshold), "licence-files"), broadcast_rows), "r")
+    files = files.select("r", F.lit(-1).alias("at"), F.lit(0).alias("size"), terms_of(F.col("text")).alias("terms"))
+    spread = headers.unionByName(files).select("r", "at", "size", F.explode("terms").alias("term")).groupBy("r", "at", "size", "term").agg(F.count("*").alias("tf"))
+    spread = materialise(spread, "licence-terms")
+    wanted = materialise(spread.select("term").distinct(), "licence-words")
+    wanted = materialise(frequency.join(_sized(wanted, broadcast_rows), "term"), "licence-wanted")
+    weighed = spread.join(_sized(wanted, broadcast_rows), "term").withColumn("w", (1 + F.log("tf")) * idf(F.col("df"), n))
+
+    weights: dict[str, list[float]] = {t: [0.0] * len(unit) for t in words}
+    for i, vector in enumerate(unit):
+        for t, w in vector.items():
+            weights[t][i] = w
+    table = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, weights array<double>"))
+    dots = weighed.join(table, "term", "left").groupBy("r", "at", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.get("weights", F.lit(i))).alias(f"d{i}") for i in range(len(unit))])
+    # Blocks are held against headers only, whole texts against all.
+    fits = lambda i: F.lit(True) if known[i][2] else F.col("size") == 0
+    scored = F.array(*[F.struct(F.when(fits(i), -F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.col("norm"), 9)).otherwise(0.0).alias("far"), F.lit(known[i][0]).alias("licence")) for i in range(len(unit))])
+    best = dots.select("r", "at", "size", F.array_min(scored).alias("b"))
+    return best.select("r", "at", "size", F.col("b.licence").alias("licence"), (-F.col("b.far")).alias("cosine")).where(F.col("cosine") >= threshold)
+
+
+def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of df: id, path, own_licence, cosine, is_file, inherited_from (a directory) and licence."""
     # Rows get their number in a written table: it stays the same when lost work is done again.
-    rows = materialise(df.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "licence-rows")
-    found = materialise(licence_lines(rows.select("r", "text"), templates, threshold, broadcast_rows), "licence-lines")
-    own = found.groupBy("r").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "line_no", "licence")).alias("best"), F.sum("words").alias("licence_words"))
-    words = F.size(F.filter(F.split("text", f"{SPACE}+"), lambda w: w != ""))
+    rows = materialise(df.select(F.monotonically_increasing_id().alias("r"), named(id_col).alias("id"), path.alias("path"), F.coalesce(named(text_col), F.lit("")).alias("text")), "licence-rows")
+    found = materialise(found_licences(rows.select("r", "text"), threshold, broadcast_rows), "licence-found")
+    own = found.groupBy("r").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "at", "size", "licence")).alias("best"), F.max(F.col("size") == 0).alias("is_file"))
     parts = F.split("path", "/")
     folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
-    named = rows.select("r", "id", "path", folder.alias("folder"), words.alias("words"))
-    marked = materialise(named.join(own, "r", "left").select("id", "path", "folder", F.col("best.licence").alias("own_licence"), (-F.col("best.far")).alias("cosine"), (F.col("licence_words") * 2 >= F.col("words")).alias("is_file")), "licence-marked")
+    placed = rows.select("r", "id", "path", folder.alias("folder"))
+    marked = placed.join(own, "r", "left").select("id", "path", "folder", F.col("best.licence").alias("own_licence"), (-F.col("best.far")).alias("cosine"), F.coalesce("is_file", F.lit(False)).alias("is_file"))
+    marked = materialise(marked, "licence-marked")
 
-    files = marked.where("is_file and own_licence is not null").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("far"), F.col("id").isNull().alias("x"), "id", F.col("own_licence").alias("licence"))).alias("f"))
+    files = marked.where("is_file").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("far"), F.col("id").isNull().alias("x"), "id", F.col("own_licence").alias("licence"))).alias("f"))
     files = files.select(F.col("folder").alias("above"), F.col("f.licence").alias("given"))
     steps = F.split("folder", "/")
     above = F.transform(F.sequence(F.size(steps), F.lit(1)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
@@ -154,7 +208,7 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     told = marked.join(_sized(nearest, broadcast_rows), "folder", "left")
     without = F.col("own_licence").isNull()
     return told.select(
-        F.col("id").alias(id_col), "path", "own_licence", "cosine",
+        F.col("id").alias(id_col), "path", "own_licence", "cosine", "is_file",
         F.when(without, F.col("above")).alias("inherited_from"),
         F.coalesce("own_licence", "given").alias("licence"),
     )

@@ -7,13 +7,19 @@ be taken (or meets a smaller token budget). So no probability is ever cut at one
 token shares equal the fitted ones. The draw is a hash of the document's id: the same every time.
 
 The table of cells is bounded by the targets' values, plus one value for all that they do not
-list; fitting is one expression over that table in one row. Documents are only ever projected:
-the multipliers reach them as a scalar subquery, so no shuffle, and a hot source is no hot task.
+list; fitting is one expression over that table in one row, and a step costs the number of cells.
+Documents are only ever projected: the multipliers reach them as a scalar subquery, so no shuffle,
+and a hot source is no hot task.
+
+Topics, where a table has none, are told by seed words: of the long words the ones that most
+documents have; a document is of the seed that it has most often. They are counted over all texts.
 
 Defined results: a null text has no tokens; null or unlisted values count as the value "other",
 whose target is what the listed targets leave; targets of values without tokens are shared out
-among the rest; rows with the same id are taken or left together; an empty table gives no rows;
-other columns pass through, and an output replaces a column that has its name.
+among the rest; seeds that as many documents have come in alphabetical order, a document that has
+two as often is of the first, and one that has none of topic "none"; rows with the same id are taken
+or left together; an empty table gives no rows; other columns pass through, and an output replaces a
+column that has its name.
 """
 
 from __future__ import annotations
@@ -21,12 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import SPACE, fresh, materialise
+from sievegrid.llm.common import SPACE, all_of, fresh, materialise, named
 
 ROUNDS = 40
 OTHER = "other"
-#: Topics that stand in for a topic model's column where a table has none.
-TOPICS = 8
+#: Seed words of topics, and the letters that they have at least.
+TOPICS, SEED_LETTERS = 8, 6
+#: Values of a dimension that default targets list at most; all others share one place.
+LISTED = 1000
 #: Share of the natural token shares' logarithms that default targets keep: below one, it evens out.
 TEMPER = 0.7
 
@@ -38,11 +46,24 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")).cast("long")
 
 
-def topic_of(text: Column, topics: int = TOPICS) -> Column:
-    """A bucket of the text's longest word (of equals the last in order), as a stand-in for a topic."""
-    words = F.split(F.coalesce(text, F.lit("")), f"{SPACE}+")
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return F.concat(F.lit("topic"), F.pmod(F.conv(F.substring(F.md5(longest.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(topics)).cast("string"))
+def long_words(text: Column, letters: int = SEED_LETTERS) -> Column:
+    """Runs of so many letters of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(\p{{L}}{{{letters},}})"), F.lit(1))
+
+
+def seed_words(df: DataFrame, text_col: str = "text", topics: int = TOPICS, letters: int = SEED_LETTERS) -> list[str]:
+    """The long words that most rows have."""
+    words = df.select(F.explode(F.array_distinct(long_words(named(text_col), letters))).alias("word"))
+    return [r.word for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(topics).collect()]
+
+
+def topic_of(text: Column, seeds: list[str], letters: int = SEED_LETTERS) -> Column:
+    """The seed that the text has most often, of equals the first; none if it has none."""
+    if not seeds:
+        return F.lit("none")
+    had = F.filter(long_words(text, letters), lambda w: w.isin(seeds))
+    counted = F.transform(F.array(*map(F.lit, seeds)), lambda s, i: F.struct(F.size(F.filter(had, lambda w: w == s)).alias("n"), (-i).alias("i"), s.alias("s")))
+    return F.when(F.size(had) > 0, F.array_max(counted)["s"]).otherwise("none")
 
 
 def uniform(id_: Column) -> Column:
@@ -50,7 +71,7 @@ def uniform(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def tempered(cells: DataFrame, dims: list[str], temper: float = TEMPER, most: int = 64) -> Targets:
+def tempered(cells: DataFrame, dims: list[str], temper: float = TEMPER, most: int = LISTED) -> Targets:
     """Target shares that even out the natural ones.
 
     Of each dimension the values with most tokens are listed, so many at most. The shares of all the
@@ -86,17 +107,25 @@ def fit(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, budget: float
     """
     dims = list(targets)
     places = [_listed(F.col(d), targets[d]).alias(f"p{i}") for i, d in enumerate(dims)]
-    small = cells.where("tokens > 0").groupBy(*places).agg(F.sum("tokens").cast("double").alias("w"))
-    row = small.agg(F.sort_array(F.collect_list(F.struct(*[f"p{i}" for i in range(len(dims))], "w"))).alias("cells"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
+    small = materialise(cells.where("tokens > 0").groupBy(*places).agg(F.sum("tokens").cast("double").alias("w")), "cell-places")
+    row = small.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
+    for i, d in enumerate(dims):
+        # The cells of each place, so that a step passes over every cell once.
+        own = small.groupBy(f"p{i}").agg(F.sort_array(F.collect_list(F.struct(*[f"p{j}" for j in range(len(dims))], "w"))).alias("cells"))
+        every = small.sparkSession.range(len(targets[d]) + 1).select(F.col("id").cast("int").alias(f"p{i}"))
+        listed = every.join(own, f"p{i}", "left").agg(F.sort_array(F.collect_list(F.struct(f"p{i}", "cells"))).alias("all"))
+        row = row.crossJoin(listed.select(F.transform("all", lambda x: x["cells"]).alias(f"g{i}")))  # two tables of one row
 
     def target_of(i: int, d: str) -> Column:
         """Target tokens of each place; those of values without tokens are shared out among the rest."""
         shares = F.array(*[F.lit(float(s)) for s in [*targets[d].values(), max(0.0, 1.0 - sum(targets[d].values()))]])
-        there = F.transform(shares, lambda s, n: F.when(F.exists("cells", lambda c: c[f"p{i}"] == n), s).otherwise(F.lit(0.0)))
+        there = F.zip_with(shares, f"g{i}", lambda s, g: F.when(F.size(F.coalesce(g, F.array().cast(small_cells))) > 0, s).otherwise(F.lit(0.0)))
         whole = F.aggregate(there, F.lit(0.0), lambda a, x: a + x)
         return F.transform(there, lambda x: F.when(whole > 0, x / whole * F.col("total")).otherwise(F.lit(0.0))).alias(f"t{i}")
 
-    row = row.select("cells", "total", *[target_of(i, d) for i, d in enumerate(dims)])
+    small_cells = "array<struct<" + ",".join(f"p{j}:int" for j in range(len(dims))) + ",w:double>>"
+    groups = [f"g{i}" for i in range(len(dims))]
+    row = row.select("total", *groups, *[target_of(i, d) for i, d in enumerate(dims)])
     ones = F.struct(*[F.transform(f"t{i}", lambda x: F.lit(1.0)).alias(f"f{i}") for i in range(len(dims))])
 
     def factor(state: Column, cell: Column, but: int = -1) -> Column:
@@ -109,11 +138,11 @@ def fit(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, budget: float
     def scaled(state: Column, i: int) -> Column:
         """The state with dimension i's multipliers set so that its marginal holds."""
 
-        def multiplier(target: Column, n: Column) -> Column:
-            have = F.aggregate(F.filter("cells", lambda c: c[f"p{i}"] == n), F.lit(0.0), lambda a, c: a + c["w"] * factor(state, c, i))
+        def multiplier(target: Column, group: Column) -> Column:
+            have = F.aggregate(F.coalesce(group, F.array().cast(small_cells)), F.lit(0.0), lambda a, c: a + c["w"] * factor(state, c, i))
             return F.when(have > 0, target / have).otherwise(F.lit(0.0))
 
-        return F.struct(*[(F.transform(f"t{i}", multiplier) if j == i else state[f"f{j}"]).alias(f"f{j}") for j in range(len(dims))])
+        return F.struct(*[(F.zip_with(f"t{i}", f"g{i}", multiplier) if j == i else state[f"f{j}"]).alias(f"f{j}") for j in range(len(dims))])
 
     # Each step reads the one before as a column, so that no step is worked out twice.
     steps = F.sequence(F.lit(0), F.lit(rounds * len(dims) - 1))
@@ -124,9 +153,9 @@ def fit(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, budget: float
             out = F.when(F.pmod(k, F.lit(len(dims))) == i, scaled(state, i)).otherwise(out)
         return out
 
-    fitted = row.select("cells", "total", F.aggregate(steps, ones, step).alias("state"))
+    fitted = row.select("g0", F.aggregate(steps, ones, step).alias("state"))
     state = F.col("state")
-    largest = F.array_max(F.transform("cells", lambda c: factor(state, c)))
+    largest = F.array_max(F.transform("g0", lambda g: F.coalesce(F.array_max(F.transform(g, lambda c: factor(state, c))), F.lit(0.0))))
     sized = F.lit(1.0) if budget is None else F.lit(float(budget))
     c = F.least(sized, F.when(largest > 0, F.lit(1.0) / largest).otherwise(0.0))
     return fitted.select(F.coalesce(c, F.lit(0.0)).alias("c"), "state.*")
@@ -140,26 +169,26 @@ def probability(model: DataFrame, dims: list[Column], targets: Targets) -> Colum
     return F.least(F.lit(1.0), out)
 
 
-def mix(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, budget: float | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mix(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, budget: float | None = None, rounds: int = ROUNDS, listed: int = LISTED) -> DataFrame:
     """df with n_tokens, topic, probability and sampled.
 
     targets: for "source", "lang" and "topic" the target share of each value; by default tempered
-    natural shares. topic: a column expression; by default topic_of the text.
+    natural shares, of so many listed values a dimension. topic: a column expression; by default topic_of the text by the table's seed words.
     """
     df = df.drop(*({"n_tokens", "topic", "probability", "sampled"} - {id_col, text_col, source_col, lang_col}) if topic is None else ())
-    subject = topic_of(F.col(text_col)) if topic is None else topic
-    values = {"source": F.col(source_col), "lang": F.col(lang_col), "topic": subject}
-    measured = df.select(*[v.alias(d) for d, v in values.items()], n_tokens(F.col(text_col)).alias("n_tokens"))
+    subject = topic_of(named(text_col), seed_words(df, text_col)) if topic is None else topic
+    values = {"source": named(source_col), "lang": named(lang_col), "topic": subject}
+    measured = df.select(*[v.alias(d) for d, v in values.items()], n_tokens(named(text_col)).alias("n_tokens"))
     cells = materialise(cell_weights(measured, list(values)), "cells")
-    targets = targets or tempered(cells, list(values))
+    targets = targets or tempered(cells, list(values), most=listed)
     model = materialise(fit(cells, targets, rounds, budget), "mixing")
     s = fresh(df, "subject")
     shown = df.withColumn(s, subject)
-    p = probability(model, [F.col(source_col), F.col(lang_col), F.col(s)], targets)
-    return shown.withColumns({"n_tokens": n_tokens(F.col(text_col)), "probability": p}).withColumns({"topic": F.col(s), "sampled": uniform(F.col(id_col)) < F.col("probability")}).drop(s)
+    p = probability(model, [named(source_col), named(lang_col), F.col(s)], targets)
+    return shown.withColumns({"n_tokens": n_tokens(named(text_col)), "probability": p}).withColumns({"topic": F.col(s), "sampled": uniform(named(id_col)) < F.col("probability")}).drop(s)
 
 
 def sample(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled rows of df, with the columns of df."""
-    mixed = mix(df.withColumn(keep := fresh(df, "kept_columns"), F.struct(*df.columns)), targets, id_col, **options)
+    mixed = mix(df.withColumn(keep := fresh(df, "kept_columns"), F.struct(*all_of(df))), targets, id_col, **options)
     return mixed.where("sampled").select(f"{keep}.*")

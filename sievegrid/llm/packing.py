@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import materialise, slices, word_parts
+from sievegrid.llm.common import materialise, named, slices, word_parts
 
 CAPACITY = 4096
 END_ID = 1
@@ -52,6 +52,7 @@ class WordIds:
 
     Holds for tokenizers that lower-case and part at white space and between letters and
     punctuation, as word_bpe_49k does: ids of a text are then the ids of its words in order.
+    Added tokens part a text before all else, as they are written (case included).
     """
 
     def __init__(self, path: str):
@@ -59,11 +60,15 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # added tokens are found in whole texts, not in lower-cased words
+        added = {token.content.encode(): i for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
+        # A word never begins with a space, so these cannot be taken for words.
+        self.added_ids = {b" " + token: struct.pack("<I", i) for token, i in added.items()}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = dict(self.added_ids)
         self.parts: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -95,11 +100,21 @@ class WordIds:
         for part, a, b in zip(parts, [0, *cuts], cuts, strict=False):
             self.parts[part] = raw[4 * a : 4 * b]
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Words of a text in lower case, and between them its added tokens, each after a space."""
+        parts = self.added.split(text) if self.added else [text]
+        if len(parts) == 1:
+            return text.lower().split()  # ASCII only: letters A-Z, the six white-space characters
+        words: list[bytes] = []
+        for n, part in enumerate(parts):
+            words += [b" " + part] if n % 2 else part.lower().split()
+        return words
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text; what is remembered grows by the words of these texts at most."""
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        lists = [t.lower().split() for t in texts]  # ASCII only: letters A-Z, the six white-space characters
+            self.words = dict(self.added_ids)
+        lists = list(map(self._words, texts))
         fresh = [w for w in set().union(*lists) if w not in self.words]
         for at in range(0, len(fresh), REMEMBERED):
             self._learn(fresh[at : at + REMEMBERED])
@@ -142,7 +157,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 n = 5 + with_ids
                 yield pa.record_batch([pa.array(c, t) for c, t in list(zip(columns, types, strict=True))[:n]], names=names[:n])
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    source = df.select(named(id_col).alias("id"), named(text_col).cast("binary").alias("text"))
     return source.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 

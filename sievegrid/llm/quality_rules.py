@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import SPACE, fresh, materialise
+from sievegrid.llm.common import SPACE, all_of, fresh, materialise, named
 
 #: The bound of the training sample: about so many labelled rows, chosen by a hash of their ids.
 SAMPLE_ROWS = 12_000
@@ -87,7 +87,7 @@ def statistics(text: Column) -> dict[str, Column]:
 def with_statistics(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """df with one struct column of statistics, and that column's name."""
     name = fresh(df, "stats")
-    return df.withColumn(name, F.struct(*[c.cast("double").alias(k) for k, c in statistics(F.col(text_col)).items()])), name
+    return df.withColumn(name, F.struct(*[c.cast("double").alias(k) for k, c in statistics(named(text_col)).items()])), name
 
 
 def _paths(description: str, names: list[str]) -> set[tuple[Condition, ...]]:
@@ -116,12 +116,12 @@ def _shortest(path: list[Condition]) -> tuple[Condition, ...]:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO, seed: int = SEED) -> RuleModel:
     """Learn from the labelled rows of df. labels: id and label (0 or 1); rows with nulls are left out."""
-    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    given = labels.select(named(id_col).alias("id"), named(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     n = given.count()
     share = min(1.0, sample_rows / max(n, 1))
     chosen = given.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # The sample is bounded by sample_rows whatever the tables' size, so it may be broadcast.
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = df.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(chosen), "id")
     measured, stats = with_statistics(texts)
     # The sample is small: a few partitions keep the many short jobs of the fits short.
     rows = materialise(measured.select("id", "label", f"{stats}.*"), "training").coalesce(2).cache()
@@ -153,8 +153,8 @@ def score(df: DataFrame, model: RuleModel, text_col: str = "text", score_col: st
 
 def keep(df: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The rows of df that the model does not reject, with the columns of df."""
-    columns, whole = df.columns, fresh(df, "whole")
-    scored = score(df.withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in columns])), model, text_col)
+    whole = fresh(df, "whole")
+    scored = score(df.withColumn(whole, F.struct(*all_of(df))), model, text_col)
     return scored.where(F.col("predicted") == 1).select(f"{whole}.*")
 
 

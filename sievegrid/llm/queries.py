@@ -10,9 +10,10 @@ from sievegrid.llm.common import scratch_path, table
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents lie in folders source/language/hundreds of their ids."""
-    number = F.col("doc_id").cast("string")
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), number)
+    """Documents lie in folders source/language/thousands/hundreds of their ids, a third of them at each of the last three depths."""
+    key = F.col("doc_id")
+    folders = F.array("source", "lang", F.floor(key / 1000).cast("string"), F.floor(key / 100).cast("string"))
+    path = F.concat_ws("/", F.slice(folders, F.lit(1), (F.pmod(key, F.lit(3)) + 2).cast("int")), key.cast("string"))
     found = licences.scan(table(spark, sf_dir, "documents"), path)
     return found.withColumn("cosine", F.round("cosine", 6))
 
@@ -55,7 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
-#: Arrivals in which the documents come to the shard table, by ranges of their ids.
+#: Arrivals in which the documents come to the shard table, by remainders of their ids.
 ARRIVALS = 4
 
 
@@ -63,19 +64,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents come in arrivals, are compacted, and are read back through the last manifest."""
     docs = table(spark, sf_dir, "documents")
     shelf = shards.ShardTable(spark, scratch_path(spark, "shards"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = max(1, ((high or 0) - (low or 0)) // ARRIVALS + 1)
-    for k in range(ARRIVALS):
-        at = (low or 0) + k * step
-        here = (F.col("doc_id") >= at) & (F.col("doc_id") < at + step)
-        shelf.append(docs.where(here | F.col("doc_id").isNull() if k == 0 else here))
+    shelf.append_each(docs, F.pmod("doc_id", F.lit(ARRIVALS)))
     shelf.compact_all()
     return shelf.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "n_links")
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +113,7 @@ QUERIES = {
 
 
 
-def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topics: int = mixing.TOPICS) -> str:
+def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topics: int = mixing.TOPICS, letters: int = mixing.SEED_LETTERS) -> str:
     """Raking written out, one step after another, over the table of cells."""
     dims = ["source", "lang", "topic"]
     steps, last = [], "cells"
@@ -129,12 +125,17 @@ def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topi
         last = f"s{k}"
     targets = ", ".join(f"g_{d} AS (SELECT {d}, sum(n_tokens) ^ {temper} / sum(sum(n_tokens) ^ {temper}) OVER () AS t_{d} FROM measured GROUP BY {d})" for d in dims)
     return rf"""
-        WITH words AS (SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        longest AS (SELECT *, coalesce(list_max(list_transform(ws, lambda x: {{'n': length(x), 'w': x}})).w, '') AS long FROM words),
+        WITH words AS (
+            SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{{letters},}}') AS ls FROM documents),
+        counts AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(ls)) AS w FROM words) GROUP BY w ORDER BY n DESC, w LIMIT {topics}),
+        seeds AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS place FROM counts),
+        said AS (SELECT doc_id, unnest(ls) AS w FROM words),
+        had AS (SELECT doc_id, w, place, count(*) AS n FROM said JOIN seeds USING (w) GROUP BY ALL),
+        topics AS (SELECT doc_id, arg_max(w, (n, -place)) AS topic FROM had GROUP BY doc_id),
         measured AS (
-            SELECT doc_id, source, lang, 'topic' || (('0x' || substr(md5(long), 1, 4))::INT % {topics}) AS topic,
+            SELECT doc_id, source, lang, coalesce(topic, 'none') AS topic,
                    len(ws)::BIGINT AS n_tokens, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u
-            FROM longest),
+            FROM words LEFT JOIN topics USING (doc_id)),
         {targets},
         cells AS MATERIALIZED (
             SELECT *, 1.0::DOUBLE AS f_source, 1.0::DOUBLE AS f_lang, 1.0::DOUBLE AS f_topic
@@ -149,39 +150,36 @@ def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topi
 
 
 def _licence_sql(threshold: float = licences.THRESHOLD) -> str:
-    """Every line with any term of a template, against every template."""
-    values = ", ".join("('{}', '{}')".format(*x) for x in licences.TEMPLATES.items())
+    """Every block and every whole text against every template."""
+    values = ", ".join("({}, '{}', '{}', {})".format(i, name, text.replace("'", "''"), header) for i, (name, text, header) in enumerate(licences.templates()))
     return rf"""
         WITH docs AS (
-            SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, doc_id // 100) AS folder,
-                   concat_ws('/', source, lang, doc_id // 100, doc_id) AS path FROM documents),
+            SELECT doc_id, coalesce(text, '') AS text, array_to_string([source, lang, (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR][:doc_id % 3 + 2], '/') AS folder,
+                   folder || '/' || doc_id AS path FROM documents),
         n AS (SELECT count(*)::DOUBLE AS n FROM docs),
         bags AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{licences.TERM}'))) AS term FROM docs),
         idf AS (SELECT term, 1 + ln((any_value(n) + 1) / (count(*) + 1)) AS idf FROM bags, n GROUP BY term),
-        templates(licence, words) AS (VALUES {values}),
-        tf AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(words), '{licences.TERM}')) AS term FROM templates) GROUP BY ALL),
-        tw AS (SELECT licence, term, tf * coalesce(idf, 1 + ln(n + 1)) AS w FROM tf LEFT JOIN idf USING (term), n),
-        tn AS (SELECT licence, sqrt(sum(w * w)) AS norm FROM tw GROUP BY licence),
-        split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs),
-        lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM split),
-        terms AS (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '{licences.TERM}')) AS term FROM lines),
-        lw AS (SELECT doc_id, line_no, term, count(*) * any_value(idf) AS w FROM terms JOIN idf USING (term) GROUP BY ALL),
-        ln AS (SELECT doc_id, line_no, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
-        dots AS (SELECT doc_id, line_no, licence, sum(lw.w * tw.w) AS dot FROM lw JOIN tw USING (term) GROUP BY ALL),
-        cosines AS (SELECT doc_id, line_no, licence, round(dot / ln.norm / tn.norm, 9) AS cosine FROM dots JOIN ln USING (doc_id, line_no) JOIN tn USING (licence)),
-        hits AS (SELECT * FROM cosines WHERE cosine >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY cosine DESC, licence) = 1),
-        counted AS (SELECT doc_id, line_no, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
-        own AS (
-            SELECT doc_id, arg_min(licence, (-cosine, line_no, licence)) AS own_licence, max(cosine) AS cosine, sum(words) AS words
-            FROM hits JOIN counted USING (doc_id, line_no) GROUP BY doc_id),
-        sizes AS (SELECT doc_id, sum(words) AS words FROM counted GROUP BY doc_id),
-        files AS (
-            SELECT folder, arg_min(own_licence, (-cosine, doc_id)) AS given
-            FROM docs JOIN own USING (doc_id) JOIN sizes USING (doc_id) WHERE own.words * 2 >= sizes.words GROUP BY folder),
+        templates(i, licence, words, header) AS (VALUES {values}),
+        tf AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(regexp_extract_all(lower(words), '{licences.TERM}')) AS term FROM templates) GROUP BY ALL),
+        tw AS (SELECT i, licence, header, term, (1 + ln(tf)) * coalesce(idf, 1 + ln(n + 1)) AS w FROM tf JOIN templates USING (i) LEFT JOIN idf USING (term), n),
+        tn AS (SELECT i, sqrt(sum(w * w)) AS norm FROM tw GROUP BY i),
+        cut AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN len(string_split(l, ' ')) > {licences.LONG_LINE} THEN regexp_extract_all(l, '{licences.SENTENCE}') ELSE [l] END)) AS p FROM docs),
+        starts AS (SELECT doc_id, p, unnest(range(len(p))) AS pos FROM cut),
+        units AS (
+            SELECT doc_id, pos, size, array_to_string(p[pos + 1:pos + size], ' ') AS text FROM starts, range(1, {licences.RUN + 1}) s(size) WHERE pos + size <= len(p)
+            UNION ALL SELECT doc_id, -1, 0, text FROM docs),
+        terms AS (SELECT doc_id, pos, size, unnest(regexp_extract_all(lower(text), '{licences.TERM}')) AS term FROM units),
+        lw AS (SELECT doc_id, pos, size, term, (1 + ln(count(*))) * any_value(idf) AS w FROM terms JOIN idf USING (term) GROUP BY ALL),
+        ln AS (SELECT doc_id, pos, size, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
+        dots AS (SELECT doc_id, pos, size, i, any_value(licence) AS licence, sum(lw.w * tw.w) AS dot FROM lw JOIN tw USING (term) WHERE header OR size = 0 GROUP BY doc_id, pos, size, i),
+        cosines AS (SELECT doc_id, pos, size, licence, round(dot / ln.norm / tn.norm, 9) AS cosine FROM dots JOIN ln USING (doc_id, pos, size) JOIN tn USING (i)),
+        hits AS (SELECT * FROM cosines WHERE cosine >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, pos, size ORDER BY cosine DESC, licence) = 1),
+        own AS (SELECT doc_id, arg_min(licence, (-cosine, pos, size, licence)) AS own_licence, max(cosine) AS cosine, bool_or(size = 0) AS is_file FROM hits GROUP BY doc_id),
+        files AS (SELECT folder, arg_min(own_licence, (-cosine, doc_id)) AS given FROM docs JOIN own USING (doc_id) WHERE is_file GROUP BY folder),
         near AS (
             SELECT d.doc_id, arg_max(f.folder, len(f.folder)) AS above, arg_max(f.given, len(f.folder)) AS given
             FROM docs d JOIN files f ON d.folder = f.folder OR starts_with(d.folder, f.folder || '/') GROUP BY d.doc_id)
-        SELECT doc_id, path, own_licence, round(cosine, 6) AS cosine,
+        SELECT doc_id, path, own_licence, round(cosine, 6) AS cosine, coalesce(is_file, false) AS is_file,
                CASE WHEN own_licence IS NULL THEN above END AS inherited_from, coalesce(own_licence, given) AS licence
         FROM docs LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
     """
@@ -195,7 +193,7 @@ ORACLE_SQL = {
         WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS text FROM documents),
         split AS (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM docs),
         lines AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM split),
-        sets AS (SELECT r, doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM lines),
+        sets AS (SELECT r, doc_id, line, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words FROM lines),
         classes AS (
             SELECT row_number() OVER () AS c, words, len(words) AS n, min((doc_id, r, line_no)) AS first
             FROM sets WHERE len(words) > 0 GROUP BY words),
@@ -213,10 +211,11 @@ ORACLE_SQL = {
             WHERE 9 * len(list_intersect(x.words, y.words)) >= 4 * (x.n + y.n)),
         judged AS (SELECT c, count(*) AS links, bool_or(late) AS late FROM links GROUP BY c),
         told AS (
-            SELECT s.r, s.doc_id, coalesce(j.links, 0) AS links,
+            SELECT s.r, s.doc_id, s.line, s.line_no, coalesce(j.links, 0) AS links,
                    coalesce(j.late, false) OR (k.c IS NOT NULL AND (s.doc_id, s.r, s.line_no) <> k.first) AS goes
             FROM sets s LEFT JOIN classes k ON s.words = k.words LEFT JOIN judged j ON j.c = k.c)
-        SELECT doc_id, count(*) AS n_lines, count_if(goes)::BIGINT AS n_removed, sum(links)::BIGINT AS n_links
+        SELECT doc_id, count(*) AS n_lines, count_if(goes)::BIGINT AS n_removed, sum(links)::BIGINT AS n_links,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT goes), '')) AS kept_sha256
         FROM told GROUP BY r, doc_id
     """,
     "op9_exact_dedup": r"""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import fresh, materialise, row_marks, slices, word_parts
+from sievegrid.llm.common import all_of, fresh, materialise, named, row_marks, slices, word_parts
 from sievegrid.llm.components import connected_components
 
 SHINGLE = 3
@@ -87,7 +87,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = fingerprints_of([t or b"" for t in part.column("text").to_pylist()], size)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), part.column(1), part.column(2)], names=["id", "fp", "m1", "m2"])
 
-    rows = df.select(F.col(id_col).alias("id"), m1.alias("m1"), m2.alias("m2"), F.col(text_col).cast("binary").alias("text"))
+    rows = df.select(named(id_col).alias("id"), m1.alias("m1"), m2.alias("m2"), named(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(read, f"id {kind}, fp long, m1 long, m2 long")
 
 
@@ -155,9 +155,9 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of df with the smallest id of their component (one row of each), with all columns of df."""
     a, b = fresh(df, "m1"), fresh(df, "m2")
     classes = near_duplicates(df, id_col, text_col, size, distance)
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("m1").alias("x"), F.col("m2").alias("y"))
+    order = F.struct(named(id_col).isNull().alias("n"), named(id_col).alias("i"), F.col("m1").alias("x"), F.col("m2").alias("y"))
     kept = classes.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.x").alias(a), F.col("k.y").alias(b))
     m1, m2 = row_marks(id_col, text_col)
     stays = df.withColumns({a: m1, b: m2}).join(kept, [a, b], "left_semi")
     # Rows that repeat whole match alike: one of them stays.
-    return stays.dropDuplicates([a, b]).select(*df.columns)
+    return stays.dropDuplicates([a, b]).select(*all_of(df))

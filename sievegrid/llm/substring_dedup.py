@@ -12,6 +12,11 @@ tell the others. So a passage that millions of documents share sends one string
 travel in compressed chunks, one per scan task and bucket; a bucket task that gets more than it
 may hold parts them by minimiser into temporary files.
 
+A minimiser may be hot: a run of five words that very many different passages hold. Its strings
+would all go to one task, so they are cut into single windows, which are dealt by their own hash
+instead. Which minimisers are hot is estimated from a hash sample of the rows; that decides only
+where windows meet. Every window of every row is counted whatever the sample says.
+
 Defined results: a null text has no words and becomes an empty kept text; a text shorter than the
 window keeps all its words; rows that repeat whole count as often as they come; an empty table
 gives no rows; other columns pass through, and an output replaces a column that has its name.
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievegrid.llm.common import fresh, row_marks, slices, word_parts
+from sievegrid.llm.common import all_of, fresh, named, row_marks, slices, word_parts
 
 WINDOW = 35
 #: Words in a minimiser.
@@ -42,6 +47,10 @@ FOLD_BYTES = 48 << 20
 BUCKET_BYTES = 192 << 20
 #: Parts into which it then parts them.
 PARTS = 32
+#: One row of so many is sampled for hot minimisers.
+HOT_SAMPLE = 64
+#: Bytes of packed strings, estimated, from which a minimiser is hot; at least this share of a task's fair part is asked too.
+HOT_BYTES, HOT_SHARE = 48 << 20, 0.25
 #: Words looked at together; places in such a block fit 20 bits.
 BLOCK = 1 << 18
 
@@ -123,9 +132,55 @@ def _unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
 
-def _scanner(window: int, buckets: int, fold_bytes: int):
+def _units(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[list[tuple[int, int, int]], list[list[bytes]]]]:
+    """Runs of words of rows (m1, m2, text) and their marks, for about BLOCK words at a time."""
+    marks, units, words = [], [], 0
+    for part in slices(batches, "text"):
+        for m1, m2, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for first, run in word_parts(text or b"", window - 1):
+                if len(run) < window:
+                    continue
+                marks.append((m1, m2, first))
+                units.append(run)
+                words += len(run)
+                if words >= BLOCK:
+                    yield marks, units
+                    marks, units, words = [], [], 0
+    yield marks, units
+
+
+def hot_minimisers(rows: DataFrame, window: int, buckets: int, sample: int = HOT_SAMPLE, least: int = HOT_BYTES) -> frozenset[int]:
+    """Minimisers with more bytes of strings than that and than HOT_SHARE of a bucket's fair part: 4 * buckets at most."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, units in _units(batches, window):
+            sizes: dict[int, int] = {}
+            for _, _, _, minimiser, packed in super_kmers(units, window):
+                sizes[minimiser] = sizes.get(minimiser, 0) + len(packed)
+            yield pa.record_batch([pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], names=["minimiser", "bytes"])
+
+    some = rows.where(F.pmod("m2", F.lit(sample)) == 0).mapInArrow(weigh, "minimiser long, bytes long")
+    sized = some.groupBy("minimiser").agg((F.sum("bytes") * sample).alias("bytes")).where(F.col("bytes") >= least)
+    if sized.isEmpty():
+        return frozenset()
+    whole = some.agg(F.sum("bytes") * sample).first()[0]
+    return frozenset(r.minimiser for r in sized.where(F.col("bytes") >= HOT_SHARE * whole / buckets).collect())
+
+
+def _scanner(window: int, buckets: int, fold_bytes: int, hot: frozenset[int]):
     """Rows (m1, m2, text) to rows (bucket, decided spans?, chunk)."""
 
+    def cut(found: Iterator[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """The same windows, those of hot minimisers one by one under a hash of their own."""
+        for unit, at, size, minimiser, packed in found:
+            if minimiser not in hot:
+                yield unit, at, size, minimiser, packed
+                continue
+            words = packed.split(b" ")
+            for i in range(len(words) - window + 1):
+                one = b" ".join(words[i : i + window])
+                yield unit, at + i, window, xxhash.xxh3_64_intdigest(one) >> 1 | 1 << 63, one
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
         seen: dict[bytes, int] = {}
@@ -156,7 +211,7 @@ def _scanner(window: int, buckets: int, fold_bytes: int):
 
         def fold(marks: list[tuple[int, int, int]], units: list[list[bytes]]) -> None:
             nonlocal held
-            for unit, at, size, minimiser, packed in super_kmers(units, window):
+            for unit, at, size, minimiser, packed in cut(super_kmers(units, window)) if hot else super_kmers(units, window):
                 m1, m2, first = marks[unit]
                 known = seen.get(packed)
                 if known is None:
@@ -171,21 +226,10 @@ def _scanner(window: int, buckets: int, fold_bytes: int):
                 spans.append((m1, m2, first + at, first + at + size))
                 held += 100
 
-        marks, units, words = [], [], 0
-        for part in slices(batches, "text"):
-            for m1, m2, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for first, run in word_parts(text or b"", window - 1):
-                    if len(run) < window:
-                        continue
-                    marks.append((m1, m2, first))
-                    units.append(run)
-                    words += len(run)
-                    if words >= BLOCK:
-                        fold(marks, units)
-                        marks, units, words = [], [], 0
-                        if held > fold_bytes:
-                            yield from flush()
-        fold(marks, units)
+        for marks, units in _units(batches, window):
+            fold(marks, units)
+            if held > fold_bytes:
+                yield from flush()
         yield from flush()
 
     return scan
@@ -311,15 +355,16 @@ def _counter(window: int, most: int):
     return count
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None, fold_bytes: int = FOLD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None, fold_bytes: int = FOLD_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_sample: int = HOT_SAMPLE, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(m1, m2, spans): for rows by their marks, spans of words covered by windows that also start elsewhere.
 
     buckets: tasks that count, by default as many as Spark's shuffle partitions.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     m1, m2 = row_marks(id_col, text_col)
-    rows = df.select(m1.alias("m1"), m2.alias("m2"), F.col(text_col).cast("binary").alias("text"))
-    chunks = rows.mapInArrow(_scanner(window, buckets, fold_bytes), "bucket int, spans boolean, chunk binary")
+    rows = df.select(m1.alias("m1"), m2.alias("m2"), named(text_col).cast("binary").alias("text"))
+    hot = hot_minimisers(rows, window, buckets, hot_sample, hot_bytes)
+    chunks = rows.mapInArrow(_scanner(window, buckets, fold_bytes, hot), "bucket int, spans boolean, chunk binary")
     spans = chunks.repartitionById(buckets, "bucket").mapInArrow(_counter(window, bucket_bytes), "m1 long, m2 long, start long, stop long")
     return spans.distinct().groupBy("m1", "m2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
@@ -352,7 +397,7 @@ def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str =
     a, b, s, t = (fresh(df, x) for x in ("m1", "m2", "spans", "words_in"))
     m1, m2 = row_marks(id_col, text_col)
     found = found.select(F.col("m1").alias(a), F.col("m2").alias(b), F.col("spans").alias(s))
-    joined = df.withColumns({a: m1, b: m2}).join(found, [a, b], "left").select(*df.columns, F.col(s), F.col(text_col).cast("binary").alias(t))
+    joined = df.withColumns({a: m1, b: m2}).join(found, [a, b], "left").select(*all_of(df), F.col(s), named(text_col).cast("binary").alias(t))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, t):

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+from collections import Counter
 import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievegrid.llm import gif_media as op
 from sievegrid.llm.queries import op6_gif_media
@@ -53,14 +55,45 @@ def test_broken_files_and_clashing_columns(spark):
     assert bytes(op.text_to_gif(texts).first().media) == good and op.text_to_gif(texts.where("false")).count() == 0
 
 
+def plain_feature(payload):
+    """Frames painted pixel by pixel: plain; reversed greys seen through at spaces; plain, taken back; reversed greys, cleared."""
+    rows = len(payload) // 192
+    step = 192 * min(340, max(4, -(-rows // 3)))
+    frames = [payload[i : i + step] for i in range(0, len(payload), step)]
+    canvas, bins = [0] * len(frames[0]), Counter()
+    for n, frame in enumerate(frames):
+        before = canvas[:]
+        for i, s in enumerate(frame):
+            if n % 4 != 1 or s != 32:
+                canvas[i] = 21 * ((255 - s if n % 2 else s) >> 6)
+        bins += Counter(canvas)
+        canvas = before if n % 4 == 2 else [0] * len(frame) + canvas[len(frame) :] if n % 4 == 3 else canvas
+    return f"frames={len(frames)};ms={100 * len(frames)};bins=" + ",".join(f"{b}:{bins[b]}" for b in sorted(bins))
+
+
+def checked(r, text):
+    raw = (text or "").encode()
+    payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert r.media_bytes > 781 and r.feature == plain_feature(payload)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     rows = op6_gif_media(spark, sf).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        raw = (texts[r.doc_id] or "").encode()
-        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
-        media = op.encode_gif(payload)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        checked(r, texts[r.doc_id])
+
+
+def test_odd_rows(spark, tmp_path):
+    long = "".join(chr(random.Random(3).randrange(32, 0x2FF)) for _ in range(50)) * 20_000
+    rows = [(1, long), (2, None), (3, ""), (3, ""), (None, "x"), (4, "y " * 5000), (5, "y " * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("feature", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op6_gif_media(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    of = {r.doc_id: r for r in got}
+    for id_, text in rows:
+        checked(of[id_], text)
+    assert tuple(of[4])[1:] == tuple(of[5])[1:]

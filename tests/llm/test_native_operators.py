@@ -27,7 +27,7 @@ def plain_lines(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"buckets": 8, "broadcast_ids": 0}])
+@pytest.mark.parametrize("options", [{}, {"buckets": 8, "broadcast_rows": 0}])
 def test_lines(spark, options):
     rng = random.Random(2)
     base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 16))] for _ in range(25)]
@@ -47,26 +47,72 @@ def test_lines(spark, options):
     assert line_dedup.dedup_lines(df.where("false"), **options).count() == 0
 
 
-def test_licences(spark):
+PLAIN = "die der und words that say nothing at all "
+TEXTS = {name: text for name, text, header in licences.templates() if not header}
+
+
+def scanned(spark, rows, **options):
+    df = spark.createDataFrame([(i, d, t, 1) for i, d, t in rows], "doc_id long, dir string, text string, licence int")
+    return {r.doc_id: r for r in licences.scan(df, F.concat_ws("/", "dir", F.col("doc_id").cast("string")), **options).collect()}
+
+
+@pytest.mark.parametrize("bound", [licences.BROADCAST_ROWS, 0])
+def test_licences(spark, bound):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [
         (1, "a", mit), (2, "a/b", "plain words " * 30), (3, "a/b/c", apache + "\nmore words here that go on for quite a while, so that this is no licence file"),
         (4, "a/b/c", "plain"), (5, "x", "plain"), (6, "a/b/c/d", apache), (7, "a/b/c/d", "plain"), (8, None, None), (9, "", ""), (7, "a/b/c/d", "plain"), (10, "ab", "plain"),
     ]
     rows += [(100 + i, f"z{i}", f"the license is under version {i} of words") for i in range(40)]
-    df = spark.createDataFrame([(i, d, t, 1) for i, d, t in rows], "doc_id long, dir string, text string, licence int")
-    for bound in (licences.BROADCAST_ROWS, 0):
-        got = {r.doc_id: r for r in licences.scan(df, F.concat_ws("/", "dir", F.col("doc_id").cast("string")), broadcast_rows=bound).collect()}
-        assert {i: got[i].licence for i in range(1, 11)} == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "MIT", 5: None, 6: "Apache-2.0", 7: "Apache-2.0", 8: None, 9: None, 10: None}
-        assert (got[4].inherited_from, got[7].inherited_from, got[3].inherited_from) == ("a", "a/b/c/d", None)
-        assert not any(got[i].own_licence for i in range(100, 140))
-    assert licences.scan(df.where("false"), F.col("dir")).count() == 0
+    got = scanned(spark, rows, broadcast_rows=bound)
+    assert {i: got[i].licence for i in range(1, 11)} == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "MIT", 5: None, 6: "Apache-2.0", 7: "Apache-2.0", 8: None, 9: None, 10: None}
+    assert (got[4].inherited_from, got[7].inherited_from, got[3].inherited_from) == ("a", "a/b/c/d", None)
+    assert not any(got[i].own_licence for i in range(100, 140)) and not got[3].is_file and got[1].is_file
+
+
+def test_whole_licence_files(spark):
+    """Files with other holders' lines, in upper case or in one line, are licence files of their directories."""
+    rows = [(i, f"d{i}/sub", "plain") for i in range(len(TEXTS))]
+    for i, (_, text) in enumerate(sorted(TEXTS.items())):
+        changed = [f"Copyright (c) 20{i:02} Some Holder, Some Other\nAll rights reserved.\n\n{text}", text.upper(), " ".join(text.split())][i % 3]
+        rows.append((100 + i, f"d{i}", changed))
+    got = scanned(spark, rows + [(500 + i, "e", PLAIN * 9) for i in range(30)])
+    for i, name in enumerate(sorted(TEXTS)):
+        assert (got[100 + i].own_licence, got[100 + i].is_file) == (name, True)
+        assert (got[i].licence, got[i].inherited_from) == (name, f"d{i}")
+    assert not any(got[500 + i].licence for i in range(30))
+
+
+def test_wrapped_and_buried_headers(spark):
+    """Headers in comments, wrapped at any width, inside a long line, or as a tag; all but the last have one."""
+    headers = [h for h in licences.HEADERS if len(h[1]) > 60]
+    rows, want = [], {}
+    for i, (name, text) in enumerate(headers):
+        words, lines = text.split(), [""]
+        for w in words:
+            lines = [*lines[:-1], lines[-1] + " " + w] if len(lines[-1]) < 60 else [*lines, w]
+        rows.append((i, "s", PLAIN + "\n" + "\n".join(f" * {x}" for x in lines) + "\n" + (PLAIN + "\n") * 30))
+        rows.append((100 + i, "s", PLAIN * 5 + ". " + text.rstrip(".") + ". " + PLAIN * 20))
+        want |= {i: name, 100 + i: name}
+    rows += [(300, "s", "// SPDX-License-Identifier: LGPL-2.1\nint main() {}\n" + PLAIN * 9), (301, "s", PLAIN * 50)]
+    got = scanned(spark, rows)
+    wrong = {i: (name, got[i].own_licence) for i, name in want.items() if got[i].own_licence != name}
+    assert not wrong and got[300].own_licence == "LGPL-2.1" and got[301].own_licence is None
+    assert not any(r.is_file for r in got.values())
+
+
+def test_licence_ties_and_long_texts(spark):
+    both = "SPDX-License-Identifier: MIT\n" + PLAIN + "\nSPDX-License-Identifier: ISC\n" + PLAIN * 9
+    long = (PLAIN * 20 + "\n") * 2_000 + "Released under the MIT License\n" + "x" * 2_000_000
+    got = scanned(spark, [(1, "s", both), (2, "s", both), (3, "s", long)])
+    assert (got[1].own_licence, got[2].own_licence, got[3].own_licence) == ("MIT", "MIT", "MIT")  # of equal cosines the earlier block
 
 
 def test_core_terms_lose_no_template():
-    unit = licences.vectors(licences.TEMPLATES, {t: 1.0 for v in licences.TEMPLATES.values() for t in __import__("re").findall(licences.TERM, v.lower())})
+    texts = [text for _, text, _ in licences.templates()]
+    unit = licences.vectors(texts, {t: 1.0 for v in texts for t in __import__("re").findall(licences.TERM, v.lower())})
     core = set(licences.core_terms(unit, 0.75))
-    for vector in unit.values():
+    for vector in unit:
         assert sum(w * w for t, w in vector.items() if t not in core) ** 0.5 < 0.75
 
 

@@ -13,13 +13,11 @@ from sievegrid.llm.queries import op10_best_fit_packing, word_bpe_path
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(word_bpe_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(word_bpe_path())
 
 
 def test_ids_by_words_are_the_tokenizers(tokenizer):
-    odd = ["It's I'VE a'b", "İstanbul", "é äb", "日本語 12３½", "ΣΑΣ", "<|endoftext|> a", "a\x85b", "﻿q", "² 1a1", "foo_bar--baz...", "가각", "", " \n", "x" * 3000, "ͅ a"]
+    odd = ["It's I'VE a'b", "İstanbul", "é äb", "日本語 12３½", "ΣΑΣ", "<|endoftext|> a", "a <|endoftext|> b", "A<|endoftext|>B <|startoftext|><|endoftext|>", "a <|ENDOFTEXT|> <|endoftext b", "e<|endoftext|>\u0301", "a\x85b", "﻿q", "² 1a1", "foo_bar--baz...", "가각", "", " \n", "x" * 3000, "ͅ a"]
     got = op.WordIds(word_bpe_path()).encode([t.encode() for t in odd])
     for text, ids in zip(odd, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
@@ -56,7 +54,8 @@ def test_large_items_pair_and_small_ones_fill(seed):
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "a b"), (4, "w " * 300_000)]
-    got = op.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), word_bpe_path()).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS id", "8 AS length", "9 AS sequence_id")
+    got = op.pack_documents(df, word_bpe_path()).collect()
     assert sorted((r.doc_id or 0, r.length) for r in got if r.doc_id != 4) == [(0, 3), (1, 1), (2, 1), (2, 1)]
     assert sum(r.length for r in got if r.doc_id == 4) == 300_001 and max(r.piece for r in got) == 73
     assert op.pack_documents(spark.createDataFrame([], "doc_id long, text string"), word_bpe_path()).count() == 0

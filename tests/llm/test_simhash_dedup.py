@@ -59,6 +59,11 @@ def test_odd_rows(spark):
     assert op.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x" * (1 << 20) + " a b", " " * (1 << 20) + "a b c d", "a " + "y" * (1 << 20) + " b", "x" * (1 << 20) + " " * (1 << 20) + "a", "a b " + " " * (3 << 20), "q " + "z" * (2 << 20)])
+def test_very_long_words_and_blanks(text):
+    assert int(op.fingerprints_of([b"a b", text.encode(), b""])[1]) == plain_fingerprint(text)
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3, 5])
 def test_links_lose_no_pair(spark, distance):
     rng = random.Random(distance)
