@@ -67,8 +67,9 @@ RUN = 5
 #: Rows of a word or directory table that may be broadcast.
 BROADCAST_ROWS = 200_000
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
-#: A mark ends a sentence only before a space.
-SENTENCE = r"(?:[^.;!?]|[.;!?]+[^\s.;!?])+[.;!?]*"
+#: A mark ends a sentence only before a space. Possessive, so that long lines need no deep stack.
+SENTENCE = r"[^.;!?]+(?:[.;!?]+[^\s.;!?][^.;!?]*+)*+[.;!?]*"
+
 
 
 @cache

@@ -151,6 +151,7 @@ def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topi
 
 def _licence_sql(threshold: float = licences.THRESHOLD) -> str:
     """Every block and every whole text against every template."""
+    sentence = licences.SENTENCE.replace("*+", "*")
     values = ", ".join("({}, '{}', '{}', {})".format(i, name, text.replace("'", "''"), header) for i, (name, text, header) in enumerate(licences.templates()))
     return rf"""
         WITH docs AS (
@@ -163,7 +164,7 @@ def _licence_sql(threshold: float = licences.THRESHOLD) -> str:
         tf AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(regexp_extract_all(lower(words), '{licences.TERM}')) AS term FROM templates) GROUP BY ALL),
         tw AS (SELECT i, licence, header, term, (1 + ln(tf)) * coalesce(idf, 1 + ln(n + 1)) AS w FROM tf JOIN templates USING (i) LEFT JOIN idf USING (term), n),
         tn AS (SELECT i, sqrt(sum(w * w)) AS norm FROM tw GROUP BY i),
-        cut AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN len(string_split(l, ' ')) > {licences.LONG_LINE} THEN regexp_extract_all(l, '{licences.SENTENCE}') ELSE [l] END)) AS p FROM docs),
+        cut AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN len(string_split(l, ' ')) > {licences.LONG_LINE} THEN regexp_extract_all(l, '{sentence}') ELSE [l] END)) AS p FROM docs),
         starts AS (SELECT doc_id, p, unnest(range(len(p))) AS pos FROM cut),
         units AS (
             SELECT doc_id, pos, size, array_to_string(p[pos + 1:pos + size], ' ') AS text FROM starts, range(1, {licences.RUN + 1}) s(size) WHERE pos + size <= len(p)
