@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -11,7 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievegrid.functions.text import official_url
+
 _ANCHORS = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("url", T.StringType())]))
+_ROWS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "href", "meta")]))
 _TABLES = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
 _BLOCKS = {"p", "div", "li", "ul", "ol", "tr", "table", "br", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav"}
 
@@ -94,7 +98,7 @@ def page_anchors(html: str | None, base: str | None) -> list[dict]:
             continue
         if url.startswith(("http://", "https://")):
             out.setdefault(url, _clean(title))
-    return [{"title": t, "url": u} for u, t in out.items()]
+    return [{"title": t[:220], "url": u} for u, t in out.items()]
 
 
 def page_tables(html: str | None) -> list[list[list[str]]]:
@@ -134,9 +138,12 @@ def visible_text(html: Column | str) -> Column:
     return F.pandas_udf(_texts, T.StringType())(html)
 
 
-def anchors(html: Column | str, base: Column | str) -> Column:
-    """array of struct(title, url)."""
-    return F.pandas_udf(_anchor_lists, _ANCHORS)(html, base)
+def anchors(html: Column | str, base: Column | str, hosts: list[str] | None = None) -> Column:
+    """array of struct(title, url), titles to 220 characters; hosts: only of these."""
+    found = F.pandas_udf(_anchor_lists, _ANCHORS)(html, base)
+    if hosts is None:
+        return found
+    return F.filter(found, lambda a: F.lower(F.try_parse_url(a["url"], F.lit("HOST"))).isin(hosts))
 
 
 def tables(html: Column | str) -> Column:
@@ -162,11 +169,116 @@ def regex_anchors(html: Column, most: int = 400) -> Column:
     return F.slice(F.transform(F.arrays_zip(urls.alias("url"), titles.alias("title")), lambda a: F.struct(a["url"].alias("url"), F.trim(a["title"]).alias("title"))), 1, most)
 
 
-def decode_best(content: Column, charsets: tuple[str, ...] = ("UTF-8", "UTF-16LE", "ISO-8859-1")) -> Column:
-    """Bytes as text by the charset that leaves most CJK characters and fewest replacements."""
+def _decoded(content: bytes | None, declared: str | None, marks: dict[str, int] | None) -> str | None:
+    """A page's text by the best of its charsets: as declared, as its head says, UTF-8, GB18030.
+
+    marks: strict decoding, judged by the phrases found and their weights; else decoding with
+    replacements, judged by CJK characters (2 each) less 20 for each replacement.
+    """
+    if content is None:
+        return None
+    head = re.search(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9._-]+)", content[:8192], re.I)
+    named = [declared, head and head[1].decode("ascii"), "utf-8", "gb18030"]
+    best: tuple[int, str] | None = None
+    for charset in dict.fromkeys("gb18030" if n.strip().lower() in ("gb2312", "gbk", "gb_2312-80") else n.strip().lower() for n in named if n):
+        try:
+            text = content.decode(charset, "strict" if marks is not None else "replace")
+        except (LookupError, UnicodeDecodeError):
+            continue
+        if marks is not None:
+            worth = sum(w for mark, w in marks.items() if mark in text)
+        else:
+            worth = 2 * len(re.findall("[\u3400-\u9fff]", text)) - 20 * text.count("\ufffd")
+        if best is None or worth > best[0]:
+            best = worth, text
+    return best[1] if best else content.decode("utf-8", "replace")
+
+
+def decode_best(content: Column | str, declared: Column | None = None, marks: dict[str, int] | None = None) -> Column:
+    """Bytes as text by the charset that reads best. marks: phrases with weights that tell it, instead of the share of CJK characters."""
+
+    def decode(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+        return pd.Series([_decoded(b, c, marks) for b, c in zip(bodies, charsets, strict=True)], dtype=object)
+
+    return F.pandas_udf(decode, T.StringType())(content, F.lit(None).cast("string") if declared is None else declared)
+
+
+# What links to a next page say.
+NEXT_LABELS = ["下一页", "下页", "后一页", "next", "next page", "›", "»", ">"]
+
+
+def regex_text(html: Column) -> Column:
+    """Text without tags, scripts and styles, by patterns, with the common entities read."""
+    x = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " ")
+    x = F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"(?i)&nbsp;|&#160;", " ")
+    for entity, mark in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&#39;|&apos;", "'")):
+        x = F.regexp_replace(x, f"(?i){entity}", mark)
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+
+
+def next_page(html: Column, base: Column, hosts: list[str] | Column | None = None) -> Column:
+    """The official address of the next page: of a link element of that relation, else of the first anchor of that relation or label; NULL if none leads elsewhere."""
+    href, rel = r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", r"(?i)\brel\s*=\s*[\"']([^\"']+)[\"']"
+    is_next = lambda attrs: F.array_contains(F.split(F.lower(F.regexp_extract(attrs, rel, 1)), r"\s+"), "next")
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b([^>]*?)>"), F.lit(1)), is_next)
+    attrs, labels = (F.regexp_extract_all(html, F.lit(r"(?is)<a\b([^>]*)>(.*?)</a>"), F.lit(i)) for i in (1, 2))
+    anchors = F.filter(F.arrays_zip(attrs.alias("a"), labels.alias("t")), lambda z: is_next(z["a"]) | F.lower(regex_text(z["t"])).isin(NEXT_LABELS))
+    urls = F.transform(F.concat(links, F.transform(anchors, lambda z: z["a"])), lambda a: official_url(F.nullif(F.regexp_extract(a, href, 1), F.lit("")), base, hosts))
+    return F.get(F.filter(urls, lambda u: u.isNotNull() & (u != base)), F.lit(0))
+
+
+def list_rows(html: Column | str) -> Column:
+    """array of struct(title, href, meta): of each outermost item of a result list the first link and the text beside it."""
+    return F.pandas_udf(_list_rows, _ROWS)(html)
 
-    def worth(text: Column) -> Column:
-        return F.length(F.regexp_replace(text, r"[^\p{IsHan}]", "")) - F.lit(20) * F.length(F.regexp_replace(text, "[^�]", ""))
 
-    tried = F.array(*[F.struct(worth(F.decode(content, c)).alias("worth"), F.lit(-i).alias("order"), F.decode(content, c).alias("text")) for i, c in enumerate(charsets)])
-    return F.array_max(tried)["text"]
+class _ResultList(HTMLParser):
+    """Items of lists of the class vT-srch-result-list-bid."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[dict] = []
+        self.inside = self.depth = 0
+        self.in_link = False
+        self.href: str | None = None
+        self.title: list[str] = []
+        self.meta: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        if tag in ("ul", "div") and "vT-srch-result-list-bid" in (given.get("class") or "").split():
+            self.inside += 1
+        elif tag == "li" and self.inside:
+            self.depth += 1
+            if self.depth == 1:
+                self.href, self.title, self.meta = None, [], []
+        elif tag == "a" and self.depth == 1 and self.href is None:
+            self.href, self.in_link = given.get("href"), True
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self.depth == 1:
+            self.in_link = False
+        elif tag == "li" and self.depth:
+            title, href = "".join(self.title).strip(), (self.href or "").strip()
+            if self.depth == 1 and title and href:
+                self.rows.append({"title": title, "href": href, "meta": " ".join(self.meta).strip()})
+            self.depth -= 1
+        elif tag in ("ul", "div") and self.inside and not self.depth:
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.depth == 1:
+            if self.in_link:
+                self.title.append(data)
+            elif data.strip():
+                self.meta.append(data.strip())
+
+
+def _list_rows(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in pages:
+        out = []
+        for html in part:
+            parser = _ResultList()
+            parser.feed(html or "")
+            out.append(parser.rows)
+        yield pd.Series(out)

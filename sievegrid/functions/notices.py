@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievegrid.functions.text import any_term, budget_cny, collapse, phone, section
+from sievegrid.functions.text import any_term, budget_cny, collapse, let, phone, section
 
 OFFSET = "+08:00"
 _DAY = r"(20\d{2})\s*[-/年]\s*(\d{1,2})\s*[-/月]\s*(\d{1,2})\s*日?"
@@ -39,13 +39,20 @@ def labelled(text: Column, labels: list[str]) -> Column:
 
 def day_after(text: Column, labels: list[str]) -> Column:
     """yyyy-MM-dd of the date after a label, if it is in the calendar."""
-    part = _first(text, [f"{label}\\s*[：:|]?\\s*({_DAY})" for label in labels])
+    return let(_first(text, [f"{label}\\s*[：:|]?\\s*({_DAY})" for label in labels]), _day_in)
+
+
+def _day_in(part: Column) -> Column:
     shown = F.format_string("%s-%02d-%02d", F.regexp_extract(part, _DAY, 1), F.regexp_extract(part, _DAY, 2).try_cast("int"), F.regexp_extract(part, _DAY, 3).try_cast("int"))
     return F.when(part.isNotNull() & shown.try_cast("date").isNotNull(), shown)
 
 
 def moment(part: Column, offset: str = OFFSET) -> Column:
     """ISO text of the first date and time of day in part; 24:00 is the next day's 00:00."""
+    return let(part, lambda p: _moment(p, offset))
+
+
+def _moment(part: Column, offset: str) -> Column:
     pattern = f"{_DAY}\\s*{_CLOCK}"
     number = lambda i: F.regexp_extract(part, pattern, i).try_cast("int")
     day = F.format_string("%04d-%02d-%02d", number(1), number(2), number(3)).try_cast("date")
@@ -62,24 +69,46 @@ def deadline_after(text: Column, labels: list[str]) -> Column:
 
 def registration_deadline(text: Column) -> Column:
     """A stated moment; else the last day of the stated period at the end of its afternoon hours."""
-    part = F.coalesce(*[section(text, label, r"(?:三、|四、|地点)", 600) for label in REGISTRATION])
+    return let(F.coalesce(*[section(text, label, r"(?:三、|四、|地点)", 600) for label in REGISTRATION]), _last_hours)
+
+
+def _last_hours(part: Column) -> Column:
     until = F.regexp_extract(part, f"至\\s*{_DAY}", 0)
     hours = F.regexp_extract_all(part, F.lit(f"[至到\\-—]\\s*{_CLOCK}"), F.lit(0))
     last = F.try_element_at(hours, F.lit(-1))
     return F.coalesce(moment(F.regexp_extract(part, f"至\\s*({_DAY}\\s*{_CLOCK})", 1)), moment(F.concat(until, F.lit(" "), F.regexp_extract(last, _CLOCK, 0))))
 
 
+def project_number(text: Column) -> Column:
+    """The number, without the kind of notice that a heading may have put after it."""
+    return F.nullif(F.regexp_replace(labelled(text, LABELS["project_number"]), r"[)）](?:公开招标|竞争性磋商)公告$", ""), F.lit(""))
+
+
+def project_name(text: Column) -> Column:
+    """The name, spaces and all, up to the next label."""
+    told = [f"{label}\\s*[：:]\\s*(.+?)\\s+{end}" for label in LABELS["project_name"] for end in (r"[^\s：:]{2,12}\s*[：:]", r"预算金额")]
+    return F.coalesce(_first(text, told), labelled(text, LABELS["project_name"]))
+
+
+def buyer(text: Column) -> Column:
+    told = [r"采购人信息\s+名称\s*[：:]\s*(.+?)\s+地址\s*[：:]", r"采购单位\s*[|：:]?\s*(.+?)\s+(?:采购单位地址|行政区域|公告时间)"]
+    return F.coalesce(_first(text, told), labelled(text, LABELS["buyer_name"]))
+
+
 def contact(text: Column) -> Column:
-    """struct(name, phone); a telephone of too few digits is NULL."""
+    """struct(name, title, phone, email); a telephone of too few digits is NULL, and notices state no address."""
     name = _first(text, [r"(?:项目联系人|联系人)\s*[：:]\s*([^，。；;、：:]+?)\s*(?:联系电话|联系方式|电话|[，。；;、]|$)"])
     number = _first(text, [r"(?:联系电话|联系方式|电话)\s*[：:]\s*([0-9\-—\s]{3,20})"])
-    return F.struct(name.alias("name"), phone(number).alias("phone"))
+    return F.when(name.isNotNull() | number.isNotNull(), F.struct(name.alias("name"), F.lit("项目联系人").alias("title"), phone(number).alias("phone"), F.lit(None).cast("string").alias("email")))
 
 
 def tender_facts(text: Column) -> Column:
     """The facts struct of a tender or a consultation, with error_code of what is missing."""
-    t = collapse(text)
-    found = {k: labelled(t, v) for k, v in LABELS.items()}
+    return let(collapse(text), _tender_facts)
+
+
+def _tender_facts(t: Column) -> Column:
+    found = {"project_number": project_number(t), "project_name": project_name(t), "buyer_name": buyer(t), "region": labelled(t, LABELS["region"])}
     found |= {
         "published_at": day_after(t, PUBLISHED),
         "registration_deadline": registration_deadline(t),
@@ -97,10 +126,18 @@ def event_facts(text: Column) -> Column:
     A correction that changes a deadline it states exactly overrides it; one that names a deadline
     without a readable time, or material terms, leaves that unresolved, which suppresses the record.
     """
-    t = collapse(text)
+    return let(collapse(text), _event_facts)
+
+
+def _event_facts(t: Column) -> Column:
+    body = F.coalesce(section(t, "更正事项、内容及更正结果|更正内容", "三、|其他补充|$", None, cut=2400), t)
+    after = lambda b: F.coalesce(section(b, "更正后|变更为|更正为", "$", None, cut=2400), F.lit(""))
+    return let(body, lambda b: let(after(b), lambda a: _event_of(t, b, a)))
+
+
+def _event_of(t: Column, body: Column, after: Column) -> Column:
     kind = F.when(t.rlike(any_term(TERMINATED)), "TERMINATION").when(t.rlike(any_term(CORRECTED)), "CORRECTION")
-    body = F.coalesce(section(t, "更正事项、内容及更正结果|更正内容", "三、|其他补充|$", 2400), t)
-    after = F.coalesce(section(body, "更正后|变更为|更正为", "$", 2400), F.lit(""))
+    summary = F.when(kind == "TERMINATION", section(t, r"二[、.]\s*项目终止的原因\s*[：:]?", r"三[、.]\s*其他补充事宜", None, cut=2400)).otherwise(section(t, r"二[、.]\s*更正信息\s*[：:]?", r"三[、.]\s*其他补充(?:事宜|事项)", None, cut=2400))
     named = {"facts.bid_deadline": body.rlike(any_term(BID_DEADLINE)), "facts.registration_deadline": body.rlike(any_term(REGISTRATION))}
     exact = {
         "facts.bid_deadline": F.coalesce(deadline_after(after, BID_DEADLINE), F.when(named["facts.bid_deadline"], moment(after))),
@@ -110,10 +147,10 @@ def event_facts(text: Column) -> Column:
     pairs = F.array_compact(F.array(*[F.when(correction & named[p] & exact[p].isNotNull(), F.struct(F.lit(p).alias("key"), exact[p].alias("value"))) for p in named]))
     open_ = F.array_compact(F.array(*[F.when(correction & named[p] & exact[p].isNull(), F.lit(p)) for p in named], F.when(correction & body.rlike(any_term(MATERIAL)), F.lit("__material__"))))
     changed = F.array_compact(F.array(*[F.when(correction & named[p], F.lit(p)) for p in named]))
-    number = labelled(t, LABELS["project_number"])
+    number = project_number(t)
     date = day_after(t, PUBLISHED)
     return F.struct(
-        kind.alias("event_type"), number.alias("project_number"), date.alias("published_at"), changed.alias("changed_fact_paths"), F.map_from_entries(pairs).alias("fact_overrides"),
+        kind.alias("event_type"), number.alias("project_number"), project_name(t).alias("project_name"), summary.alias("summary"), date.alias("published_at"), changed.alias("changed_fact_paths"), F.map_from_entries(pairs).alias("fact_overrides"),
         open_.alias("unresolved_fact_paths"), (F.size(open_) > 0).alias("requires_reconciliation"), (kind == "TERMINATION").alias("terminal"),
         F.when(kind.isNull(), "EVENT_TYPE_NOT_FOUND").when(number.isNull(), "PROJECT_NUMBER_NOT_FOUND").when(date.isNull(), "PUBLISHED_DATE_NOT_FOUND").alias("error_code"),
     )
@@ -121,8 +158,9 @@ def event_facts(text: Column) -> Column:
 
 def fallback_event(event: Column, number: Column, kind: Column, date: Column) -> Column:
     """For a notice that cannot be parsed: an event that suppresses its record and rewrites nothing."""
+    none = F.lit(None).cast("string")
     held = F.struct(
-        kind.alias("event_type"), number.alias("project_number"), date.alias("published_at"), F.array().cast("array<string>").alias("changed_fact_paths"), F.create_map().cast("map<string,string>").alias("fact_overrides"),
+        kind.alias("event_type"), number.alias("project_number"), none.alias("project_name"), none.alias("summary"), date.alias("published_at"), F.array().cast("array<string>").alias("changed_fact_paths"), F.create_map().cast("map<string,string>").alias("fact_overrides"),
         F.array(F.lit("__unparsed__")).alias("unresolved_fact_paths"), F.lit(True).alias("requires_reconciliation"), (kind == "TERMINATION").alias("terminal"), F.lit(None).cast("string").alias("error_code"),
     )
     return F.when(event["error_code"].isNull(), event).otherwise(held)

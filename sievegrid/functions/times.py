@@ -43,20 +43,41 @@ def next_deadline(as_of: Column, *deadlines: Column) -> Column:
     return F.coalesce(*[F.when(d > as_of, d) for d in deadlines])
 
 
-def urgency(hours: Column) -> Column:
-    return F.when(hours.isNull(), "NONE").when(hours <= 24, "TODAY").when(hours <= 72, "SOON").when(hours <= 168, "WEEK").otherwise("LATER")
-
+# Hours at most, and the name of the bucket.
+URGENCY = [(24, "H24"), (72, "H72"), (168, "D7"), (336, "D14"), (720, "D30")]
 
-def month_phase(first: Column, last: Column, as_of: Column) -> Column:
-    """BEFORE, ACTIVE or AFTER a window of months written yyyy-MM."""
-    number = lambda m: F.substring(m, 1, 4).cast("int") * 12 + F.substring(m, 6, 2).cast("int")
-    now = F.year(as_of) * 12 + F.month(as_of)
-    return F.when(now < number(first), "BEFORE").when(now > number(F.coalesce(last, first)), "AFTER").when(number(first).isNotNull(), "ACTIVE")
 
-
-def freshness(made: Column, as_of: Column, stale_minutes: int = 1440) -> Column:
-    age = F.floor((epoch_seconds(as_of) - epoch_seconds(made)) / 60)
-    return F.when(made.isNull() | (age < 0), "INVALID").when(age > stale_minutes, "STALE").otherwise("FRESH")
+def urgency(hours: Column) -> Column:
+    """The bucket of the hours left; hours gone by count as none left."""
+    out = F.lit("GT30D")
+    for most, name in reversed(URGENCY):
+        out = F.when(hours <= most, name).otherwise(out)
+    return F.when(hours.isNull(), "NO_DEADLINE").otherwise(out)
+
+
+def month_window(x: Column) -> Column:
+    """struct(first, last), numbers of months (12 a year), from '2026年5月' or '2026年5月至7月'; NULL of anything else."""
+    pattern = r"^\s*(20\d{2})年\s*(\d{1,2})\s*月?(?:\s*[-—~～至到]\s*(\d{1,2})月|(?<=月))\s*$"
+    year, first, last = (F.regexp_extract(x, pattern, i).try_cast("int") for i in (1, 2, 3))
+    last = F.coalesce(last, first)
+    fits = x.rlike(pattern) & first.between(1, 12) & (last >= first) & (last <= 12)
+    return F.when(fits, F.struct((year * 12 + first).alias("first"), (year * 12 + last).alias("last")))
+
+
+def month_phase(x: Column, as_of: Column, zone: str = ZONE) -> Column:
+    """BEFORE, ACTIVE or AFTER the window that the text states, by the local month; UNKNOWN if it states none."""
+    day = local_date(as_of, zone)
+    now, window = F.year(day) * 12 + F.month(day), month_window(x)
+    return F.when(window.isNull(), "UNKNOWN").when(now < window["first"], "BEFORE").when(now > window["last"], "AFTER").otherwise("ACTIVE")
+
+
+def freshness(made: Column, as_of: Column, stale_minutes: int = 1800, tolerance_minutes: int = 15) -> Column:
+    """struct(freshness, age_minutes): INVALID without a time or from the future beyond the tolerance, STALE, or FRESH."""
+    seconds = epoch_seconds(as_of) - epoch_seconds(made)
+    age = F.greatest(F.lit(0), F.floor(seconds / 60))
+    invalid = made.isNull() | (seconds < -60 * tolerance_minutes)
+    label = F.when(invalid, "INVALID").when(age > stale_minutes, "STALE").otherwise("FRESH")
+    return F.struct(label.alias("freshness"), F.when(~invalid, age).cast("long").alias("age_minutes"))
 
 
 def lookback_windows(spark: SparkSession, first: str, last: str, days: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +34,28 @@ def rate_limited(df: DataFrame, key: str, at: Column, order: list[str], window_s
 def first_hit_windows(df: DataFrame, key: str, at: str, window_s: int, most: int) -> DataFrame:
     """Each hit with the window it falls in, where a window starts at the first hit after the last one ended.
 
-    at: seconds. The fold over a key's sorted hits runs inside one expression; a key's hits must fit a row.
+    at: seconds. Hits of one second are counted before the shuffle, so a key costs its distinct seconds;
+    those pass in order through an Arrow pass that keeps one key, its window's start and its count.
     """
-    hits = df.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("_all"))
-    begin = F.struct(F.array().cast("array<struct<at:bigint,window_start:bigint,hits:int>>").alias("out"), F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"))
-
-    def step(state: Column, x: Column) -> Column:
-        opens = state["start"].isNull() | (x >= state["start"] + window_s)
-        start, n = F.when(opens, x).otherwise(state["start"]), F.when(opens, 1).otherwise(state["n"] + 1)
-        row = F.struct(x.cast("long").alias("at"), start.cast("long").alias("window_start"), n.cast("int").alias("hits"))
-        return F.struct(F.concat(state["out"], F.array(row)).alias("out"), start.cast("long").alias("start"), n.cast("int").alias("n"))
-
-    folded = hits.select(key, F.explode(F.aggregate("_all", begin, step, lambda s: s["out"])).alias("h"))
-    return folded.select(key, "h.*").withColumn("limited", F.col("hits") > most)
+    kind = dict(df.dtypes)[key]
+    seconds = df.groupBy(F.col(key), F.col(at).cast("long").alias("at")).agg(F.count("*").alias("n"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = start = None
+        before, any_yet = 0, False
+        for batch in batches:
+            starts, firsts = [], []
+            for k, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not any_yet or k != who or t >= start + window_s:
+                    who, start, before, any_yet = k, t, 0, True
+                starts.append(start)
+                firsts.append(before + 1)
+                before += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64()), pa.array(firsts, pa.int64())], names=[key, "at", "n", "window_start", "first"])
+
+    told = seconds.repartition(key).sortWithinPartitions(key, "at").mapInArrow(walk, f"`{key}` {kind}, at long, n long, window_start long, first long")
+    hits = told.select(key, "at", "window_start", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("hits"))
+    return hits.withColumn("hits", F.col("hits").cast("int")).withColumn("limited", F.col("hits") > most)
 
 
 def once_per_bucket(df: DataFrame, source: str, bucket: Column, order: list[str]) -> DataFrame:
@@ -53,9 +65,15 @@ def once_per_bucket(df: DataFrame, source: str, bucket: Column, order: list[str]
     return one.select(source, "bucket", *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def carried_over(pending: DataFrame, scanned: DataFrame, key: str, now: Column, seen: str, hours: int = 48) -> DataFrame:
-    """Pending rows that the last scan does not have, while they are recent enough."""
-    return pending.join(scanned.select(key).distinct(), key, "left_anti").where(now - F.col(seen) <= hours * 3600)
+def carried_over(pending: DataFrame, scanned: DataFrame, key: str, now: Column, seen: str, hours: int = 48, unresolved: Column | None = None) -> DataFrame:
+    """Pending rows that the last scan does not have, while they are recent enough and, if told, unresolved."""
+    rows = pending if unresolved is None else pending.where(F.coalesce(unresolved, F.lit(False)))
+    return rows.join(scanned.select(key).distinct(), key, "left_anti").where(now - F.col(seen) <= hours * 3600)
+
+
+def unresolved(status: Column, fingerprint: Column, verified: Column) -> Column:
+    """Not verified, or verified for another fingerprint."""
+    return ~F.coalesce((status == VERIFIED) & (fingerprint == verified), F.lit(False))
 
 
 def pruned(ledger: DataFrame, now: Column, seen: str, days: int = 45) -> DataFrame:
@@ -80,3 +98,84 @@ def trailing_run(df: DataFrame, key: str, order: list[str], holds: Column) -> Da
     return df.groupBy(key).agg(F.max(F.when(~F.coalesce(holds, F.lit(False)), place)).alias("_break"), F.count("*").alias("n_rows")).join(
         df.select(key, place.alias("_place")), key
     ).groupBy(key).agg(F.max("n_rows").alias("n_rows"), F.count_if(F.col("_break").isNull() | (F.col("_place") > F.col("_break"))).alias("run"))
+
+
+# States of a ledger row.
+UNVERIFIED, VERIFIED, FAILED = "UNVERIFIED", "VERIFIED", "FAILED"
+
+
+def observed(ledger: DataFrame, scan: DataFrame, key: str, now: Column) -> DataFrame:
+    """The ledger after a scan (key, fingerprint): rows seen again keep their history, a new fingerprint is unverified anew, new keys come in.
+
+    ledger: key, fingerprint, first_seen, last_seen, last_verified, verified_fingerprint, status, failures, last_error.
+    """
+    s = scan.select(F.col(key), F.col("fingerprint").alias("_now")).dropDuplicates([key])
+    j = ledger.join(s, key, "full_outer")
+    seen, fresh = F.col("_now").isNotNull(), F.col("first_seen").isNull()
+    changed = seen & ~F.col("fingerprint").eqNullSafe(F.col("_now"))
+    return j.select(
+        key,
+        F.coalesce("_now", "fingerprint").alias("fingerprint"),
+        F.when(fresh, now).otherwise(F.col("first_seen")).alias("first_seen"),
+        F.when(seen, now).otherwise(F.col("last_seen")).alias("last_seen"),
+        "last_verified",
+        "verified_fingerprint",
+        F.when(fresh | changed, UNVERIFIED).otherwise(F.col("status")).alias("status"),
+        F.when(fresh | changed, 0).otherwise(F.col("failures")).cast("int").alias("failures"),
+        F.when(~(fresh | changed), F.col("last_error")).alias("last_error"),
+    )
+
+
+def settled(ledger: DataFrame, outcomes: DataFrame, key: str, now: Column, cap: int = 500) -> DataFrame:
+    """The ledger after verifications (key, error; NULL: success): success verifies the present fingerprint, failure counts up and keeps its error."""
+    o = outcomes.select(key, F.col("error").alias("_error"), F.lit(True).alias("_done")).dropDuplicates([key])
+    j = ledger.join(o, key, "left")
+    won = F.col("_done").isNotNull() & F.col("_error").isNull()
+    lost = F.col("_error").isNotNull()
+    return j.withColumns({
+        "last_verified": F.when(won, now).otherwise(F.col("last_verified")),
+        "verified_fingerprint": F.when(won, F.col("fingerprint")).otherwise(F.col("verified_fingerprint")),
+        "status": F.when(won, VERIFIED).when(lost, FAILED).otherwise(F.col("status")),
+        "failures": F.when(won, 0).when(lost, F.coalesce("failures", F.lit(0)) + 1).otherwise(F.col("failures")).cast("int"),
+        "last_error": F.when(lost, F.substring("_error", 1, cap)).when(~won, F.col("last_error")),
+    }).drop("_error", "_done")
+
+
+def after_full_cycle(staged: DataFrame, cycles: DataFrame, source: str, at: str, completed: str) -> DataFrame:
+    """Staged rows of sources that no full cycle has completed since they were staged: a full cycle speaks for all of its source."""
+    last = cycles.groupBy(source).agg(F.max(completed).alias("_done"))
+    return staged.join(last, source, "left").where(F.col("_done").isNull() | (F.col(at) > F.col("_done"))).drop("_done")
+
+
+def stage_faults(runs: DataFrame, cycle: str, order: list[str], stage: str, status: str, stages: list[str], attempts: int = 2) -> DataFrame:
+    """Attempts at stages with the code of what is wrong: an unknown stage, one begun before all earlier ones succeeded, too many attempts, one after success."""
+    by = Window.partitionBy(cycle).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.array_position(F.array(*map(F.lit, stages)), F.col(stage))
+    done = F.coalesce(F.max(F.when(F.col(status) == "SUCCEEDED", F.col("_at"))).over(by), F.lit(0))
+    tried = F.count_if(F.col(status) == "FAILED").over(Window.partitionBy(cycle, stage).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = runs.withColumn("_at", at)
+    fault = F.when(F.col("_at") == 0, "STAGE_UNKNOWN").when(F.col("_at") > done + 1, "STAGE_OUT_OF_ORDER").when(F.col("_at") <= done, "STAGE_ALREADY_DONE").when(tried >= attempts, "ATTEMPTS_EXHAUSTED")
+    return rows.withColumn("fault", fault).drop("_at")
+
+
+def sliced(df: DataFrame, order: list[str], size: int = 5, slices: int = 6) -> DataFrame:
+    """The first rows in order, dealt to slices of so many; rows beyond the last slice are left out, as a cycle has no more stages."""
+    first = df.orderBy(*order).limit(size * slices)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
+    return first.withColumn("slice", F.floor(place / size).cast("int"))
+
+
+def cache_state(status: Column, age_s: Column, fresh_s: int, retry_s: int, pending_s: int) -> Column:
+    """USE a fresh result, WAIT on one that is being made or failed lately, else REFRESH."""
+    return (
+        F.when((status == "READY") & (age_s <= fresh_s), "USE")
+        .when((status == "PENDING") & (age_s <= pending_s), "WAIT")
+        .when((status == "FAILED") & (age_s <= retry_s), "WAIT")
+        .otherwise("REFRESH")
+    )
+
+
+def next_tick(minute: Column, first: int = 690, last: int = 1140, step: int = 15) -> Column:
+    """The first minute of the day's grid after a minute of the day, missed ones skipped; NULL after the last."""
+    due = F.when(minute < first, F.lit(first)).otherwise(first + (F.floor((minute - first) / step) + 1) * step)
+    return F.when(due <= last, due).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.text import acronym_pattern, any_term
+from sievegrid.operators.profile import containing
 
 
 def primary(title: Column, kind: Column, path: Column, words: list[str]) -> Column:
@@ -43,33 +44,25 @@ def contains_either(a: Column, b: Column, least: int = 1) -> Column:
     return (F.least(F.length(a), F.length(b)) >= least) & (F.contains(a, b) | F.contains(b, a))
 
 
-def keyword_matches(rows: DataFrame, text: str, keywords: DataFrame, word: str, most: int = 10_000) -> DataFrame:
-    """rows joined with each keyword that their text contains; short ASCII words must stand alone.
+def keyword_matches(rows: DataFrame, text: str, keywords: DataFrame, word: str) -> DataFrame:
+    """rows joined with each keyword that their text contains, in any case; up to three ASCII letters or digits must stand alone.
 
-    The keywords are a private list of at most `most`, checked before they are broadcast. A longer
-    list goes by the words of the text instead, so it matches single words only; ValueError says so
-    when a keyword has a space.
+    Texts and keywords meet on a character gram, so the rule is the same for lists of any length.
     """
-    lower = F.lower(F.col(word))
-    listed = keywords.select(*keywords.columns, lower.alias("_word")).where(~F.coalesce(F.trim("_word") == "", F.lit(True)))
-    if listed.count() <= most:
-        alone = F.concat(F.lit("(?<![a-z0-9])\\Q"), F.col("_word"), F.lit("\\E(?![a-z0-9])"))
-        short = F.col("_word").rlike("^[a-z0-9]{1,3}$")
-        found = F.when(short, F.regexp_like(F.lower(F.col(text)), alone)).otherwise(F.contains(F.lower(F.col(text)), F.col("_word")))
-        return rows.join(F.broadcast(listed), found).drop("_word")
-    if listed.where(F.contains("_word", F.lit(" "))).limit(1).count():
-        raise ValueError("more keywords than may be broadcast, and some have spaces")
-    words = rows.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))))
-    return words.join(listed, "_word").drop("_word")
-
-
-def best_scope(rows: DataFrame, row_key: str, name: str, scopes: DataFrame, scope_name: str, value: str, most: int = 10_000) -> DataFrame:
-    """For each row the best value of the scopes whose name contains its name or is contained in it."""
-    if scopes.count() > most:
-        raise ValueError("more scopes than may be broadcast")
-    hits = rows.join(F.broadcast(scopes), contains_either(F.col(name), F.col(scope_name)), "left")
-    best = hits.groupBy(row_key).agg(F.max(value).alias("best"), F.count(scope_name).alias("n_matches"))
-    return best
+    listed = keywords.withColumn("_word", F.lower(F.col(word))).where(~F.coalesce(F.trim("_word") == "", F.lit(True)))
+    met = containing(rows.withColumn("_text", F.lower(F.col(text))), "_text", listed, "_word")
+    alone = F.concat(F.lit("(?<![a-z0-9])\\Q"), F.col("_word"), F.lit("\\E(?![a-z0-9])"))
+    return met.where(~F.col("_word").rlike("^[a-z0-9]{1,3}$") | F.regexp_like("_text", alone)).drop("_word", "_text")
+
+
+def best_scope(rows: DataFrame, row_key: str, name: str, scopes: DataFrame, scope_name: str, value: str) -> DataFrame:
+    """For each row the best value of the scopes whose name contains its name or is contained in it, and how many those are."""
+    a = rows.select(row_key, F.col(name).alias("_name"))
+    b = scopes.select(F.col(scope_name).alias("_scope"), value)
+    columns = [row_key, "_scope", value]
+    hits = containing(a, "_name", b, "_scope").select(*columns).unionByName(containing(b, "_scope", a, "_name").where("_name != _scope").select(*columns))
+    best = hits.groupBy(row_key).agg(F.max(value).alias("best"), F.count("_scope").alias("n_matches"))
+    return rows.select(row_key).distinct().join(best, row_key, "left").select(row_key, "best", F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
 
 
 def successors(intents: DataFrame, formals: DataFrame, institution: str, published: str, subject: str, key: str, most: int = 3) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievegrid.operators.components import components
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
@@ -64,37 +66,44 @@ def upsert_versions(current: DataFrame, observed: DataFrame, key: str) -> DataFr
 
 
 def merge_by_two_keys(df: DataFrame, group: str, order: str, id_col: str, number_col: str) -> DataFrame:
-    """Replay rows in order: a row takes the first slot that has its id or its number, and clears other matches.
+    """Replay rows in order: a row takes the first slot that has its id, or its number in its group, and clears other matches.
 
-    Rows of one group only can meet (with a market column: numbers match inside a market, and so
-    should ids that may match). The replay depends on the order, so each group runs through one
-    pandas call; a group must fit in a task's memory.
+    Returns the rows left, with slot: the order of the row that opened their slot. Ids meet across
+    groups (markets), numbers only inside one. Rows that no chain of ids and numbers joins cannot
+    meet, so the replay runs per connected component; one component must fit in a task's memory.
+    NULL ids and numbers match nothing.
     """
+    keys = F.array_compact(F.array(
+        F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit("id"), F.col(id_col))),
+        F.when(F.col(number_col).isNotNull(), F.xxhash64(F.lit("number"), F.col(group), F.col(number_col))),
+    ))
+    # Two keys of one hash would only put more rows into one replay.
+    keyed = df.withColumn("_keys", keys)
+    first = F.coalesce(F.get("_keys", F.lit(0)), F.xxhash64(F.lit("row"), *df.columns))
+    roots = components(keyed.where(F.size("_keys") > 1).select(F.get("_keys", F.lit(0)).alias("a"), F.get("_keys", F.lit(1)).alias("b")).distinct())
+    placed = keyed.withColumn("_first", first).join(roots, F.col("_first") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_first"))
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        slots: list[dict | None] = []
+        slots: dict = {}  # by the order of the row that opened them
         by_id: dict = {}
         by_number: dict = {}
-        for row in rows.sort_values(order, kind="stable").to_dict("records"):
-            hits = sorted({by_id.get(row[id_col]), by_number.get(row[number_col])} - {None})
-            at = hits[0] if hits else len(slots)
+        for row in rows.drop(columns="_root").sort_values(order, kind="stable").to_dict("records"):
+            name, number = row[id_col], (row[group], row[number_col])
+            hits = sorted({by_id.get(name), by_number.get(number)} - {None})
             for h in hits:
-                old = slots[h]
+                old = slots.pop(h)
                 by_id.pop(old[id_col], None)
-                by_number.pop(old[number_col], None)
-                slots[h] = None
-            if not hits:
-                slots.append(None)
+                by_number.pop((old[group], old[number_col]), None)
+            at = hits[0] if hits else row[order]
             slots[at] = row | {"slot": at}
-            if row[id_col] is not None and row[id_col] == row[id_col]:
-                by_id[row[id_col]] = at
-            if row[number_col] is not None and row[number_col] == row[number_col]:
-                by_number[row[number_col]] = at
-        kept = [s for s in slots if s is not None]
-        return pd.DataFrame(kept, columns=[*rows.columns, "slot"])
+            if not pd.isna(name):
+                by_id[name] = at
+            if not pd.isna(row[number_col]):
+                by_number[number] = at
+        return pd.DataFrame(list(slots.values()), columns=[c for c in rows.columns if c != "_root"] + ["slot"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", slot int"
-    return df.groupBy(group).applyInPandas(replay, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, ("slot", dict(df.dtypes)[order])])
+    return placed.select(*df.columns, "_root").groupBy("_root").applyInPandas(replay, schema)
 
 
 def idempotent_states(df: DataFrame, key: str, mutation: str, order: list[str], status: str, remind: str, terminal: list[str]) -> DataFrame:
@@ -124,3 +133,35 @@ def capped_merge(preferred: DataFrame, other: DataFrame, keys: list[str], order:
     return placed.where(F.col("_n") <= most).drop("_n", "_side")
 
 
+
+
+def acknowledged(followups: DataFrame, acks: DataFrame, key: str, remind: str) -> DataFrame:
+    """Follow-ups whose reminder is cleared where an acknowledgement names exactly that reminder."""
+    seen = acks.select(key, F.col(remind).alias("_seen")).distinct()
+    hit = seen.withColumn("_hit", F.lit(True))
+    joined = followups.join(hit, (followups[key] == hit[key]) & (followups[remind] == hit["_seen"]), "left").drop(hit[key], hit["_seen"])
+    return joined.withColumn(remind, F.when(F.col("_hit").isNull(), F.col(remind))).drop("_hit")
+
+
+def not_yet(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not among those done."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def payload_if_changed(rows: DataFrame, known: Column, mark: str, payload: str) -> DataFrame:
+    """rows with a NULL payload where its hash is the known one."""
+    return rows.withColumn(payload, F.when(~F.col(mark).eqNullSafe(known), F.col(payload)))
+
+
+def observation(facts_json: Column, verified: Column, key: Column, urls: Column, region: Column, lifecycle: Column) -> Column:
+    """The observation that a card stands for, or NULL: verified, with an id and an https address.
+
+    struct(opportunity_id, region_code, source_id, source_url, lifecycle_state, fact_hash); the first address in order is the source.
+    """
+    from sievegrid.functions import text
+
+    https = F.array_sort(F.array_distinct(F.filter(urls, lambda u: u.rlike("(?i)^https://"))))
+    name, url = text.capped(key, 200), F.get(https, F.lit(0))
+    mark = F.sha2(F.concat(F.lit('{"evidence_source_urls":'), F.to_json(https), F.lit(',"facts":'), facts_json, F.lit(',"opportunity_id":'), text.json_string(name), F.lit("}")), 256)
+    made = F.struct(name.alias("opportunity_id"), text.region_code(region).alias("region_code"), text.host(url).alias("source_id"), url.alias("source_url"), text.capped(lifecycle, 160).alias("lifecycle_state"), mark.alias("fact_hash"))
+    return F.when((verified == "VERIFIED") & name.isNotNull() & (F.size(https) > 0), made)

@@ -37,10 +37,11 @@ def page(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> Data
     return numbered.withColumn("has_more", F.max("place").over(Window.partitionBy(F.lit(0))) > size).where(F.col("place") <= size)
 
 
-def budgeted(df: DataFrame, source: str, is_carried: Column, order: list[Column], cap: int) -> DataFrame:
+def budgeted(df: DataFrame, source: str, is_carried: Column, order: list[Column], cap: int, key: list[str]) -> DataFrame:
     """selected or deferred, with a quarter of each source's cap (one at least) reserved for its backlog.
 
-    Slots that one side leaves unused go to the other.
+    Slots that one side leaves unused go to the other. key tells rows apart. Only the first cap rows
+    of each side are ever ranked, which Spark keeps in each task before the shuffle; the rest are deferred.
     """
     side = df.withColumn("_carried", F.coalesce(is_carried, F.lit(False)))
     counts = side.groupBy(source).agg(F.count_if(~F.col("_carried")).alias("_c"), F.count_if("_carried").alias("_k"))
@@ -50,9 +51,10 @@ def budgeted(df: DataFrame, source: str, is_carried: Column, order: list[Column]
     backlog = reserved + F.least(k - reserved, whole - current - reserved)
     current = current + F.least(c - current, whole - current - backlog)
     shares = counts.select(source, current.alias("_take_c"), backlog.alias("_take_k"))
-    placed = side.withColumn("_place", F.row_number().over(Window.partitionBy(source, "_carried").orderBy(*order)))
+    placed = side.withColumn("_place", F.row_number().over(Window.partitionBy(source, "_carried").orderBy(*order))).where(F.col("_place") <= cap)
     take = F.when(F.col("_carried"), F.col("_take_k")).otherwise(F.col("_take_c"))
-    return placed.join(shares, source).withColumn("selected", F.col("_place") <= take).drop("_carried", "_place", "_take_c", "_take_k")
+    picked = placed.join(shares, source).where(F.col("_place") <= take).select(*key).withColumn("_picked", F.lit(True))
+    return df.join(picked, key, "left").withColumn("selected", F.col("_picked").isNotNull()).drop("_picked")
 
 
 def due_source(df: DataFrame, now: Column, completed: str, interval_s: str, tie: str) -> DataFrame:

@@ -32,7 +32,7 @@ def _fields(*names: str) -> str:
     return " || '|' || ".join(_FIELD.format(n) for n in names)
 
 
-_TEXT_URL = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:@]+)(:[0-9]+)?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
+_TEXT_URL = r"^(?i)(https?):/*(?:[^/?#@]*@)?([^/?#:@\s]+)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
 
 ORACLE_SQL = {
     "ranked_pool_top": f"WITH {_pool()} SELECT o_orderkey, score, deadline, published, row_number() OVER (ORDER BY {_ORDER})::INT AS rank FROM pool WHERE is_open QUALIFY rank <= 500",
@@ -102,6 +102,12 @@ ORACLE_SQL = {
         WITH {_EV}, l AS (SELECT event_id, event_type, at_s, lag(event_type) OVER w AS e0, lag(at_s) OVER w AS a0 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY at_s, event_id))
         SELECT event_id, (CASE WHEN a0 IS NULL THEN 0 WHEN event_type <> e0 THEN 1 WHEN at_s - a0 >= 43200 THEN 3 END)::INT AS reason FROM l""",
     "scan_bucket": f"WITH {_EV} SELECT event_type, at_s // 10800 AS bucket, min(event_id) AS event_id FROM ev GROUP BY ALL",
+    "first_hit_windows": f"""
+        WITH RECURSIVE {_EV}, starts(user_id, s) AS (
+            SELECT user_id, min(at_s) FROM ev GROUP BY user_id
+            UNION ALL SELECT starts.user_id, min(ev.at_s) FROM starts JOIN ev ON ev.user_id = starts.user_id AND ev.at_s >= s + 86400 GROUP BY starts.user_id),
+        w AS (SELECT ev.user_id, at_s, max(s) AS window_start, any_value(event_id) AS event_id FROM ev JOIN starts ON ev.user_id = starts.user_id AND s <= at_s GROUP BY ev.user_id, at_s, event_id)
+        SELECT user_id, at_s AS at, window_start, row_number() OVER (PARTITION BY user_id, window_start ORDER BY at_s)::INT AS hits, hits > 3 AS limited FROM w""",
     "rate_limit": f"""
         WITH {_EV} SELECT event_id, at_s // 3600 * 3600 AS window_start, row_number() OVER (PARTITION BY event_type, at_s // 3600 ORDER BY at_s, event_id)::INT AS hits, hits > 3 AS limited FROM ev""",
     "verification_budget": f"""
@@ -143,7 +149,8 @@ ORACLE_SQL = {
                NOT (contains(text, 'Released') OR contains(text, 'src1') OR contains(source, 'src1')) AS is_primary FROM c""",
     "url_canonical": rf"""
         WITH g AS (SELECT page_id, url, regexp_extract(trim(url), '{_TEXT_URL}', ['scheme', 'host', 'port', 'path', 'query']) AS p FROM pages)
-        SELECT page_id, CASE WHEN p.host <> '' THEN 'https://' || lower(p.host) || CASE WHEN p.port IN (':80', ':443') THEN '' ELSE p.port END || rtrim(p.path, '/') || p.query END AS canonical,
+        SELECT page_id, CASE WHEN p.host <> '' AND NOT regexp_matches(url, '^[a-zA-Z]+:/*[^/?#@]+@') AND (p.port IN ('', '443') OR (p.port = '80' AND lower(p.scheme) = 'http'))
+               THEN 'https://' || lower(p.host) || coalesce(nullif(rtrim(p.path, '/'), ''), '/') || p.query END AS canonical,
                coalesce(nullif(lower(p.host), ''), 'unknown-public-source') AS host FROM g""",
     "anchor_extract": r"""
         WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"[^>]*>([^<]*)</a>', 1) AS us, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]+)"[^>]*>([^<]*)</a>', 2) AS ts FROM pages)
@@ -153,10 +160,12 @@ ORACLE_SQL = {
                WHEN coalesce(n_chars <> length(text), true) THEN 'SIZE' WHEN n_chars < 100 THEN 'SHORT' END AS error_code FROM documents""",
     "repeated_keys": "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1",
     "grounding_metrics": """
-        WITH e AS (SELECT doc_id FROM documents WHERE lang = 'en'),
-        m AS (SELECT count(l.doc_id) AS found, count(e.doc_id) AS expected, count_if(l.doc_id IS NOT NULL AND e.doc_id IS NOT NULL)::BIGINT AS hit, count_if(l.toxic = 0)::BIGINT AS grounded
-              FROM labels l FULL JOIN e USING (doc_id))
-        SELECT found, expected, hit, grounded, round(hit / expected, 6) AS recall, round(grounded / found, 6) AS grounding, round(hit / expected * 0.75 + grounded / found * 0.2 + 0.05, 6) AS score FROM m""",
+        WITH o AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'UNGROUNDED' WHEN doc_id % 5 = 0 THEN 'INVALID' END AS r FROM labels), g AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+        c AS (SELECT count(*) AS raw, count_if(r = 'UNGROUNDED')::BIGINT AS rejected_ungrounded, count_if(r = 'INVALID')::BIGINT AS rejected_invalid, count(DISTINCT doc_id) FILTER (r IS NULL) AS candidates FROM o),
+        h AS (SELECT count(DISTINCT doc_id) AS hits FROM o JOIN g USING (doc_id) WHERE r IS NULL), n AS (SELECT count(DISTINCT doc_id) AS gold FROM g)
+        SELECT raw, rejected_ungrounded, rejected_invalid, gold, candidates, hits, candidates - hits AS novel, round(hits / gold, 4) AS recall, round((raw - rejected_ungrounded) / raw, 4) AS grounding,
+               round((raw - rejected_ungrounded - rejected_invalid) / raw, 4) AS format_valid, round(100 * (0.75 * hits / gold + 0.2 * (raw - rejected_ungrounded) / raw + 0.05 * (raw - rejected_ungrounded - rejected_invalid) / raw), 1) AS score
+        FROM c, h, n""",
     "grounded_outputs": f"""
         WITH {_EV} SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'URL_NOT_ALLOWED' WHEN event_type NOT IN ('click', 'purchase', 'view') THEN 'KIND'
                WHEN value IS NULL OR value / 100 NOT BETWEEN 0 AND 1 THEN 'CONFIDENCE' WHEN coalesce(trim(props), '') = '' THEN 'REASON' END AS rejected

@@ -61,7 +61,7 @@ def market_scoped_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def personalised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments are capabilities, their balances relationships."""
     c = _table(spark, sf_dir, "customer")
-    strength = F.when(F.col("c_acctbal") > 7500, "STRONG").when(F.col("c_acctbal") > 5000, "GOOD").when(F.col("c_acctbal") > 2500, "KNOWN").when(F.col("c_acctbal") > 0, "WEAK")
+    strength = F.when(F.col("c_acctbal") > 7500, "STRONG").when(F.col("c_acctbal") > 5000, "MEDIUM").when(F.col("c_acctbal") > 2500, "HISTORICAL").when(F.col("c_acctbal") > 0, "WEAK")
     known = c.select("c_custkey", (scoring.relationship_points(strength) + F.when(F.col("c_mktsegment") == "BUILDING", 25).otherwise(0)).cast("int").alias("private"))
     pool = _orders(spark, sf_dir).join(known, F.col("o_custkey") == F.col("c_custkey"))
     pool = pool.withColumn("total", scoring.personalised(F.col("score"), F.lit(0), F.col("private")))
@@ -89,8 +89,8 @@ def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dual_key_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines of a supplier: a line takes the slot of its order or of its part."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", F.format_string("%012d-%04d", "l_orderkey", "l_linenumber").alias("seq"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("number"))
+    """Order lines of a supplier: a line takes the slot of its order's part, or of its part with the supplier."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", F.format_string("%012d-%04d-%08d", "l_orderkey", "l_linenumber", "l_partkey").alias("seq"), F.concat_ws("-", "l_suppkey", "l_orderkey").alias("id"), F.col("l_partkey").alias("number"))
     return merge.merge_by_two_keys(rows, "l_suppkey", "seq", "id", "number")
 
 
@@ -206,7 +206,7 @@ def first_hit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verification_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).where(F.col("value").isNotNull())
-    picked = ranking.budgeted(e, "event_type", F.col("at_s") < 1_704_412_800, [F.col("value").desc(), F.col("at_s").desc(), F.col("event_id")], 60)
+    picked = ranking.budgeted(e, "event_type", F.col("at_s") < 1_704_412_800, [F.col("value").desc(), F.col("at_s").desc(), F.col("event_id")], 60, ["event_id"])
     return picked.select("event_id", "event_type", "selected")
 
 
@@ -274,10 +274,10 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 0).alias("grounded"))
-    expected = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    m = analytics.discovery_metrics(found, expected, "doc_id", "grounded")
-    return m.select("found", "expected", "hit", "grounded", *[F.round(c, 6).alias(c) for c in ("recall", "grounding", "score")])
+    """Labelled documents as outputs: toxic ones were never asked for, every fifth has a wrong format; English ones are the gold set."""
+    outputs = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "UNGROUNDED").when(F.col("doc_id") % 5 == 0, "INVALID").alias("rejected"))
+    gold = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    return analytics.discovery_metrics(outputs, gold, "doc_id", "rejected")
 
 
 def grounded_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def test_tender(spark):
     x = one(spark, notices.tender_facts(F.lit(TENDER)))
     assert (x.project_number, x.project_name, x.buyer_name, x.published_at, x.budget_cny, x.error_code) == ("TJ-2024-001", "监护仪采购项目", "甲医院", "2024-03-01", 1_255_000, None)
     assert (x.registration_deadline, x.bid_deadline) == ("2024-03-08T17:00:00+08:00", "2024-03-21T00:00:00+08:00")
-    assert tuple(x.public_contact) == ("Contact A", "000-0000000")
+    assert tuple(x.public_contact) == ("Contact A", "项目联系人", "000-0000000", None)
     assert one(spark, notices.tender_facts(F.lit(""))).error_code == "PROJECT_NUMBER_NOT_FOUND"
     assert one(spark, notices.tender_facts(F.lit(None).cast("string"))).error_code == "PROJECT_NUMBER_NOT_FOUND"
     assert one(spark, notices.moment(F.lit("2024年2月30日 10:00"))) is None

@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from sievegrid.plans.oracle import ORACLE_SQL
-from sievegrid.plans.tables import QUERIES
+from sievegrid.plans import cards, notices, oracle, tables
+
+ORACLE_SQL, QUERIES = {**oracle.ORACLE_SQL, **cards.ORACLE_SQL, **notices.ORACLE_SQL}, {**tables.QUERIES, **cards.QUERIES, **notices.QUERIES}
 
 SF = "/root/testdata/sf0.001"
 

@@ -52,16 +52,23 @@ def test_keep_last(spark, stream, tmp_path):
     rows, live = stream
     live = live.select("user_id", "event_id", "event_type")
     ledgers.keep_last(live, ["user_id"], ["event_id"], str(tmp_path / "state"), str(tmp_path / "cp")).start().awaitTermination()
-    newest = max(int(p.name) for p in (tmp_path / "state").iterdir() if p.name.isdigit())
     want = merge.last_wins(rows.select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state" / str(newest))).collect())) == sorted(map(tuple, want.collect()))
+    got = ledgers.last_rows(spark, str(tmp_path / "state"), ["user_id"], ["event_id"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    again = ledgers.compacted(spark, str(tmp_path / "state"), str(tmp_path / "next"), ["user_id"], ["event_id"])
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_sources(spark, tmp_path):
     for name, rows in (("tj_a.json", [{"id": "1", "market_code": None}, {"id": "2", "market_code": "SH"}]), ("x.json", [{"id": "3"}])):
         (tmp_path / name).write_text(json.dumps(rows))
     df = files.read_json_arrays(spark, [str(tmp_path / "tj_a.json"), str(tmp_path / "x.json")], "id string, market_code string")
-    assert {r.id: r.market_code for r in files.with_market(df, {"tj_": "TJ"}).collect()} == {"1": "TJ", "2": "SH"}
+    good, bad = files.market_quarantine(df, {"tj_": "TJ"})
+    assert {r.id: r.market_code for r in good.collect()} == {"1": "TJ", "2": "SH"} and [r.id for r in bad.collect()] == ["3"]
+    assert {r.id: r.file_order for r in df.collect()} == {"1": 0, "2": 0, "3": 1}
+    assert files.with_market(df.where("id < 3"), {"tj_": "TJ"}).count() == 2
+    with pytest.raises(Exception, match="MARKET_METADATA_MISSING"):
+        files.with_market(df, {"tj_": "TJ"}).collect()
     assert files.optional(spark, str(tmp_path / "none"), df.schema).count() == 0
     assert files.or_seed(df.where("false"), df).count() == 3
     plan = files.QueryPlan(("TJ", "SH"), ("ct", "x y"), ("BID",))
@@ -69,5 +76,14 @@ def test_sources(spark, tmp_path):
     assert plan.tasks(spark).select(files.search_url("https://e.example/s", q=F.col("keyword"))).distinct().count() == 2
     with pytest.raises(ValueError):
         files.QueryPlan((), ("a",), ("b",))
-    files.publish_snapshot(df.select("id"), str(tmp_path / "snap"))
-    assert files.latest_snapshot(spark, str(tmp_path / "snap")).count() == 3
+    plan = files.QueryPlan.load('{"markets": [{"market_code": "TJ", "max_candidates": 5}, "SH"], "keywords": ["ct"], "notice_types": ["BID"], "pages": 2}')
+    assert {(r.market, r.page, r.most) for r in plan.tasks(spark).collect()} == {("TJ", 1, 5), ("TJ", 2, 5), ("SH", 1, 100), ("SH", 2, 100)}
+    root = str(tmp_path / "snap")
+    place = files.publish_snapshot(df.select("id"), root, "2024-01-02")
+    assert files.publish_snapshot(df.select("id"), root, "2024-01-02") == place
+    with pytest.raises(ValueError):
+        files.publish_snapshot(df.select("id").limit(1), root, "2024-01-02")
+    files.publish_snapshot(df.select("id").limit(1), root, "2024-01-01")
+    assert files.latest_snapshot(spark, root).count() == 3
+    levels = spark.createDataFrame([("city", 1), ("city", 2), ("town", 3)], "level string, i int")
+    assert [r.level for r in files.division_faults(levels, "level", {"city": 2, "town": 2, "village": 0}).collect()] == ["town"]
