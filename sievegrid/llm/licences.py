@@ -7,8 +7,8 @@ term weighs (1 + ln tf) * idf, with document frequencies counted over all texts.
 
 Only what can reach the threshold is weighed, which loses nothing: by Cauchy-Schwarz a cosine is at
 most the norm of the template's part on shared terms. So a block without a core term of a header (the
-others carry too little of its norm) is left out, and so is a whole text whose terms cover too little
-of every template. Both are told inside the scan, by a list of words and by sums per row. A row whose
+others carry too little of its norm) is left out, and so is a text, with all its blocks, whose terms
+cover too little of every template: sums per row tell that before anything else is cut. A row whose
 whole text is at the threshold is a licence file of its directory. Rows without a licence of their own
 inherit from the nearest directory above them that has one; ancestors are joined per distinct
 directory, not per row.
@@ -165,9 +165,10 @@ def found_licences(df: DataFrame, threshold: float = THRESHOLD, broadcast_rows:
     counted = {r.term: r.df for r in frequency.join(listed, "term").collect()}  # at most one row a template term
     unit = vectors([text for _, text, _ in known], {t: idf(counted.get(t, 0), n) for t in words})
 
-    headers = blocks(df, core_terms([u for u, k in zip(unit, known, strict=True) if k[2]], threshold))
-    files = df.join(_sized(materialise(covering(df, unit, threshold), "licence-files"), broadcast_rows), "r")
-    files = files.select("r", F.lit(-1).alias("at"), F.lit(0).alias("size"), terms_of(F.col("text")).alias("terms"))
+    # A block has no terms that its text lacks, so texts that cover no template have no block to weigh either.
+    texts = materialise(df.join(_sized(materialise(covering(df, unit, threshold), "licence-covering"), broadcast_rows), "r"), "licence-texts")
+    headers = blocks(texts, core_terms([u for u, k in zip(unit, known, strict=True) if k[2]], threshold))
+    files = texts.select("r", F.lit(-1).alias("at"), F.lit(0).alias("size"), terms_of(F.col("text")).alias("terms"))
     spread = headers.unionByName(files).select("r", "at", "size", F.explode("terms").alias("term")).groupBy("r", "at", "size", "term").agg(F.count("*").alias("tf"))
     spread = materialise(spread, "licence-terms")
     wanted = materialise(spread.select("term").distinct(), "licence-words")
