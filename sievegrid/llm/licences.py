@@ -7,7 +7,7 @@ term weighs (1 + ln tf) * idf, with document frequencies counted over all texts.
 
 Only what can reach the threshold is weighed, which loses nothing: by Cauchy-Schwarz a cosine is at
 most the norm of the template's part on shared terms. So a block without a core term of a header (the
-others carry too little of its norm) is left out, and so is a text, with all its blocks, whose terms
+others carry too little of its norm), or with fewer terms than the heaviest that reach it, is left out, and so is a text, with all its blocks, whose terms
 cover too little of every template: sums per row tell that before anything else is cut. A row whose
 whole text is at the threshold is a licence file of its directory. Rows without a licence of their own
 inherit from the nearest directory above them that has one; ancestors are joined per distinct
@@ -118,6 +118,16 @@ def core_terms(unit: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(core)
 
 
+def fewest_terms(vector: dict[str, float], threshold: float) -> int:
+    """How many of a template's terms a block at the threshold has at least: its heaviest ones must reach it together."""
+    part = 0.0
+    for n, w in enumerate(sorted(vector.values(), reverse=True), 1):
+        part += w * w
+        if math.sqrt(part) >= threshold - 1e-9:
+            return n
+    return len(vector)
+
+
 def _sized(df: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast only if it has few rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -129,8 +139,9 @@ def pieces_of(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), cut))
 
 
-def blocks(df: DataFrame, core: list[str]) -> DataFrame:
-    """Of df (r, text): (r, at, size, terms) for each run of pieces with a core term."""
+def blocks(df: DataFrame, unit: list[dict[str, float]], threshold: float) -> DataFrame:
+    """Of df (r, text): (r, at, size, terms) for each run of pieces with a core term and enough terms of one of these headers."""
+    core = core_terms(unit, threshold)
     some = F.lower("text").rlike("|".join(re.escape(t) for t in core))
     pieces = df.where(some).select("r", pieces_of(F.col("text")).alias("p"))
     ahead = [F.slice("p", F.lit(k + 1), F.greatest(F.size("p") - k, F.lit(0))).alias(f"p{k}") for k in range(RUN)]
@@ -138,7 +149,11 @@ def blocks(df: DataFrame, core: list[str]) -> DataFrame:
     whole = [F.when(F.col(f"z.p{k}").isNotNull(), F.struct(F.lit(k + 1).alias("size"), F.concat_ws(" ", *[F.col(f"z.p{i}") for i in range(k + 1)]).alias("text"))) for k in range(RUN)]
     each = runs.select("r", "at", F.explode(F.array_compact(F.array(*whole))).alias("b"))
     each = each.where(F.lower("b.text").rlike("|".join(re.escape(t) for t in core))).select("r", "at", "b.size", terms_of(F.col("b.text")).alias("terms"))
-    return each.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in core])))
+    each = each.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in core])))
+    enough = F.lit(False)
+    for vector in unit:
+        enough = enough | (F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in sorted(vector)]))) >= fewest_terms(vector, threshold))
+    return each.where(enough)
 
 
 def covering(df: DataFrame, unit: list[dict[str, float]], threshold: float) -> DataFrame:
@@ -166,11 +181,11 @@ def found_licences(df: DataFrame, threshold: float = THRESHOLD, broadcast_rows:
     unit = vectors([text for _, text, _ in known], {t: idf(counted.get(t, 0), n) for t in words})
 
     # A block has no terms that its text lacks, so texts that cover no template have no block to weigh either.
-    texts = materialise(df.join(_sized(materialise(covering(df, unit, threshold), "licence-covering"), broadcast_rows), "r"), "licence-texts")
-    headers = blocks(texts, core_terms([u for u, k in zip(unit, known, strict=True) if k[2]], threshold))
+    texts = materialise(df.join(_sized(materialise(covering(df, unit, threshold), "licence-covering", free=True), broadcast_rows), "r"), "licence-texts")
+    headers = blocks(texts, [u for u, k in zip(unit, known, strict=True) if k[2]], threshold)
     files = texts.select("r", F.lit(-1).alias("at"), F.lit(0).alias("size"), terms_of(F.col("text")).alias("terms"))
     spread = headers.unionByName(files).select("r", "at", "size", F.explode("terms").alias("term")).groupBy("r", "at", "size", "term").agg(F.count("*").alias("tf"))
-    spread = materialise(spread, "licence-terms")
+    spread = materialise(spread, "licence-terms", free=True)
     wanted = materialise(spread.select("term").distinct(), "licence-words")
     wanted = materialise(frequency.join(_sized(wanted, broadcast_rows), "term"), "licence-wanted")
     weighed = spread.join(_sized(wanted, broadcast_rows), "term").withColumn("w", (1 + F.log("tf")) * idf(F.col("df"), n))
