@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import exact_dedup, gif_media, licences, line_dedup, mixing, packing, quality_rules, shards, simhash_dedup, substring_dedup
+from sievegrid.llm import ball_kmeans, exact_dedup, gif_media, licences, line_dedup, main_text, mixing, packing, quality_rules, shards, simhash_dedup, source_audit, substring_dedup
 from sievegrid.llm.common import scratch_path, table
 
 
@@ -98,6 +98,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -109,6 +123,9 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_licences": op8_licences,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_source_audit": op12_source_audit,
+    "op13_main_text": op13_main_text,
 }
 
 
@@ -186,7 +203,59 @@ def _licence_sql(threshold: float = licences.THRESHOLD) -> str:
     """
 
 
+def _kmeans_sql(k: int = ball_kmeans.CLUSTERS, rounds: int = ball_kmeans.ROUNDS, dims: int = ball_kmeans.DIMENSIONS, scale: int = ball_kmeans.SCALE) -> str:
+    """Every vector against every centroid, component by component."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS MATERIALIZED (SELECT vec_id, j, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS distance FROM parts p JOIN c{r} c USING (d) GROUP BY ALL),
+        a{r} AS MATERIALIZED (SELECT vec_id, arg_min(j, (distance, j)) AS j, min(distance) AS distance FROM d{r} GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+        m{r} AS (SELECT j, d, sum(x) AS s, count(*) AS n FROM a{r} JOIN parts USING (vec_id) GROUP BY ALL),
+        c{r + 1} AS MATERIALIZED (SELECT j, d, coalesce(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END, x)::BIGINT AS x FROM c{r} LEFT JOIN m{r} USING (j, d))""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, embedding FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+        parts AS MATERIALIZED (SELECT vec_id, unnest(range({dims})) AS d, unnest(list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT)) AS x FROM kept),
+        starts AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j FROM kept QUALIFY j < {k}),
+        c0 AS MATERIALIZED (SELECT j, d, x FROM starts JOIN parts USING (vec_id)),
+        {",".join(steps)},
+        names AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+        SELECT vec_id, j::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN names USING (j)
+    """
+
+
+def _audit_sql(least: int = source_audit.LEAST_DOCUMENTS, parts: int = source_audit.PARTS, top: int = source_audit.TOP_TERMS) -> str:
+    share = f"(1 + ({parts}::HUGEINT * (n + 2)) // (total + 2 * kept))::BIGINT"
+    return rf"""
+        WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        terms AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{source_audit.UPPER}', '{source_audit.LOWER}'), '{source_audit.TERM}')) AS term FROM docs),
+        vocabulary AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= {least}),
+        sizes AS (SELECT lang, count(*)::HUGEINT AS kept, sum(n) AS total FROM vocabulary GROUP BY lang),
+        whole AS (SELECT lang, term, {share} AS q FROM vocabulary JOIN sizes USING (lang)),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counted AS (SELECT lang, source, term, count(*) AS n FROM terms GROUP BY ALL),
+        dense AS (SELECT lang, source, term, coalesce(c.n, 0) AS n FROM groups JOIN vocabulary v USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+        totals AS (SELECT lang, source, sum(n) AS total FROM dense GROUP BY ALL),
+        shares AS MATERIALIZED (SELECT lang, source, term, n, {share.replace("total", "t.total")} AS p FROM dense JOIN totals t USING (lang, source) JOIN sizes USING (lang)),
+        summed AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS f
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        own AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= {top}
+    """
+
+
 ORACLE_SQL = {
+    "op11_ball_kmeans": _kmeans_sql(),
+    "op12_source_audit": _audit_sql(),
     "op1_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op8_licences": _licence_sql(),
     "op4_mixing": _mixing_sql(),

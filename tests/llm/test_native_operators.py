@@ -120,7 +120,7 @@ def test_core_terms_lose_no_template():
 def test_same_as_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = db.execute(ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
