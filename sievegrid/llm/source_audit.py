@@ -33,16 +33,14 @@ SPREAD = 64
 
 def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, occurrences, documents); a group without terms has one row with a null term."""
-    text = F.translate(F.coalesce(named(text_col), F.lit("")), UPPER, LOWER)
+    text = F.coalesce(named(text_col), F.lit(""))
+    # Texts of ASCII alone have a faster way to the same.
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
     groups = [F.coalesce(named(c), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))]
-    found = df.select(*groups, F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
-    # A term's first place in a text counts its document; distinct terms travel as a second list.
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("first")))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("first")))
-    rows = found.select("lang", "source", F.explode_outer(F.concat(each, once)).alias("x")).select("lang", "source", "x.term", "x.first")
-    counted = rows.groupBy("lang", "source", "term", "first").agg(F.count("*").alias("n"))
-    n = lambda first: F.coalesce(F.sum(F.when(F.col("first") == first, F.col("n"))), F.lit(0)).alias("documents" if first else "occurrences")
-    return counted.groupBy("lang", "source", "term").agg(n(False), n(True))
+    found = df.select(*groups, F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms")).withColumn("own", F.array_distinct("terms"))
+    # A text's distinct terms come first and count it as their document; then all its terms count.
+    rows = found.select("lang", "source", F.size("own").alias("d"), F.posexplode_outer(F.concat("own", "terms")).alias("at", "term"))
+    return rows.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") >= F.col("d")).alias("occurrences"), F.count_if(F.col("at") < F.col("d")).alias("documents"))
 
 
 def _share(count: str, total: str, kept: str) -> Column:
