@@ -30,11 +30,12 @@ def notice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notice_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as corrections and terminations: with an exact new time, without one, and with other terms changed."""
+    """Orders as corrections and terminations: with an exact new time, without one, with other terms changed, and with nothing tracked."""
     o = _table(spark, sf_dir, "orders")
     k, at = F.col("o_orderkey"), F.add_months("o_orderdate", 240)  # notices are of this century
-    change = F.when(k % 3 == 0, F.concat(F.lit("提交投标文件截止时间 更正为 "), _day(F.date_add(at, 9)), F.lit(" 14时05分"))).when(k % 3 == 1, "开标时间 更正为 另行通知").otherwise("开标时间 更正为 另行通知，技术参数有变")
-    said = F.when(k % 4 == 0, F.concat(F.lit("终止公告 项目编号：T-"), k, F.lit(" 发布日期："), _day(at))).otherwise(F.concat(F.lit("更正公告 项目编号：T-"), k, F.lit(" 更正日期："), _day(at), F.lit(" 更正内容 "), change))
+    exact = F.concat(F.lit("原公告的投标文件提交截止时间：2020-01-02 09:30:00，更正为："), F.date_format(F.date_add(at, 9), "yyyy-M-d"), F.lit(" 14:05:00。"))
+    change = F.when(k % 5 == 0, F.lit("联系人有误")).when(k % 3 == 0, exact).when(k % 3 == 1, "投标截止时间另行变更").otherwise(F.concat(exact, F.lit("技术参数有变")))
+    said = F.when(k % 4 == 0, F.concat(F.lit("终止公告 项目编号：T-"), k, F.lit(" 发布日期："), _day(at))).otherwise(F.concat(F.lit("更正公告 采购需求 项目编号：T-"), k, F.lit(" 二、更正信息 更正内容："), change, F.lit(" 更正日期："), F.date_format(at, "yyyy-MM-dd"), F.lit(" 三、其他补充事宜 无")))
     e = o.select("o_orderkey", notices.event_facts(said).alias("e"))
     return e.select("o_orderkey", "e.event_type", "e.project_number", "e.published_at", F.array_join("e.changed_fact_paths", ",").alias("changed"), F.try_element_at("e.fact_overrides", F.lit("facts.bid_deadline")).alias("bid_deadline"), F.array_join("e.unresolved_fact_paths", ",").alias("unresolved"), "e.requires_reconciliation", "e.terminal")
 
@@ -71,7 +72,7 @@ def table_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as rows of a result list, with the metadata beside their links."""
     s = _table(spark, sf_dir, "supplier")
-    row = F.concat(F.lit("<li><a href='/n/"), "s_suppkey", F.lit("'>"), "s_name", F.lit("</a> 2024.01.0"), (F.col("s_suppkey") % 9 + 1).cast("string"), F.lit(" 10:00 | 采购人：甲"), "s_nationkey", F.lit(" | 公开招标公告 | 天津</li>"))
+    row = F.concat(F.lit("<li><a href='/n/"), "s_suppkey", F.lit("'>"), "s_name", F.lit("</a> 2024.01.0"), (F.col("s_suppkey") % 9 + 1).cast("string"), F.lit(" 10:00 | 采购人：甲"), "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, " | 公开招标 | 北京市海淀区").when(F.col("s_suppkey") % 3 == 1, " | 公开招标公告 | 天津").otherwise(" | 招标 | 上海"), F.lit("</li>"))
     page = F.concat(F.lit('<div><ul class="vT-srch-result-list-bid">'), row, F.lit("<li>none</li></ul></div>"))
     rows = s.select("s_suppkey", html.list_rows(page).alias("rows")).select("s_suppkey", F.explode("rows").alias("r"))
     meta = notices.search_metadata(F.col("r.meta"))
@@ -104,17 +105,19 @@ ORACLE_SQL = {
                (k % 1000 * 10000 + k % 10 * 1000)::BIGINT AS budget_cny, CASE WHEN k % 7 = 0 THEN 'PROJECT_NUMBER_NOT_FOUND' END AS error_code, CASE WHEN k % 2 = 0 THEN '022-1234567' END AS phone
         FROM (SELECT *, o_orderkey AS k, o_orderdate + INTERVAL 20 YEARS AS at_day FROM orders)""",
     "notice_events": """
-        SELECT o_orderkey, CASE WHEN k % 4 = 0 THEN 'TERMINATION' ELSE 'CORRECTION' END AS event_type, 'T-' || k AS project_number, strftime(at_day, '%Y-%m-%d') AS published_at,
-               CASE WHEN k % 4 = 0 THEN '' ELSE 'facts.bid_deadline' END AS changed, CASE WHEN k % 4 <> 0 AND k % 3 = 0 THEN strftime(at_day + INTERVAL 9 DAYS, '%Y-%m-%d') || 'T14:05:00+08:00' END AS bid_deadline,
-               CASE WHEN k % 4 = 0 OR k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN 'facts.bid_deadline' ELSE 'facts.bid_deadline,__material__' END AS unresolved,
-               k % 4 <> 0 AND k % 3 <> 0 AS requires_reconciliation, k % 4 = 0 AS terminal FROM (SELECT *, o_orderkey AS k, o_orderdate + INTERVAL 20 YEARS AS at_day FROM orders)""",
+        SELECT o_orderkey, CASE WHEN ends THEN 'TERMINATION' ELSE 'CORRECTION' END AS event_type, 'T-' || k AS project_number, strftime(at_day, '%Y-%m-%d') AS published_at,
+               CASE WHEN ends OR bare THEN '' ELSE 'facts.bid_deadline' END AS changed, CASE WHEN NOT ends AND NOT bare AND k % 3 <> 1 THEN strftime(at_day + INTERVAL 9 DAYS, '%Y-%m-%d') || 'T14:05:00+08:00' END AS bid_deadline,
+               CASE WHEN ends THEN '' WHEN bare THEN '__unparsed_correction__' WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN 'facts.bid_deadline' ELSE '__material_correction__' END AS unresolved,
+               NOT ends AND (bare OR k % 3 <> 0) AS requires_reconciliation, ends AS terminal
+        FROM (SELECT o_orderkey, o_orderkey AS k, o_orderdate + INTERVAL 20 YEARS AS at_day, o_orderkey % 4 = 0 AS ends, o_orderkey % 5 = 0 AS bare FROM orders)""",
     "notice_products": """
         SELECT p_partkey, 0 AS place, replace(p_name, ' ', '') || '分析仪' AS raw_name, CASE p_partkey % 7 WHEN 1 THEN p_size || '套' WHEN 6 THEN NULL ELSE p_size || '台' END AS quantity FROM part""",
     "table_products": """
         SELECT p_partkey, p_name AS raw_name, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS category, CASE WHEN p_partkey % 5 = 0 THEN '约2台' ELSE p_size || '台' END AS quantity
         FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 5 <> 0""",
     "search_list": """
-        SELECT s_suppkey, s_name AS title, 'https://h.example/n/' || s_suppkey AS url, '2024-01-0' || (s_suppkey % 9 + 1) AS published_at, '甲' || s_nationkey AS buyer_name, '天津' AS region, '公开招标公告' AS notice_type FROM supplier""",
+        SELECT s_suppkey, s_name AS title, 'https://h.example/n/' || s_suppkey AS url, '2024-01-0' || (s_suppkey % 9 + 1) AS published_at, '甲' || s_nationkey AS buyer_name,
+               CASE s_suppkey % 3 WHEN 0 THEN '北京市海淀区' WHEN 1 THEN '天津' END AS region, CASE s_suppkey % 3 WHEN 0 THEN '公开招标' WHEN 1 THEN '公开招标公告' END AS notice_type FROM supplier""",
     "page_links": """
         SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://h.example/p/' || page_id WHEN 1 THEN 'https://h.example/list?page=' || page_id END AS next_url, (CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 4 END)::INT AS n_chars FROM pages""",
     "decoded_pages": "SELECT page_id, sha256('<meta charset=utf-8>医疗设备' || html) AS text_sha256 FROM pages",
