@@ -19,9 +19,13 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     kept = spark.conf.get("spark.checkpoint.dir", None)
 
+    held: list[DataFrame] = []
+
     def cut(df: DataFrame) -> DataFrame:
         if not kept:
-            return df.persist()
+            # One round's rows stay cached until the next round's are.
+            held.append(df.persist())
+            return held[-1]
         if not spark._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(kept)
         return df.checkpoint()
@@ -35,6 +39,8 @@ def components(links: DataFrame) -> DataFrame:
         low = _least(large)
         edges = cut(low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         now = mark(edges)
+        while len(held) > 1:
+            held.pop(0).unpersist()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now

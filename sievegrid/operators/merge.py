@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievegrid.operators.components import components
 
@@ -69,41 +72,70 @@ def merge_by_two_keys(df: DataFrame, group: str, order: str, id_col: str, number
     """Replay rows in order: a row takes the first slot that has its id, or its number in its group, and clears other matches.
 
     Returns the rows left, with slot: the order of the row that opened their slot. Ids meet across
-    groups (markets), numbers only inside one. Rows that no chain of ids and numbers joins cannot
-    meet, so the replay runs per connected component; one component must fit in a task's memory.
-    NULL ids and numbers match nothing.
+    groups (markets), numbers only inside one. NULL ids and numbers match nothing; orders are distinct.
+
+    Rows that no chain of ids and numbers joins cannot meet, so each connected component is replayed
+    by itself. Components are of numbers; ids link the numbers they occur with, and an id of one number
+    links nothing, so few edges are left. All components of a task come in one stream sorted by
+    component and order; what is held is a batch and the live slots of the component at hand.
     """
-    keys = F.array_compact(F.array(
-        F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit("id"), F.col(id_col))),
-        F.when(F.col(number_col).isNotNull(), F.xxhash64(F.lit("number"), F.col(group), F.col(number_col))),
-    ))
-    # Two keys of one hash would only put more rows into one replay.
-    keyed = df.withColumn("_keys", keys)
-    first = F.coalesce(F.get("_keys", F.lit(0)), F.xxhash64(F.lit("row"), *df.columns))
-    roots = components(keyed.where(F.size("_keys") > 1).select(F.get("_keys", F.lit(0)).alias("a"), F.get("_keys", F.lit(1)).alias("b")).distinct())
-    placed = keyed.withColumn("_first", first).join(roots, F.col("_first") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_first"))
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        slots: dict = {}  # by the order of the row that opened them
+    node, key, root = "_node", "_key", "_root"
+    # Two numbers of one hash would only put more rows into one replay.
+    named = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit("id"), F.col(id_col)))
+    numbered = F.when(F.col(number_col).isNotNull(), F.xxhash64(F.lit("number"), F.col(group), F.col(number_col)))
+    keyed = df.withColumn(key, named).withColumn(node, F.coalesce(numbered, F.col(key), F.xxhash64(F.lit("row"), F.col(order))))
+    pairs = keyed.where(F.col(key).isNotNull()).select(key, node).distinct()
+    hubs = pairs.groupBy(key).agg(F.min(node).alias("a"), F.max(node).alias("b")).where("a <> b").select(key, "a")
+    links = pairs.join(hubs, key).where(F.col("a") != F.col(node)).select("a", F.col(node).alias("b")).distinct()
+    placed = keyed.drop(key).join(components(links).select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+    sorted_ = placed.select(*df.columns, root).repartition(root).sortWithinPartitions(root, order)
+    columns = [group, order, id_col, number_col, root]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # rows that are some slot's, of the component at hand
+        at = None
+        slots: dict[int, tuple[int, object, object]] = {}  # by opening: place in held, id, number
         by_id: dict = {}
         by_number: dict = {}
-        for row in rows.drop(columns="_root").sort_values(order, kind="stable").to_dict("records"):
-            name, number = row[id_col], (row[group], row[number_col])
-            hits = sorted({by_id.get(name), by_number.get(number)} - {None})
-            for h in hits:
-                old = slots.pop(h)
-                by_id.pop(old[id_col], None)
-                by_number.pop((old[group], old[number_col]), None)
-            at = hits[0] if hits else row[order]
-            slots[at] = row | {"slot": at}
-            if not pd.isna(name):
-                by_id[name] = at
-            if not pd.isna(row[number_col]):
-                by_number[number] = at
-        return pd.DataFrame(list(slots.values()), columns=[c for c in rows.columns if c != "_root"] + ["slot"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, ("slot", dict(df.dtypes)[order])])
-    return placed.select(*df.columns, "_root").groupBy("_root").applyInPandas(replay, schema)
+        opened: dict[int, object] = {}  # order of the row that opened the slot
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            done: list[tuple[int, object]] = []
+            for i, (of, seq, name, number, component) in enumerate(zip(*(rows.column(c).to_pylist() for c in columns), strict=True), len(held) - len(rows)):
+                if component != at:
+                    done += [(place, opened[s]) for s, (place, _, _) in slots.items()]
+                    at, slots, by_id, by_number, opened = component, {}, {}, {}, {}
+                whole = None if number is None else (of, number)
+                hits = {s for s in (by_id.get(name) if name is not None else None, by_number.get(whole) if whole else None) if s is not None}
+                for s in hits:
+                    _, n, w = slots.pop(s)
+                    by_id.pop(n, None) if by_id.get(n) == s else None
+                    by_number.pop(w, None) if by_number.get(w) == s else None
+                slot = min(hits) if hits else len(opened)
+                if not hits:
+                    opened[slot] = seq
+                slots[slot] = i, name, whole
+                if name is not None:
+                    by_id[name] = slot
+                if whole:
+                    by_number[whole] = slot
+            if done:
+                yield from _with_slots(held, done, root, rows.schema.field(order).type)
+            # What is left of the component at hand goes on to the next batch.
+            live = list(slots)
+            held = held.take(pa.array([slots[s][0] for s in live], pa.int64()))
+            for i, s in enumerate(live):
+                slots[s] = (i, *slots[s][1:])
+        if held is not None and slots:
+            yield from _with_slots(held, [(place, opened[s]) for s, (place, _, _) in slots.items()], root, held.schema.field(order).type)
+
+    return sorted_.mapInArrow(replay, T.StructType([*df.schema.fields, T.StructField("slot", df.schema[order].dataType)]))
+
+
+def _with_slots(held: pa.Table, done: list[tuple[int, object]], root: str, kind: pa.DataType) -> list[pa.RecordBatch]:
+    kept = held.drop_columns([root]).take(pa.array([place for place, _ in done], pa.int64()))
+    return kept.append_column("slot", pa.array([s for _, s in done], kind)).combine_chunks().to_batches()
 
 
 def idempotent_states(df: DataFrame, key: str, mutation: str, order: list[str], status: str, remind: str, terminal: list[str]) -> DataFrame:
@@ -133,8 +165,6 @@ def capped_merge(preferred: DataFrame, other: DataFrame, keys: list[str], order:
     return placed.where(F.col("_n") <= most).drop("_n", "_side")
 
 
-
-
 def acknowledged(followups: DataFrame, acks: DataFrame, key: str, remind: str) -> DataFrame:
     """Follow-ups whose reminder is cleared where an acknowledgement names exactly that reminder."""
     seen = acks.select(key, F.col(remind).alias("_seen")).distinct()

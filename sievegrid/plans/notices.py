@@ -9,13 +9,19 @@ from sievegrid.functions import html, notices, products, text
 from sievegrid.plans.tables import _table
 
 
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are dear to parse: a single small file would be one task, so it is dealt to all cores."""
+    df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _day(ts: Column) -> Column:
     return F.date_format(ts, "yyyy年M月d日")
 
 
 def notice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tenders; every seventh has no number, every fifth no time for its bids."""
-    o = _table(spark, sf_dir, "orders")
+    o = _rows(spark, sf_dir, "orders")
     k, at = F.col("o_orderkey"), F.add_months("o_orderdate", 240)  # notices are of this century
     day = lambda n: _day(F.date_add(at, n))
     said = F.concat(
@@ -31,7 +37,7 @@ def notice_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notice_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as corrections and terminations: with an exact new time, without one, with other terms changed, and with nothing tracked."""
-    o = _table(spark, sf_dir, "orders")
+    o = _rows(spark, sf_dir, "orders")
     k, at = F.col("o_orderkey"), F.add_months("o_orderdate", 240)  # notices are of this century
     exact = F.concat(F.lit("原公告的投标文件提交截止时间：2020-01-02 09:30:00，更正为："), F.date_format(F.date_add(at, 9), "yyyy-M-d"), F.lit(" 14:05:00。"))
     change = F.when(k % 5 == 0, F.lit("联系人有误")).when(k % 3 == 0, exact).when(k % 3 == 1, "投标截止时间另行变更").otherwise(F.concat(exact, F.lit("技术参数有变")))
@@ -42,7 +48,7 @@ def notice_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notice_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as products of notices in seven layouts."""
-    p = _table(spark, sf_dir, "part")
+    p = _rows(spark, sf_dir, "part")
     k, size, name = F.col("p_partkey"), F.col("p_size").cast("string"), F.concat(F.regexp_replace("p_name", " ", ""), F.lit("分析仪"))
     layouts = [
         F.concat(F.lit("采购需求：主要标的名称："), name, F.lit("；数量："), size, F.lit("台；合同履行期限：x")),
@@ -60,7 +66,7 @@ def notice_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages with a table of two layouts, of which every fifth row has no fit amount."""
-    p = _table(spark, sf_dir, "part")
+    p = _rows(spark, sf_dir, "part")
     k = F.col("p_partkey")
     amount = F.when(k % 5 == 0, "约2台").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("台")))
     standard = F.concat(F.lit("<table><tr><th>品目名称</th><th>采购标的</th><th>数量（单位）</th></tr><tr><td>"), "p_type", F.lit("</td><td>"), "p_name", F.lit("</td><td>"), amount, F.lit("</td></tr></table>"))

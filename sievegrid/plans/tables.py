@@ -90,7 +90,7 @@ def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dual_key_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines of a supplier: a line takes the slot of its order's part, or of its part with the supplier."""
-    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", F.format_string("%012d-%04d-%08d", "l_orderkey", "l_linenumber", "l_partkey").alias("seq"), F.concat_ws("-", "l_suppkey", "l_orderkey").alias("id"), F.col("l_partkey").alias("number"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", F.format_string("%012d-%04d-%08d-%06d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"), F.concat_ws("-", "l_suppkey", "l_orderkey").alias("id"), F.col("l_partkey").alias("number"))
     return merge.merge_by_two_keys(rows, "l_suppkey", "seq", "id", "number")
 
 

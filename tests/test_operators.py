@@ -124,6 +124,28 @@ def test_merge_by_two_keys(spark):
     assert all(r.slot <= r.seq for r in got)
 
 
+def test_merge_of_a_whole_table(spark):
+    """All order lines, against one dictionary; and one component in many batches."""
+    from sievegrid.plans import tables
+
+    sf = "/root/testdata/sf0.01"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").collect()
+    slots, by_id, by_number = {}, {}, {}
+    for r in sorted(lines, key=lambda r: f"{r.l_orderkey:012}-{r.l_linenumber:04}-{r.l_partkey:08}-{r.l_suppkey:06}"):
+        seq, name, number = f"{r.l_orderkey:012}-{r.l_linenumber:04}-{r.l_partkey:08}-{r.l_suppkey:06}", f"{r.l_suppkey}-{r.l_orderkey}", (r.l_suppkey, r.l_partkey)
+        hits = {by_id.get(name), by_number.get(number)} - {None}
+        for h in hits:
+            _, n, w = slots.pop(h)
+            del by_id[n], by_number[w]
+        at = min(hits, default=seq)
+        slots[at], by_id[name], by_number[number] = (seq, name, number), at, at
+    got = tables.QUERIES["dual_key_merge"](spark, sf).collect()
+    assert sorted((r.slot, r.seq) for r in got) == sorted((s, v[0]) for s, v in slots.items()) and len(lines) > 50_000
+    rows = [("m", i, f"i{i // 2}", f"n{(i + 1) // 2 % 20_000}") for i in range(50_000)]
+    one = merge.merge_by_two_keys(spark.createDataFrame(rows, "market string, seq int, id string, number string"), "market", "seq", "id", "number")
+    assert sorted((r.seq, r.id, r.number) for r in one.collect()) == plain_merge([r[1:] for r in rows])
+
+
 def test_ids_meet_across_markets(spark):
     rows = [("a", 1, "i1", "n1"), ("b", 2, "i1", "n2"), ("a", 3, None, "n1"), ("b", 4, "i2", "n2"), ("c", 5, None, None), ("c", 6, None, None), ("b", 7, "i9", "n1")]
     df = spark.createDataFrame(rows, "market string, seq int, id string, number string")
