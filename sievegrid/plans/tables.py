@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import html, text, times
 from sievegrid.operators import analytics, events, ledger, matching, merge, ranking, scoring, validate
+from sievegrid.streaming import scans
 
 AS_OF = "2001-07-15 00:00:00"
 #: The pool's own cap: a top-k report.
@@ -99,6 +100,23 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", "props", times.epoch_seconds(F.col("ts")).alias("at_s"))
 
 
+def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what happens to sources (groups of users): sightings of users, verifications, ends of scans, full cycles."""
+    e = _table(spark, sf_dir, "events").where("user_id is not null")
+    n = F.pmod(F.xxhash64("event_id"), F.lit(100))
+    kind = F.when(n < 45, "SEEN").when(n < 65, "VERIFIED").when(n < 70, "FAILED").when(n < 99, "SCAN_END").otherwise("FULL_CYCLE")
+    at = times.epoch_seconds(F.col("ts"))
+    return e.select(
+        F.concat(F.lit("s"), F.col("user_id") % 97).alias("source"), F.col("event_id").cast("long").alias("seq"), at.alias("at_s"), kind.alias("kind"), F.col("user_id").cast("string").alias("url"),
+        F.col("event_type").alias("mark"), F.floor(at / 900).cast("string").alias("bucket"),
+    )
+
+
+def source_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scans of all sources lead to."""
+    return scans.outcomes(scan_events(spark, sf_dir))
+
+
 def scd2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.versions(_events(spark, sf_dir), "user_id", ["at_s", "event_id"], F.col("event_type")).select("user_id", "version", "event_type", "at_s", "event_id")
 
@@ -323,7 +341,7 @@ def upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    ranked_pool_top, market_scoped_rank, personalised_rank, runtime_rescore, keyed_last_wins, first_wins_dedupe, dual_key_merge, scd2_versions,
+    ranked_pool_top, market_scoped_rank, personalised_rank, runtime_rescore, keyed_last_wins, first_wins_dedupe, dual_key_merge, source_scans, scd2_versions,
     scd2_strict, version_diff, event_fold_as_of, state_json_agg, latest_per_group, page_lookahead, set_delta, outcome_summary, reason_histogram,
     feedback_rate, coverage_risk, trailing_runs, finding_ledger, content_fingerprint, change_reasons, scan_bucket, rate_limit, first_hit_windows,
     verification_budget, due_source, tick_grid, lineage_pairs, containment_join, scope_match, scope_classifier, url_canonical, anchor_extract,
