@@ -8,7 +8,9 @@ term weighs (1 + ln tf) * idf, with document frequencies counted over all texts.
 Only what can reach the threshold is weighed, which loses nothing: by Cauchy-Schwarz a cosine is at
 most the norm of the template's part on shared terms. So a block without a core term of a header (the
 others carry too little of its norm), or with fewer terms than the heaviest that reach it, is left out, and so is a text, with all its blocks, whose terms
-cover too little of every template: sums per row tell that before anything else is cut. A row whose
+cover too little of every template: sums per row tell that before anything else is cut. What is left is
+weighed twice: first with the least weight that words outside the templates can have, which bounds the
+cosine from above and needs no counts of them; then, for the few units that pass, exactly. A row whose
 whole text is at the threshold is a licence file of its directory. Rows without a licence of their own
 inherit from the nearest directory above them that has one; ancestors are joined per distinct
 directory, not per row.
@@ -172,12 +174,10 @@ def found_licences(df: DataFrame, threshold: float = THRESHOLD, broadcast_rows:
     """Of df (r, text): (r, at, size, licence, cosine) for each block and whole text (at -1, size 0) at the threshold."""
     spark, known = df.sparkSession, templates()
     n = df.count()
-    every = df.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    # Counts fold in each task before the words meet anything.
-    frequency = materialise(every.groupBy("term").agg(F.count("*").alias("df")), "licence-frequency")
     words = sorted({t for _, text, _ in known for t in re.findall(TERM, text.lower())})
-    listed = F.broadcast(spark.createDataFrame([(t,) for t in words], "term string"))
-    counted = {r.term: r.df for r in frequency.join(listed, "term").collect()}  # at most one row a template term
+    listed = F.array(*[F.lit(t) for t in words])
+    # Only the templates' words leave the scan, and their counts fold in each task; at most one row a template word is collected.
+    counted = {r.term: r.df for r in df.select(F.explode(F.array_intersect(terms_of(F.col("text")), listed)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}
     unit = vectors([text for _, text, _ in known], {t: idf(counted.get(t, 0), n) for t in words})
 
     # A block has no terms that its text lacks, so texts that cover no template have no block to weigh either.
@@ -185,22 +185,32 @@ def found_licences(df: DataFrame, threshold: float = THRESHOLD, broadcast_rows:
     headers = blocks(texts, [u for u, k in zip(unit, known, strict=True) if k[2]], threshold)
     files = texts.select("r", F.lit(-1).alias("at"), F.lit(0).alias("size"), terms_of(F.col("text")).alias("terms"))
     spread = headers.unionByName(files).select("r", "at", "size", F.explode("terms").alias("term")).groupBy("r", "at", "size", "term").agg(F.count("*").alias("tf"))
-    spread = materialise(spread, "licence-terms", free=True)
-    wanted = materialise(spread.select("term").distinct(), "licence-words")
-    wanted = materialise(frequency.join(_sized(wanted, broadcast_rows), "term"), "licence-wanted")
-    weighed = spread.join(_sized(wanted, broadcast_rows), "term").withColumn("w", (1 + F.log("tf")) * idf(F.col("df"), n))
-
     weights: dict[str, list[float]] = {t: [0.0] * len(unit) for t in words}
     for i, vector in enumerate(unit):
         for t, w in vector.items():
             weights[t][i] = w
-    table = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, weights array<double>"))
-    dots = weighed.join(table, "term", "left").groupBy("r", "at", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.get("weights", F.lit(i))).alias(f"d{i}") for i in range(len(unit))])
-    # Blocks are held against headers only, whole texts against all.
-    fits = lambda i: F.lit(True) if known[i][2] else F.col("size") == 0
-    scored = F.array(*[F.struct(F.when(fits(i), -F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.col("norm"), 9)).otherwise(0.0).alias("far"), F.lit(known[i][0]).alias("licence")) for i in range(len(unit))])
-    best = dots.select("r", "at", "size", F.array_min(scored).alias("b"))
-    return best.select("r", "at", "size", F.col("b.licence").alias("licence"), (-F.col("b.far")).alias("cosine")).where(F.col("cosine") >= threshold)
+    table = F.broadcast(spark.createDataFrame([(t, float(idf(counted.get(t, 0), n)), w) for t, w in sorted(weights.items())], "term string, own double, weights array<double>"))
+    spread = materialise(spread.join(table.select("term", "own"), "term", "left"), "licence-terms", free=True)
+
+    def scored(rows: DataFrame, weight: Column) -> DataFrame:
+        """(r, at, size, licence, cosine): the best template of each unit. Blocks are held against headers only, whole texts against all."""
+        weighed = rows.withColumn("w", (1 + F.log("tf")) * weight).join(table.select("term", "weights"), "term", "left")
+        dots = weighed.groupBy("r", "at", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.sum(F.col("w") * F.get("weights", F.lit(i))).alias(f"d{i}") for i in range(len(unit))])
+        fits = lambda i: F.lit(True) if known[i][2] else F.col("size") == 0
+        each = F.array(*[F.struct(F.when(fits(i), -F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.col("norm"), 9)).otherwise(0.0).alias("far"), F.lit(known[i][0]).alias("licence")) for i in range(len(unit))])
+        best = dots.select("r", "at", "size", F.array_min(each).alias("b"))
+        return best.select("r", "at", "size", F.col("b.licence").alias("licence"), (-F.col("b.far")).alias("cosine"))
+
+    # A word weighs as one that every text has, or more; with that for all other words a norm is least and a cosine most.
+    most = scored(spread, F.coalesce("own", F.lit(1.0)))
+    able = materialise(most.where(F.col("cosine") >= threshold - 1e-8).select("r", "at", "size"), "licence-able", free=True)
+    left = materialise(spread.join(_sized(able, broadcast_rows), ["r", "at", "size"]), "licence-left")
+    # Words of what is left, counted over all texts.
+    wanted = _sized(materialise(left.where("own is null").select("term").distinct(), "licence-words"), broadcast_rows)
+    every = df.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+    other = materialise(every.join(wanted, "term").groupBy("term").agg(F.count("*").alias("df")), "licence-wanted", free=True)
+    known_df = left.join(_sized(other, broadcast_rows), "term", "left")
+    return scored(known_df, F.coalesce("own", idf(F.col("df"), n))).where(F.col("cosine") >= threshold)
 
 
 def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
