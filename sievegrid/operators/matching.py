@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.functions.text import acronym_pattern, any_term
+from sievegrid.functions.text import acronym_pattern, any_term, official_url
 from sievegrid.operators.profile import containing
 
 
@@ -73,3 +73,18 @@ def successors(intents: DataFrame, formals: DataFrame, institution: str, publish
     pairs = i.join(f, "_who").where((F.col("formal_published") >= F.col("_since")) & alike & (F.col("intent_key") != F.col("formal_key")))
     place = F.row_number().over(Window.partitionBy("intent_key").orderBy("formal_published", "formal_key"))
     return pairs.withColumn("place", place).where(F.col("place") <= most).select("intent_key", "formal_key", "place")
+
+
+def scoped(pool: DataFrame, keep: Column, order: list[Column], most: int, cards: int) -> DataFrame:
+    """The pool's rows in scope, ranked anew from 1, so many at most; the first of them are cards."""
+    first = pool.where(F.coalesce(keep, F.lit(False))).orderBy(*order).limit(most)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # most rows
+    return first.withColumn("rank", rank).withColumn("is_card", F.col("rank") <= cards)
+
+
+def known_status(candidates: DataFrame, url: str, known: DataFrame, key: str, urls: str) -> DataFrame:
+    """candidates with the least known row (key) that has their address among its urls, in canonical form, and status KNOWN or NEW."""
+    owners = known.select(F.col(key), F.explode(urls).alias("_u")).select(key, official_url(F.col("_u")).alias("_at")).where("_at is not null")
+    least = owners.groupBy("_at").agg(F.min(key).alias(key))
+    met = candidates.withColumn("_at", official_url(F.col(url))).join(least, "_at", "left").drop("_at")
+    return met.withColumn("status", F.when(F.col(key).isNull(), "NEW").otherwise("KNOWN"))

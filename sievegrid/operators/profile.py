@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.functions.text import any_term
+from sievegrid.functions.text import any_term, let
 from sievegrid.operators.scoring import private_points, relationship_points
 
 # Words too general to be a capability, short words that are one, and words that mean the same.
@@ -52,23 +52,43 @@ def keyword_terms(x: Column) -> Column:
     return F.when(specific_keyword(x), own).otherwise(F.array().cast("array<string>"))
 
 
-def _grams(x: Column, n: int) -> Column:
-    return F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+#: Buckets of the table that tells which grams are some word's, one byte each.
+GRAM_BUCKETS = 1 << 17
+
+
+def _grams(x: Column, n: int, keep=None) -> Column:
+    """Distinct runs of n characters of x, in time linear in x; keep: only those that it holds for."""
+
+    def runs(chars: Column) -> Column:
+        each = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]) if n > 1 else c)
+        whole = F.filter(each, lambda g: g.isNotNull() if keep is None else g.isNotNull() & keep(g))
+        return F.array_distinct(whole)
+
+    return F.coalesce(let(F.regexp_extract_all(x, F.lit("(?s)(.)"), F.lit(1)), runs), F.array().cast("array<string>"))
 
 
 def containing(texts: DataFrame, text: str, words: DataFrame, word: str, gram: int = 3) -> DataFrame:
     """texts joined with each row of words whose word the text contains; NULL and empty words match nothing.
 
     A word is represented by the gram of it that fewest words share (its whole self if it is shorter),
-    which is the join key; the containment itself decides.
+    which is the join key; the containment itself decides. A text leaves its scan only with the grams
+    that some word may have: a table of one byte for each of GRAM_BUCKETS hashes, the same at any
+    number of words, tells them.
     """
     listed = words.where(F.length(word) > 0)
-    grams = F.when(F.length(word) < gram, F.array(F.col(word))).otherwise(_grams(F.col(word), gram))
     spread = listed.select(F.col(word).alias("_w")).distinct().select("_w", F.explode(F.when(F.length("_w") < gram, F.array("_w")).otherwise(_grams(F.col("_w"), gram))).alias("_gram"))
     shared = spread.groupBy("_gram").agg(F.count("*").alias("_n"))
     chosen = spread.join(shared, "_gram").groupBy("_w").agg(F.min(F.struct("_n", "_gram")).alias("_c")).select(F.col("_w"), F.col("_c._gram").alias("_gram"))
     keyed = listed.join(chosen, F.col(word) == F.col("_w")).drop("_w")
-    own = F.concat(*[_grams(F.col(text), n) for n in range(1, gram + 1)])
+    bucket = lambda g: F.xxhash64(g).bitwiseAND(F.lit(GRAM_BUCKETS - 1)).cast("int")
+    known = chosen.select(F.length("_gram").alias("n"), bucket(F.col("_gram")).alias("b")).distinct().collect()  # gram * GRAM_BUCKETS rows at most
+    if not known:
+        return texts.join(keyed.drop("_gram"), F.lit(False))
+    table = bytearray(GRAM_BUCKETS)
+    for r in known:
+        table[r.b] = 1
+    some = lambda g: F.substring(F.lit(bytes(table)), bucket(g) + 1, F.lit(1)) == F.lit(b"\x01")
+    own = F.concat(*[_grams(F.col(text), n, some) for n in sorted({r.n for r in known})])
     met = texts.withColumn("_gram", F.explode(own)).join(keyed, "_gram").drop("_gram")
     return met.where(F.contains(F.col(text), F.col(word)))
 

@@ -62,3 +62,11 @@ def due_source(df: DataFrame, now: Column, completed: str, interval_s: str, tie:
     overdue = now - F.col(completed) - F.col(interval_s)
     due = df.withColumn("overdue", overdue).where(F.col(completed).isNull() | (F.col("overdue") >= 0))
     return due.orderBy(F.col("overdue").desc_nulls_first(), F.col(tie).asc()).limit(1)
+
+
+def followed(df: DataFrame, owner: str, key: str, order: list[str], note: str, active: Column) -> DataFrame:
+    """Each owner's entries by their last row: its note, those that are active, the last updated first."""
+    last = df.groupBy(owner, key).agg(F.max(F.struct(*order, F.col(note).alias("note"), F.coalesce(active, F.lit(False)).alias("active"))).alias("_l"))
+    rows = last.where("_l.active").select(owner, key, *[F.col("_l")[c].alias(c) for c in order], F.col("_l.note").alias("note"))
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(F.col(order[0]).desc(), key))
+    return rows.withColumn("place", place)

@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from sievegrid.plans import cards, notices, oracle, tables
+from sievegrid.plans import cards, notices, oracle, records, tables
 
-ORACLE_SQL, QUERIES = {**oracle.ORACLE_SQL, **cards.ORACLE_SQL, **notices.ORACLE_SQL}, {**tables.QUERIES, **cards.QUERIES, **notices.QUERIES}
+ORACLE_SQL, QUERIES = {**oracle.ORACLE_SQL, **cards.ORACLE_SQL, **notices.ORACLE_SQL, **records.ORACLE_SQL}, {**tables.QUERIES, **cards.QUERIES, **notices.QUERIES, **records.QUERIES}
 
 SF = "/root/testdata/sf0.001"
 
