@@ -6,20 +6,18 @@ and a document is sampled with probability c * factor, where c makes the largest
 be taken (or meets a smaller token budget). So no probability is ever cut at one, and expected
 token shares equal the fitted ones. The draw is a hash of the document's id: the same every time.
 
-The table of cells is bounded by the targets' values, plus one value for all that they do not
-list; fitting is one expression over that table in one row, and a step costs the number of cells.
-Documents are only ever projected: the multipliers reach them as a scalar subquery, so no shuffle,
-and a hot source is no hot task.
-
-Topics, where a table has none, are told by seed words: of the long words the ones that most
-documents have; a document is of the seed that it has most often. They are counted over all texts.
-
-Defined results: a null text has no tokens; null or unlisted values count as the value "other",
-whose target is what the listed targets leave; targets of values without tokens are shared out
-among the rest; seeds that as many documents have come in alphabetical order, a document that has
-two as often is of the first, and one that has none of topic "none"; rows with the same id are taken
-or left together; an empty table gives no rows; other columns pass through, and an output replaces a
-column that has its name.
+Every step is a grouped sum over the table of cells, folded in each task before it is shuffled, and
+leaves a written table of one multiplier a value, at any number of values; rounds end when no
+multiplier moves any more, or after ``rounds``. Documents meet the multipliers by broadcast joins
+while those tables are few rows (``broadcast_rows``), else by joins whose skewed sides Spark splits.
+
+A topic is any column expression. Tables without one can be told apart by ``genre``: surface marks
+that mean the same in every language.
+
+Defined results: a null text has no tokens; null values, and values that given targets do not list,
+count as the value "other", whose target is what the listed targets leave; targets of values without
+tokens are shared out among the rest; rows with the same id are taken or left together; an empty
+table gives no rows; other columns pass through, and an output replaces a column that has its name.
 """
 
 from __future__ import annotations
@@ -27,43 +25,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.common import SPACE, all_of, fresh, materialise, named
+from sievegrid.llm.common import WORD, all_of, fresh, materialise, named
 
 ROUNDS = 40
 OTHER = "other"
-#: Seed words of topics, and the letters that they have at least.
-TOPICS, SEED_LETTERS = 8, 6
-#: Values of a dimension that default targets list at most; all others share one place.
-LISTED = 1000
 #: Share of the natural token shares' logarithms that default targets keep: below one, it evens out.
 TEMPER = 0.7
+#: Multipliers that move by less than this share in a round have settled.
+SETTLED = 1e-10
+#: Rows of a table of multipliers that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 Targets = dict[str, dict[str, float]]
 
 
 def n_tokens(text: Column) -> Column:
     """White-space words of a text."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def long_words(text: Column, letters: int = SEED_LETTERS) -> Column:
-    """Runs of so many letters of a text, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(\p{{L}}{{{letters},}})"), F.lit(1))
-
-
-def seed_words(df: DataFrame, text_col: str = "text", topics: int = TOPICS, letters: int = SEED_LETTERS) -> list[str]:
-    """The long words that most rows have."""
-    words = df.select(F.explode(F.array_distinct(long_words(named(text_col), letters))).alias("word"))
-    return [r.word for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(topics).collect()]
-
-
-def topic_of(text: Column, seeds: list[str], letters: int = SEED_LETTERS) -> Column:
-    """The seed that the text has most often, of equals the first; none if it has none."""
-    if not seeds:
-        return F.lit("none")
-    had = F.filter(long_words(text, letters), lambda w: w.isin(seeds))
-    counted = F.transform(F.array(*map(F.lit, seeds)), lambda s, i: F.struct(F.size(F.filter(had, lambda w: w == s)).alias("n"), (-i).alias("i"), s.alias("s")))
-    return F.when(F.size(had) > 0, F.array_max(counted)["s"]).otherwise("none")
+def genre(text: Column) -> Column:
+    """figures (over a fortieth of digits), web (addresses), lines (short ones), long (2000 characters), else prose; the first that holds."""
+    t = F.coalesce(text, F.lit(""))
+    digits = F.regexp_count(t, F.lit("[0-9]"))
+    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    return (
+        F.when(digits * 40 > F.length(t), "figures")
+        .when(F.contains(t, F.lit("://")) | F.contains(t, F.lit("@")), "web")
+        .when((lines > 0) & (lines * 60 >= F.length(t)), "lines")
+        .when(F.length(t) >= 2000, "long")
+        .otherwise("prose")
+    )
 
 
 def uniform(id_: Column) -> Column:
@@ -71,121 +63,94 @@ def uniform(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def tempered(cells: DataFrame, dims: list[str], temper: float = TEMPER, most: int = LISTED) -> Targets:
-    """Target shares that even out the natural ones.
-
-    Of each dimension the values with most tokens are listed, so many at most. The shares of all the
-    others, each tempered by itself, are left to OTHER: listed shares then sum to less than one.
-    """
-    out: Targets = {}
-    for d in dims:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0")
-        top = sums.where(F.col(d) != OTHER).orderBy(F.desc("t"), d).limit(most).collect()
-        rest = sums.where(~F.col(d).isin([r[d] for r in top])).agg(F.sum(F.pow("t", F.lit(temper)))).first()[0] or 0.0
-        listed = [r.t**temper for r in top]
-        whole = sum(listed) + rest
-        out[d] = {r[d]: s / whole for r, s in zip(top, listed, strict=True)}
-    return out
-
-
-def _listed(value: Column, target: dict[str, float]) -> Column:
-    """Place of a value among the target's values; those not listed come last."""
-    place = F.array_position(F.array(*[F.lit(v) for v in target] or [F.lit("")]).cast("array<string>"), F.coalesce(value.cast("string"), F.lit(OTHER)))
-    return F.when(place > 0, place - 1).otherwise(len(target)).cast("int")
-
-
-def cell_weights(docs: DataFrame, dims: list[str]) -> DataFrame:
+def cell_weights(docs: DataFrame, dims: list[str], targets: Targets | None = None) -> DataFrame:
     """Tokens of each combination of the dimensions' values (columns of docs, with n_tokens)."""
-    named = [F.coalesce(F.col(d).cast("string"), F.lit(OTHER)).alias(d) for d in dims]
-    return docs.groupBy(*named).agg(F.sum("n_tokens").alias("tokens"))
-
-
-def fit(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
-    """One row: c, and for each dimension an array f0, f1, ... of multipliers by place.
-
-    budget: share of all tokens to expect at most; by default as many as exact shares allow.
-    """
-    dims = list(targets)
-    places = [_listed(F.col(d), targets[d]).alias(f"p{i}") for i, d in enumerate(dims)]
-    small = materialise(cells.where("tokens > 0").groupBy(*places).agg(F.sum("tokens").cast("double").alias("w")), "cell-places")
-    row = small.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
-    for i, d in enumerate(dims):
-        # The cells of each place, so that a step passes over every cell once.
-        own = small.groupBy(f"p{i}").agg(F.sort_array(F.collect_list(F.struct(*[f"p{j}" for j in range(len(dims))], "w"))).alias("cells"))
-        every = small.sparkSession.range(len(targets[d]) + 1).select(F.col("id").cast("int").alias(f"p{i}"))
-        listed = every.join(own, f"p{i}", "left").agg(F.sort_array(F.collect_list(F.struct(f"p{i}", "cells"))).alias("all"))
-        row = row.crossJoin(listed.select(F.transform("all", lambda x: x["cells"]).alias(f"g{i}")))  # two tables of one row
-
-    def target_of(i: int, d: str) -> Column:
-        """Target tokens of each place; those of values without tokens are shared out among the rest."""
-        shares = F.array(*[F.lit(float(s)) for s in [*targets[d].values(), max(0.0, 1.0 - sum(targets[d].values()))]])
-        there = F.zip_with(shares, f"g{i}", lambda s, g: F.when(F.size(F.coalesce(g, F.array().cast(small_cells))) > 0, s).otherwise(F.lit(0.0)))
-        whole = F.aggregate(there, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(there, lambda x: F.when(whole > 0, x / whole * F.col("total")).otherwise(F.lit(0.0))).alias(f"t{i}")
-
-    small_cells = "array<struct<" + ",".join(f"p{j}:int" for j in range(len(dims))) + ",w:double>>"
-    groups = [f"g{i}" for i in range(len(dims))]
-    row = row.select("total", *groups, *[target_of(i, d) for i, d in enumerate(dims)])
-    ones = F.struct(*[F.transform(f"t{i}", lambda x: F.lit(1.0)).alias(f"f{i}") for i in range(len(dims))])
-
-    def factor(state: Column, cell: Column, but: int = -1) -> Column:
-        out = F.lit(1.0)
-        for i in range(len(dims)):
-            if i != but:
-                out = out * F.get(state[f"f{i}"], cell[f"p{i}"])
-        return out
-
-    def scaled(state: Column, i: int) -> Column:
-        """The state with dimension i's multipliers set so that its marginal holds."""
-
-        def multiplier(target: Column, group: Column) -> Column:
-            have = F.aggregate(F.coalesce(group, F.array().cast(small_cells)), F.lit(0.0), lambda a, c: a + c["w"] * factor(state, c, i))
-            return F.when(have > 0, target / have).otherwise(F.lit(0.0))
-
-        return F.struct(*[(F.zip_with(f"t{i}", f"g{i}", multiplier) if j == i else state[f"f{j}"]).alias(f"f{j}") for j in range(len(dims))])
-
-    # Each step reads the one before as a column, so that no step is worked out twice.
-    steps = F.sequence(F.lit(0), F.lit(rounds * len(dims) - 1))
-
-    def step(state: Column, k: Column) -> Column:
-        out = scaled(state, len(dims) - 1)
-        for i in reversed(range(len(dims) - 1)):
-            out = F.when(F.pmod(k, F.lit(len(dims))) == i, scaled(state, i)).otherwise(out)
-        return out
-
-    fitted = row.select("g0", F.aggregate(steps, ones, step).alias("state"))
-    state = F.col("state")
-    largest = F.array_max(F.transform("g0", lambda g: F.coalesce(F.array_max(F.transform(g, lambda c: factor(state, c))), F.lit(0.0))))
-    sized = F.lit(1.0) if budget is None else F.lit(float(budget))
-    c = F.least(sized, F.when(largest > 0, F.lit(1.0) / largest).otherwise(0.0))
-    return fitted.select(F.coalesce(c, F.lit(0.0)).alias("c"), "state.*")
-
-
-def probability(model: DataFrame, dims: list[Column], targets: Targets) -> Column:
-    """The probability of a row with these values."""
-    out = model.select("c").scalar()
-    for i, (value, d) in enumerate(zip(dims, targets, strict=True)):
-        out = out * F.coalesce(F.get(model.select(f"f{i}").scalar(), _listed(value, targets[d])), F.lit(0.0))
-    return F.least(F.lit(1.0), out)
-
-
-def mix(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, budget: float | None = None, rounds: int = ROUNDS, listed: int = LISTED) -> DataFrame:
+    values = [_value(F.col(d), d, targets).alias(d) for d in dims]
+    return docs.groupBy(*values).agg(F.sum("n_tokens").cast("double").alias("w")).where("w > 0")
+
+
+def _value(value: Column, d: str, targets: Targets | None) -> Column:
+    """The value, or OTHER of a null one and of one that given targets do not list."""
+    shown = F.coalesce(value.cast("string"), F.lit(OTHER))
+    return shown if targets is None else F.when(shown.isin(list(targets[d])), shown).otherwise(OTHER)
+
+
+def target_tokens(cells: DataFrame, d: str, targets: Targets | None, temper: float = TEMPER) -> DataFrame:
+    """(value, target): target tokens of each value that has tokens, by given shares or by tempered natural ones."""
+    own = cells.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("w"))
+    if targets is None:
+        shared = own.withColumn("share", F.pow("w", F.lit(temper)))
+    else:
+        listed = targets[d] if OTHER in targets[d] else targets[d] | {OTHER: max(0.0, 1.0 - sum(targets[d].values()))}
+        given = cells.sparkSession.createDataFrame([(v, float(s)) for v, s in listed.items()], "value string, share double")
+        shared = own.join(given, "value")
+    whole = shared.agg(F.sum("share").alias("shares"), F.sum("w").alias("total"))
+    return shared.crossJoin(whole).select("value", (F.when(F.col("shares") > 0, F.col("share") / F.col("shares")).otherwise(0.0) * F.col("total")).alias("target"))  # one row beside
+
+
+def fit(cells: DataFrame, dims: list[str], targets: Targets | None = None, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> dict[str, DataFrame]:
+    """For each dimension a written table (value, f) of multipliers, to be broadcast where it has few rows."""
+    aims = {d: materialise(target_tokens(cells, d, targets), "targets") for d in dims}
+    # A dimension's table has the same values in every round, so its size is checked once.
+    sized = {d: F.broadcast if aims[d].count() <= broadcast_rows else (lambda df: df) for d in dims}
+    found = {d: aims[d].withColumn("f", F.lit(1.0)) for d in dims}
+    for _ in range(rounds):
+        moves = []
+        for d in dims:
+            rows = cells
+            for other in dims:
+                if other != d:
+                    rows = rows.join(sized[other](found[other].select(F.col("value").alias(other), F.col("f").alias(f"f_{other}"))), other)
+            weight = F.col("w")
+            for other in dims:
+                if other != d:
+                    weight = weight * F.col(f"f_{other}")
+            have = rows.groupBy(F.col(d).alias("value")).agg(F.sum(weight).alias("have"))
+            f = F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0)
+            made = sized[d](found[d]).join(have, "value", "left").select("value", "target", f.alias("f"), (F.abs(f - F.col("f")) / F.greatest(f, F.lit(1e-300))).alias("move"))
+            stepped = materialise(made.coalesce(1) if sized[d] is F.broadcast else made, "multipliers")
+            moves.append(stepped.select("move"))
+            found[d] = stepped.select("value", "target", "f")
+        moved = moves[0]
+        for m in moves[1:]:
+            moved = moved.unionByName(m)
+        if (moved.agg(F.max("move")).first()[0] or 0.0) <= SETTLED:
+            break
+    return {d: sized[d](t) for d, t in found.items()}
+
+
+def scale(cells: DataFrame, found: dict[str, DataFrame], budget: float | None = None) -> float:
+    """c: a budget (share of all tokens to expect at most), or as much as exact shares allow."""
+    rows, factor = cells, F.lit(1.0)
+    for d, table in found.items():
+        rows = rows.join(table.select(F.col("value").alias(d), F.col("f").alias(f"f_{d}")), d)
+        factor = factor * F.col(f"f_{d}")
+    largest = rows.agg(F.max(factor)).first()[0] or 0.0
+    return min(1.0 if budget is None else float(budget), 1.0 / largest) if largest > 0 else 0.0
+
+
+def mix(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, budget: float | None = None, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with n_tokens, topic, probability and sampled.
 
     targets: for "source", "lang" and "topic" the target share of each value; by default tempered
-    natural shares, of so many listed values a dimension. topic: a column expression; by default topic_of the text by the table's seed words.
+    natural shares of all values. topic: a column expression; by default genre of the text.
     """
     df = df.drop(*({"n_tokens", "topic", "probability", "sampled"} - {id_col, text_col, source_col, lang_col}) if topic is None else ())
-    subject = topic_of(named(text_col), seed_words(df, text_col)) if topic is None else topic
+    subject = genre(named(text_col)) if topic is None else topic
     values = {"source": named(source_col), "lang": named(lang_col), "topic": subject}
     measured = df.select(*[v.alias(d) for d, v in values.items()], n_tokens(named(text_col)).alias("n_tokens"))
-    cells = materialise(cell_weights(measured, list(values)), "cells")
-    targets = targets or tempered(cells, list(values), most=listed)
-    model = materialise(fit(cells, targets, rounds, budget), "mixing")
-    s = fresh(df, "subject")
-    shown = df.withColumn(s, subject)
-    p = probability(model, [named(source_col), named(lang_col), F.col(s)], targets)
-    return shown.withColumns({"n_tokens": n_tokens(named(text_col)), "probability": p}).withColumns({"topic": F.col(s), "sampled": uniform(named(id_col)) < F.col("probability")}).drop(s)
+    cells = materialise(cell_weights(measured, list(values), targets), "cells")
+    found = fit(cells, list(values), targets, rounds, broadcast_rows)
+    c = scale(cells, found, budget)
+    whole, s = fresh(df, "whole_row"), fresh(df, "subject")
+    rows = df.select(F.struct(*all_of(df)).alias(whole), subject.alias(s), n_tokens(named(text_col)).alias("n_tokens"), *[_value(v, d, targets).alias(f"v_{d}") for d, v in values.items()])
+    p = F.lit(c)
+    for d, table in found.items():
+        rows = rows.join(table.select(F.col("value").alias(f"v_{d}"), F.col("f").alias(f"f_{d}")), f"v_{d}", "left")
+        p = p * F.coalesce(f"f_{d}", F.lit(0.0))
+    made = {"topic": F.col(s), "n_tokens": F.col("n_tokens"), "probability": F.least(F.lit(1.0), p), "sampled": uniform(F.col(whole)[id_col]) < F.least(F.lit(1.0), p)}
+    kept = [F.col(whole)[c_].alias(c_) for c_ in df.columns if c_.lower() not in made]
+    return rows.select(*kept, *[v.alias(k) for k, v in made.items()])
 
 
 def sample(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", **options) -> DataFrame:

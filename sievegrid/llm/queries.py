@@ -130,7 +130,7 @@ QUERIES = {
 
 
 
-def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topics: int = mixing.TOPICS, letters: int = mixing.SEED_LETTERS) -> str:
+def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER) -> str:
     """Raking written out, one step after another, over the table of cells."""
     dims = ["source", "lang", "topic"]
     steps, last = [], "cells"
@@ -140,19 +140,14 @@ def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topi
         others = ", ".join(f"f_{x}" for x in dims if x != d)
         steps.append(f"s{k} AS MATERIALIZED (SELECT source, lang, topic, w, total, t_source, t_lang, t_topic, {others}, t_{d} * total / sum(w * {rest}) OVER (PARTITION BY {d}) AS f_{d} FROM {last})")
         last = f"s{k}"
-    targets = ", ".join(f"g_{d} AS (SELECT {d}, sum(n_tokens) ^ {temper} / sum(sum(n_tokens) ^ {temper}) OVER () AS t_{d} FROM measured GROUP BY {d})" for d in dims)
+    targets = ", ".join(f"g_{d} AS (SELECT {d}, sum(n_tokens) ^ {temper} / sum(sum(n_tokens) ^ {temper}) OVER () AS t_{d} FROM measured GROUP BY {d} HAVING sum(n_tokens) > 0)" for d in dims)
     return rf"""
-        WITH words AS (
-            SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{{letters},}}') AS ls FROM documents),
-        counts AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(ls)) AS w FROM words) GROUP BY w ORDER BY n DESC, w LIMIT {topics}),
-        seeds AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS place FROM counts),
-        said AS (SELECT doc_id, unnest(ls) AS w FROM words),
-        had AS (SELECT doc_id, w, place, count(*) AS n FROM said JOIN seeds USING (w) GROUP BY ALL),
-        topics AS (SELECT doc_id, arg_max(w, (n, -place)) AS topic FROM had GROUP BY doc_id),
+        WITH docs AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
         measured AS (
-            SELECT doc_id, source, lang, coalesce(topic, 'none') AS topic,
-                   len(ws)::BIGINT AS n_tokens, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u
-            FROM words LEFT JOIN topics USING (doc_id)),
+            SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u,
+                   CASE WHEN (length(t) - length(translate(t, '0123456789', ''))) * 40 > length(t) THEN 'figures' WHEN contains(t, '://') OR contains(t, '@') THEN 'web'
+                        WHEN contains(t, chr(10)) AND (length(t) - length(replace(t, chr(10), ''))) * 60 >= length(t) THEN 'lines' WHEN length(t) >= 2000 THEN 'long' ELSE 'prose' END AS topic
+            FROM docs),
         {targets},
         cells AS MATERIALIZED (
             SELECT *, 1.0::DOUBLE AS f_source, 1.0::DOUBLE AS f_lang, 1.0::DOUBLE AS f_topic
@@ -161,7 +156,10 @@ def _mixing_sql(rounds: int = mixing.ROUNDS, temper: float = mixing.TEMPER, topi
             JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic)),
         {", ".join(steps)},
         fitted AS (SELECT source, lang, topic, f_source * f_lang * f_topic AS f, max(f_source * f_lang * f_topic) OVER () AS top FROM {last}),
-        p AS (SELECT m.*, least(1.0, least(1.0, 1.0 / top) * f) AS probability FROM measured m JOIN fitted USING (source, lang, topic))
+        m AS (SELECT source, any_value(f_source) AS f_source FROM {last} GROUP BY source), n AS (SELECT lang, any_value(f_lang) AS f_lang FROM {last} GROUP BY lang), o AS (SELECT topic, any_value(f_topic) AS f_topic FROM {last} GROUP BY topic),
+        p AS (
+            SELECT d.*, least(1.0, coalesce((SELECT least(1.0, 1.0 / any_value(top)) FROM fitted), 0) * coalesce(f_source, 0) * coalesce(f_lang, 0) * coalesce(f_topic, 0)) AS probability
+            FROM measured d LEFT JOIN m USING (source) LEFT JOIN n USING (lang) LEFT JOIN o USING (topic))
         SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, u < probability AS sampled FROM p
     """
 
