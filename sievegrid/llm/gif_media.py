@@ -1,8 +1,9 @@
 """Media columns: GIF89a files in a binary column, and their timed frames as nested rows.
 
-``text_to_gif`` stores bytes as 8-bit samples of about three greyscale frames, one over the other:
-plain; with a palette of its own and a transparent index; interlaced and taken back; and with a
-palette of its own, then cleared. ``gif_frames`` reads any GIF: LZW code streams, global and local
+``text_to_gif`` stores bytes as 8-bit samples of five or more greyscale frames, moved about on a canvas
+a little larger than they are: plain; with a palette of its own and a transparent index; interlaced
+and taken back; with a palette of its own, then cleared; and so on. A payload of fewer rows is one
+plain frame. ``gif_frames`` reads any GIF: LZW code streams, global and local
 palettes, interlacing, transparency and disposal; every frame is painted on the canvas, of which the
 histogram is taken. Both work row by row inside Arrow batches, without a shuffle, so one very long
 row costs its own size only.
@@ -30,8 +31,10 @@ from sievegrid.llm.common import named, slices
 WIDTH = 192
 #: Rows of a frame at most: 65,280 samples, so that a frame's sides fit GIF's 16 bits.
 ROWS = 340
-#: Frames that a payload is parted into where that leaves each some rows.
-FRAMES = 3
+#: Frames that a payload of as many rows is parted into at least, so that each way to store one shows in the next.
+FRAMES = 5
+#: Columns and rows that the canvas has beyond a frame; frames are moved about within them.
+MARGIN_X, MARGIN_Y = 8, 4
 #: Index that the second of each four of our own frames shows through: the space.
 SEEN_THROUGH = 32
 DELAY_MS = 100
@@ -166,22 +169,29 @@ def _blocks(data: bytes) -> bytes:
     return head + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def frame_rows(rows: int) -> int:
-    """Rows of each frame of a payload of so many rows; the last has what is left."""
-    return min(ROWS, max(4, -(-rows // FRAMES)))
+def frame_heights(rows: int) -> list[int]:
+    """Rows of each frame of a payload of so many rows."""
+    n = 1 if rows < FRAMES else max(FRAMES, -(-rows // ROWS))
+    return [rows * (i + 1) // n - rows * i // n for i in range(n)]
+
+
+def frame_place(n: int) -> tuple[int, int]:
+    """Column and row of the n-th frame on the canvas."""
+    return n * 3 % (MARGIN_X + 1), n * 2 % (MARGIN_Y + 1)
 
 
 def encode_gif(payload: bytes, width: int = WIDTH, delay_ms: int = DELAY_MS) -> bytes:
-    """A payload of a positive multiple of width bytes, as frames one over the other; of four, each is stored another way."""
-    step = width * frame_rows(len(payload) // width)
-    frames = [payload[i : i + step] for i in range(0, len(payload), step)]
+    """A payload of a positive multiple of width bytes, as frames that overlap; of four, each is stored another way."""
+    heights = frame_heights(len(payload) // width)
     grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", width, len(frames[0]) // width, 0xF7, 0, 0), grey]
-    for n, frame in enumerate(frames):
-        kind, rows = n % 4, len(frame) // width
+    out = [b"GIF89a", struct.pack("<HHBBB", width + MARGIN_X, max(heights) + MARGIN_Y, 0xF7, 0, 0), grey]
+    at = 0
+    for n, rows in enumerate(heights):
+        frame, kind = payload[at : at + rows * width], n % 4
+        at += rows * width
         disposal, clear = (1, 1, 3, 2)[kind], kind == 1
         out.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | clear, delay_ms // 10, SEEN_THROUGH if clear else 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, rows, 0x40 if kind == 2 else 0x87 if kind % 2 else 0))
+        out.append(b"\x2c" + struct.pack("<HHHHB", *frame_place(n), width, rows, 0x40 if kind == 2 else 0x87 if kind % 2 else 0))
         if kind % 2:
             out.append(grey[::-1])
         if kind == 2:

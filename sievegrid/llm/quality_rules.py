@@ -29,6 +29,8 @@ from sievegrid.llm.common import SPACE, all_of, fresh, materialise, named
 #: The bound of the training sample: about so many labelled rows, chosen by a hash of their ids.
 SAMPLE_ROWS = 12_000
 TREES, DEPTH = 12, 4
+#: Steps of the lasso fit at most.
+STEPS = 30
 LASSO = 0.002
 SEED = 7
 
@@ -114,7 +116,7 @@ def _shortest(path: list[Condition]) -> tuple[Condition, ...]:
     return tuple(sorted((name, side, at) for (name, side), at in bounds.items()))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO, seed: int = SEED) -> RuleModel:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO, seed: int = SEED, steps: int = STEPS) -> RuleModel:
     """Learn from the labelled rows of df. labels: id and label (0 or 1); rows with nulls are left out."""
     given = labels.select(named(id_col).alias("id"), named(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     n = given.count()
@@ -137,7 +139,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         stats_of = {c: F.col(c) for c in names}
         flags = F.array(*[_holds(r, stats_of).cast("double") for r in rules])
         table = rows.select("label", array_to_vector(flags).alias("features"))
-        weighed = LogisticRegression(labelCol="label", regParam=lasso, elasticNetParam=1.0, maxIter=30, tol=1e-5, standardization=True).fit(table)
+        weighed = LogisticRegression(labelCol="label", regParam=lasso, elasticNetParam=1.0, maxIter=steps, tol=1e-5, standardization=True).fit(table)
         kept = tuple((r, float(w)) for r, w in zip(rules, weighed.coefficients, strict=True) if w)
         return RuleModel(float(weighed.intercept), kept)
     finally:

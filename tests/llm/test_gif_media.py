@@ -58,19 +58,41 @@ def test_broken_files_and_clashing_columns(spark):
 def plain_feature(payload):
     """Frames painted pixel by pixel: plain; reversed greys seen through at spaces; plain, taken back; reversed greys, cleared."""
     rows = len(payload) // 192
-    step = 192 * min(340, max(4, -(-rows // 3)))
-    frames = [payload[i : i + step] for i in range(0, len(payload), step)]
-    canvas, bins = [0] * len(frames[0]), Counter()
-    for n, frame in enumerate(frames):
+    n = 1 if rows < 5 else max(5, -(-rows // 340))
+    cuts = [rows * i // n for i in range(n + 1)]
+    frames = [payload[192 * a : 192 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    wide, high = 200, max(len(f) for f in frames) // 192 + 4
+    canvas, bins = [0] * (wide * high), Counter()
+    for k, frame in enumerate(frames):
         before = canvas[:]
-        for i, s in enumerate(frame):
-            if n % 4 != 1 or s != 32:
-                canvas[i] = 21 * ((255 - s if n % 2 else s) >> 6)
+        places = [(i // 192 + k * 2 % 5) * wide + i % 192 + k * 3 % 9 for i in range(len(frame))]
+        for at, s in zip(places, frame, strict=True):
+            if k % 4 != 1 or s != 32:
+                canvas[at] = 21 * ((255 - s if k % 2 else s) >> 6)
         bins += Counter(canvas)
-        canvas = before if n % 4 == 2 else [0] * len(frame) + canvas[len(frame) :] if n % 4 == 3 else canvas
+        if k % 4 == 2:
+            canvas = before
+        elif k % 4 == 3:
+            for at in places:
+                canvas[at] = 0
     return f"frames={len(frames)};ms={100 * len(frames)};bins=" + ",".join(f"{b}:{bins[b]}" for b in sorted(bins))
 
 
+def test_disposal_shows_in_own_files():
+    """Restoring and clearing change what later frames of a stored text show."""
+    data = op.encode_gif(("Some words of a text. " * 60).encode().ljust(192 * 7, b" "))
+    frames = op.decode_gif(data)
+    assert [f["disposal"] for f in frames] == [1, 1, 3, 2, 1] and len({(f["x"], f["y"]) for f in frames}) == 5
+
+    def with_disposal(n, disposal):
+        parts = data.split(b"\x21\xf9\x04")
+        parts[n + 1] = bytes([parts[n + 1][0] & 0b11100011 | disposal << 2]) + parts[n + 1][1:]
+        return [f["histogram"] for f in op.decode_gif(b"\x21\xf9\x04".join(parts))]
+
+    own = [f["histogram"] for f in frames]
+    assert with_disposal(2, 1)[3] != own[3] and with_disposal(3, 1)[4] != own[4]
+
+
 def checked(r, text):
     raw = (text or "").encode()
     payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")

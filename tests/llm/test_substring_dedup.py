@@ -52,6 +52,19 @@ def test_random_tables(spark, window, sizes):
     assert got(op.drop_repeated_windows(df, window=window, **sizes)) == wanted(rows, window)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"buckets": 3, "fold_bytes": 2000, "bucket_bytes": 3000}])
+def test_hot_minimisers(spark, sizes):
+    """One run of words in many different passages; every minimiser counts as hot, and each window goes by its own hash."""
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(12))
+    rows = [(i, " ".join(f"r{rng.randrange(30)}" for _ in range(rng.randrange(20))) + f" {shared} " + " ".join(f"r{rng.randrange(30)}" for _ in range(rng.randrange(30)))) for i in range(150)]
+    rows += [(200 + i, rows[i][1]) for i in range(10)] + [(300, None), (301, "is " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = op.hot_minimisers(df.selectExpr("doc_id AS m1", "doc_id AS m2", "CAST(text AS BINARY) AS text"), 14, sizes.get("buckets", 8), 1, 0)
+    assert hot
+    assert got(op.drop_repeated_windows(df, window=14, hot_sample=1, hot_bytes=0, **sizes)) == wanted(rows, 14)
+
+
 def test_very_long_text(spark):
     rng = random.Random(5)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
