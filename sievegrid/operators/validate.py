@@ -160,3 +160,10 @@ def event_fault(version: Column, key: Column, kind: Column, number: Column, publ
         ("EVENT_FACT_OVERRIDE_WITHOUT_CHANGE", F.size(F.array_except(paths, F.coalesce(changed, F.array().cast("array<string>")))) == 0),
         ("EVENT_FACT_OVERRIDE_VALUE_INVALID", F.forall(values, lambda v: F.coalesce(v.endswith("+08:00"), F.lit(False)))),
     ])
+
+
+def duplicate_ids(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """events with fault DUPLICATE_EVENT_ID on all rows of an id but its first; null ids are not told apart here."""
+    first = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    later = F.struct(*order) != F.col("_first")
+    return events.join(first, key, "left").withColumn("fault", F.when(F.coalesce(later, F.lit(False)), "DUPLICATE_EVENT_ID")).drop("_first")

@@ -124,9 +124,10 @@ ORACLE_SQL = {
         SELECT event_type, completed, 1706745600 - completed - CASE WHEN n % 2 = 0 THEN 7200 ELSE 3600 END AS overdue FROM s
         WHERE overdue >= 0 ORDER BY overdue DESC, event_type LIMIT 1""",
     "tick_grid": """
-        SELECT '2024-01-02' AS day, i::INT AS tick, (690 + 15 * i)::INT AS minute_of_day, strftime(TIME '11:30:00' + to_minutes(15 * i) + DATE '2024-01-02', '%H:%M') AS clock,
-               strftime(w, '%Y-%m-%d') AS window_start, strftime(least(w + INTERVAL 13 DAYS, DATE '2024-02-10'), '%Y-%m-%d') AS window_end
-        FROM range(31) t(i), generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-10', INTERVAL 14 DAYS) g(w)""",
+        WITH e AS (SELECT ts + INTERVAL 8 HOURS AS t FROM events),
+        m AS (SELECT strftime(t, '%Y-%m-%d') AS day, hour(t) * 60 + minute(t) AS m FROM e),
+        d AS (SELECT day, CASE WHEN m < 690 THEN 690 ELSE 690 + ((m - 690) // 15 + 1) * 15 END AS due FROM m)
+        SELECT day, minute_of_day, count(*) AS n_events, ((minute_of_day - 690) // 15)::INT AS tick FROM (SELECT day, CASE WHEN due <= 1140 THEN due END::INT AS minute_of_day FROM d) GROUP BY ALL""",
     "lineage_pairs": """
         SELECT i.o_orderkey AS intent_key, f.o_orderkey AS formal_key, row_number() OVER (PARTITION BY i.o_orderkey ORDER BY f.o_orderdate, f.o_orderkey)::INT AS place
         FROM orders i JOIN orders f ON i.o_custkey = f.o_custkey AND i.o_orderpriority = f.o_orderpriority AND f.o_orderdate >= i.o_orderdate

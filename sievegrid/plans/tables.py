@@ -235,8 +235,12 @@ def due_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tick_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = times.lookback_windows(spark, "2024-01-01", "2024-02-10", 14).select(F.col("first_day").cast("string").alias("window_start"), F.col("last_day").cast("string").alias("window_end"))
-    return times.tick_grid(spark, "2024-01-02").crossJoin(days)
+    """The tick that follows each event on its day's grid in Shanghai, missed ones skipped, and the events that wait for it."""
+    minute = (F.floor((F.col("at_s") + 8 * 3600) / 60) % 1440).cast("int")
+    day = F.date_format(F.timestamp_seconds(F.col("at_s") + 8 * 3600), "yyyy-MM-dd")
+    e = _events(spark, sf_dir).select(day.alias("day"), ledger.next_tick(minute).alias("minute_of_day"))
+    waiting = e.groupBy("day", "minute_of_day").agg(F.count("*").alias("n_events"))
+    return waiting.withColumn("tick", ((F.col("minute_of_day") - 690) / 15).cast("int"))
 
 
 def lineage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
