@@ -82,22 +82,21 @@ def lzw_encode(data: bytes) -> bytes:
     codes: list[int] = []
     emit = codes.append
     table: dict[int, int] = {}  # prefix code * 256 + sample -> code * 256
-    find = table.get
-    free = _FIRST
+    free, full = _FIRST << 8, _FULL << 8
     prefix = data[0] << 8 if data else None
     for b in data[1:]:
-        code = find(prefix + b)
-        if code is not None:
-            prefix = code
+        key = prefix + b
+        if key in table:
+            prefix = table[key]
         else:
             emit(prefix)
-            table[prefix + b] = free << 8
+            table[key] = free
             prefix = b << 8
-            free += 1
-            if free == _FULL:
+            free += 256
+            if free == full:
                 emit(_CLEAR << 8)
                 table.clear()
-                free = _FIRST
+                free = _FIRST << 8
     if prefix is not None:
         emit(prefix)
     emit(_END << 8)
@@ -138,21 +137,27 @@ def lzw_decode(stream: bytes, least: int, n: int) -> bytes:
             span *= 4
         stop = int(stops[0]) if len(stops) else fit
         table = singles.copy()
-        add, put, prev, size, began = table.append, out.append, b"", clear + 2, len(out)
-        for code in codes[:stop].tolist():
-            if code < size:
-                entry = table[code]
-                if prev and size < _FULL:
-                    add(prev + entry[:1])
-                    size += 1
-            elif prev and code == size < _FULL:
-                entry = prev + prev[:1]
-                add(entry)
+        add, began, size = table.append, len(out), clear + 2
+        run = codes[:stop].tolist()
+        # The first code adds no entry; each later one adds one until the table is full. Entries stay, so they are read out at the end.
+        room = 1 + _FULL - size
+        try:
+            prev = table[run[0]] if run else b"-"
+            if not prev:
+                raise IndexError
+            for code in run[1:room]:
+                if code < size:
+                    entry = table[code]
+                elif code == size:
+                    entry = prev + prev[:1]
+                else:
+                    raise IndexError
+                add(prev + entry[:1])
                 size += 1
-            else:
-                raise ValueError("a code that no entry stands for")
-            put(entry)
-            prev = entry
+                prev = entry
+            out += [table[code] for code in run]
+        except IndexError:
+            raise ValueError("a code that no entry stands for") from None
         got += sum(map(len, out[began:]))
         if not len(stops) or codes[stop] == end:
             break
