@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +101,7 @@ def lzw_encode(data: bytes) -> bytes:
     if prefix is not None:
         emit(prefix)
     emit(_END << 8)
-    values = np.array([_CLEAR << 8, *codes], np.uint32) >> 8
+    values = np.frombuffer(array("I", [_CLEAR << 8, *codes]), np.uint32) >> 8
     widths = np.concatenate([[9], np.resize(_OWN_WIDTHS, len(codes))])
     out = bytearray()
     spots = np.arange(12)
@@ -167,11 +168,11 @@ def lzw_decode(stream: bytes, least: int, n: int) -> bytes:
 
 def _blocks(data: bytes) -> bytes:
     """Sub-blocks of 255 bytes with their lengths before them, and the empty one that ends them."""
-    whole = len(data) // 255
-    body = np.frombuffer(data[: whole * 255], np.uint8).reshape(whole, 255)
-    head = np.hstack([np.full((whole, 1), 255, np.uint8), body]).tobytes()
-    rest = data[whole * 255 :]
-    return head + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
+    parts = []
+    for i in range(0, len(data), 255):
+        part = data[i : i + 255]
+        parts += (_SINGLES[len(part)], part)
+    return b"".join(parts) + b"\0"
 
 
 def frame_heights(rows: int) -> list[int]:
@@ -222,13 +223,22 @@ class _Reader:
         return b"".join(parts)
 
 
-def _palette(reader: _Reader, flags: int) -> np.ndarray | None:
-    return np.frombuffer(reader.take(3 << (flags & 7) + 1), np.uint8).reshape(-1, 3) if flags & 0x80 else None
+def _palette(reader: _Reader, flags: int) -> bytes | None:
+    return reader.take(3 << (flags & 7) + 1) if flags & 0x80 else None
 
 
-def _interlaced(h: int) -> list[int]:
+@functools.lru_cache(64)
+def _paints(palette: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and colours of all 256 indices; those that the palette lacks are black."""
+    full = np.zeros((256, 3), np.uint8)
+    full[: len(palette) // 3] = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+    return (full >> 6) @ _HIGH_BITS, full
+
+
+@functools.lru_cache(1024)
+def _interlaced(h: int) -> np.ndarray:
     """The order in which an interlaced frame has its rows: 0, 8, ..; 4, 12, ..; 2, 6, ..; 1, 3, .."""
-    return [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
+    return np.array([*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)], np.int64)
 
 
 def _rows_in_order(samples: np.ndarray) -> np.ndarray:
@@ -274,11 +284,9 @@ def decode_gif(data: bytes, canvas: bool = True) -> list[dict]:
         samples = np.frombuffer(lzw_decode(reader.blocks(), least, w * h), np.uint8).reshape(h, w)
         if flags & 0x40:
             samples = _rows_in_order(samples)
-        full = np.zeros((256, 3), np.uint8)
-        full[: len(palette)] = palette
         inside = samples[: max(0, height - y), : max(0, width - x)]
         before = [layer.copy() for layer in layers] if disposal == 3 else None
-        for layer, paint in zip(layers, ((full >> 6) @ _HIGH_BITS, full), strict=False):
+        for layer, paint in zip(layers, _paints(palette), strict=False):
             part = layer[y : y + h, x : x + w]
             if clear_index is None:
                 part[:] = paint[inside]
