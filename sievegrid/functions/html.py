@@ -17,6 +17,7 @@ from sievegrid.functions.text import official_url
 _ANCHORS = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("url", T.StringType())]))
 _ROWS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "href", "meta")]))
 _TABLES = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
+_PARTS = T.StructType([T.StructField("text", T.StringType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))])
 _BLOCKS = {"p", "div", "li", "ul", "ol", "tr", "table", "br", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav"}
 
 
@@ -103,8 +104,12 @@ def page_anchors(html: str | None, base: str | None) -> list[dict]:
 
 def page_tables(html: str | None) -> list[list[list[str]]]:
     """Outermost tables as grids: a cell that spans rows or columns stands in each place it covers."""
+    return _laid_out(_parsed(html))
+
+
+def _laid_out(page: _Page) -> list[list[list[str]]]:
     grids = []
-    for table in _parsed(html).tables:
+    for table in page.tables:
         grid: list[dict[int, str]] = [{} for _ in table]
         for r, row in enumerate(table):
             c = 0
@@ -119,6 +124,18 @@ def page_tables(html: str | None) -> list[list[list[str]]]:
     return grids
 
 
+def _parts_of(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for part in pages:
+        parsed = [_parsed(h) for h in part]
+        texts = [" ".join(" ".join(p.text).split()) for p in parsed]
+        yield pd.DataFrame({"text": texts, "rows": [[row for grid in _laid_out(p) for row in grid] for p in parsed]})
+
+
+def page_parts(html: Column | str) -> Column:
+    """struct(text, rows): visible texts, a space between any two, and the rows of cells of all outermost tables, read in one pass."""
+    return F.pandas_udf(_parts_of, _PARTS)(html)
+
+
 def _texts(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in pages:
         yield part.map(page_text)
@@ -227,6 +244,23 @@ def next_page(html: Column, base: Column, hosts: list[str] | Column | None = Non
     return F.get(F.filter(urls, lambda u: u.isNotNull() & (u != base)), F.lit(0))
 
 
+def links_with_tails(html: Column) -> Column:
+    """array of struct(href, title, tail): each link with a title, and the text after it up to the next link."""
+    pieces = F.split(F.coalesce(html, F.lit("")), r"(?i)<a(?=[\s>])")
+    quoted = r"(?is)^[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>"
+    href = lambda p: F.trim(F.regexp_extract(p, quoted, 1))
+    title = lambda p: regex_text(F.regexp_extract(p, r"(?is)^[^>]*>(.*?)</a\s*>", 1))
+    tail = lambda p: regex_text(F.regexp_extract(p, r"(?is)^[^>]*>.*?</a\s*>(.*)$", 1))
+    found = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(href(p).alias("href"), title(p).alias("title"), tail(p).alias("tail")))
+    return F.filter(found, lambda r: (r["href"] != "") & (r["title"] != ""))
+
+
+def heading(html: Column) -> Column:
+    """The first h1 that says something, else the first title element; NULL if there is neither."""
+    said = lambda tag: F.get(F.filter(F.transform(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>"), F.lit(1)), regex_text), lambda x: x != ""), F.lit(0))
+    return F.coalesce(said("h1"), said("title"))
+
+
 def list_rows(html: Column | str) -> Column:
     """array of struct(title, href, meta): of each outermost item of a result list the first link and the text beside it."""
     return F.pandas_udf(_list_rows, _ROWS)(html)

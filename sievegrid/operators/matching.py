@@ -19,22 +19,24 @@ def primary(title: Column, kind: Column, path: Column, words: list[str]) -> Colu
 def scope(text: Column, context: Column, terms: dict[str, list[str]]) -> Column:
     """IN or the code of the rule that excludes, by ordered rules over term lists.
 
-    terms: hard, strong, generic, adjacent, contextual, context, and acronyms.
+    terms: hard, strong, generic, adjacent, contextual and context, and acronyms of the strong, the adjacent
+    and the contextual ones as acronyms, adjacent_acronyms and contextual_acronyms. Adjacent terms need a
+    context term in the text itself, contextual ones in the text or in the context (who buys).
     """
 
-    def has(x: Column, name: str) -> Column:
-        return F.coalesce(F.lower(x).rlike(any_term([t.lower() for t in terms[name]])), F.lit(False)) if terms.get(name) else F.lit(False)
+    def has(x: Column, name: str, acronyms: str = "") -> Column:
+        hit = F.lower(x).rlike(any_term([t.lower() for t in terms[name]])) if terms.get(name) else F.lit(False)
+        if terms.get(acronyms):
+            hit = hit | x.rlike(acronym_pattern(terms[acronyms]))
+        return F.coalesce(hit, F.lit(False))
 
-    strong = has(text, "strong")
-    if terms.get("acronyms"):
-        strong = strong | F.coalesce(text.rlike(acronym_pattern(terms["acronyms"])), F.lit(False))
-    around = has(text, "context") | has(context, "context")
+    near = has(text, "context")
     return (
         F.when(has(text, "hard"), "HARD_EXCLUSION")
-        .when(strong, "IN")
+        .when(has(text, "strong", "acronyms"), "IN")
         .when(has(text, "generic"), "GENERIC_EXCLUSION")
-        .when(has(text, "adjacent"), F.when(around, "IN").otherwise("ADJACENT_WITHOUT_CONTEXT"))
-        .when(has(text, "contextual"), F.when(around, "IN").otherwise("CONTEXT_MISSING"))
+        .when(has(text, "adjacent", "adjacent_acronyms"), F.when(near, "IN").otherwise("ADJACENT_WITHOUT_CONTEXT"))
+        .when(has(text, "contextual", "contextual_acronyms"), F.when(near | has(context, "context"), "IN").otherwise("CONTEXT_MISSING"))
         .otherwise("NO_TERM")
     )
 

@@ -141,11 +141,11 @@ ORACLE_SQL = {
         FROM customer JOIN nation n ON c_nationkey = n.n_nationkey LEFT JOIN s ON contains('office ' || n.n_name, s.n_name) OR contains(s.n_name, 'office ' || n.n_name) GROUP BY c_custkey""",
     "scope_classifier": r"""
         WITH t AS (SELECT doc_id, lang, source, text, lower(text) AS l FROM documents),
-        c AS (SELECT *, contains(l, 'version') OR contains(l, 'from') OR contains(lower(source), 'version') OR contains(lower(source), 'from') AS around FROM t)
+        c AS (SELECT *, contains(l, 'version') OR contains(l, 'from') AS near, near OR contains(lower(source), 'version') OR contains(lower(source), 'from') AS around FROM t)
         SELECT doc_id, CASE WHEN contains(l, 'password') OR contains(l, 'ssn') THEN 'HARD_EXCLUSION'
                WHEN contains(l, 'license') OR regexp_matches(text, '(^|[^A-Za-z0-9])(?i:GNU|MIT)($|[^A-Za-z0-9])') THEN 'IN'
                WHEN contains(l, '%%%') OR contains(l, '***') THEN 'GENERIC_EXCLUSION'
-               WHEN contains(l, 'tion of') THEN CASE WHEN around THEN 'IN' ELSE 'ADJACENT_WITHOUT_CONTEXT' END
+               WHEN contains(l, 'tion of') THEN CASE WHEN near THEN 'IN' ELSE 'ADJACENT_WITHOUT_CONTEXT' END
                WHEN contains(l, 'the the') THEN CASE WHEN around THEN 'IN' ELSE 'CONTEXT_MISSING' END ELSE 'NO_TERM' END AS scope,
                NOT (contains(text, 'Released') OR contains(text, 'src1') OR contains(source, 'src1')) AS is_primary FROM c""",
     "url_canonical": rf"""
