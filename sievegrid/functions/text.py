@@ -221,3 +221,18 @@ def split_names(x: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(x, "[、，,]"), lambda n: F.trim(n)), lambda n: n != ""))
 
 
+# Markets by what may be chosen, and those that ids name.
+MARKET_GROUPS = {"JJ": ["BJ", "TJ"], "JJJ": ["BJ", "TJ", "HE"], "NE3": ["LN", "JL", "HL"], "ALL": ["BJ", "TJ", "HE", "LN", "JL", "HL"]}
+
+
+def selected_markets(choice: Column) -> Column:
+    """The markets of a choice: a group's, else the one that is chosen."""
+    out = F.array(choice)
+    for name, markets in MARKET_GROUPS.items():
+        out = F.when(choice == name, F.array(*map(F.lit, markets))).otherwise(out)
+    return out
+
+
+def market_of_id(x: Column, default: str = "TJ") -> Column:
+    """The market that an opportunity's id names."""
+    return F.coalesce(F.nullif(F.upper(F.regexp_extract(x, "(?i)^ccgp_(bj|he|ln|jl|hl)_", 1)), F.lit("")), F.lit(default))

@@ -179,3 +179,35 @@ def next_tick(minute: Column, first: int = 690, last: int = 1140, step: int = 15
     """The first minute of the day's grid after a minute of the day, missed ones skipped; NULL after the last."""
     due = F.when(minute < first, F.lit(first)).otherwise(first + (F.floor((minute - first) / step) + 1) * step)
     return F.when(due <= last, due).cast("int")
+
+
+def bootstrapped(discovered: DataFrame, entries: DataFrame, canonical: DataFrame, key: str, now: Column, updated_at: Column, recent_s: int, strict: Column) -> DataFrame:
+    """discovered (key, fingerprint, title, published_at) with the disposition of what is verified of it already.
+
+    entries: the ledger before (key, fingerprint, status, verified_fingerprint, last_verified, last_seen; times in seconds).
+    canonical: verified records (key, title, published_at, observed), one for a key. updated_at: when the ledger was written
+    last, NULL if never. strict: index and record are expected to say the same; where they need not, only a fingerprint that
+    was seen before the verification bridges them. Disposition, the first that holds: NULL (nothing verified, or only in the
+    future), STALE, METADATA_CHANGED, NEWER_VERIFIED, NEWER_STATE, METADATA_MISMATCH, BRIDGE_TOO_OLD, BRIDGED, SEEDED.
+    """
+    d = discovered.select(key, "fingerprint", "title", "published_at")
+    e = entries.select(key, F.lit(True).alias("_had"), F.col("fingerprint").alias("_mark"), "status", "verified_fingerprint", "last_verified", "last_seen")
+    c = canonical.select(key, F.col("title").alias("_title"), F.col("published_at").alias("_published"), "observed")
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    had, at = yes(F.col("_had")), F.col("observed")
+    same_mark = had & F.col("_mark").eqNullSafe(F.col("fingerprint"))
+    verified = had & yes((F.col("status") == "VERIFIED") & (F.col("verified_fingerprint") == F.col("fingerprint"))) & F.col("last_verified").isNotNull()
+    differ = lambda x, y: yes((F.trim(x) != "") & (F.trim(y) != "") & (F.trim(x) != F.trim(y)))
+    match = strict & ~differ(F.col("title"), F.col("_title")) & ~differ(F.col("published_at"), F.col("_published"))
+    disposition = (
+        F.when(at.isNull() | (at > now), None)
+        .when(now - at > recent_s, "STALE")
+        .when(had & ~same_mark, "METADATA_CHANGED")
+        .when(verified & (F.col("last_verified") >= at), "NEWER_VERIFIED")
+        .when(had & ~verified & yes(updated_at >= at), "NEWER_STATE")
+        .when(~match & ~same_mark, "METADATA_MISMATCH")
+        .when(~match & ~yes(at >= F.col("last_seen")), "BRIDGE_TOO_OLD")
+        .when(~match, "BRIDGED")
+        .otherwise("SEEDED")
+    )
+    return d.join(e, key, "left").join(c, key, "left").select(key, disposition.alias("disposition"), "observed")

@@ -195,3 +195,16 @@ def observation(facts_json: Column, verified: Column, key: Column, urls: Column,
     mark = F.sha2(F.concat(F.lit('{"evidence_source_urls":'), F.to_json(https), F.lit(',"facts":'), facts_json, F.lit(',"opportunity_id":'), text.json_string(name), F.lit("}")), 256)
     made = F.struct(name.alias("opportunity_id"), text.region_code(region).alias("region_code"), text.host(url).alias("source_id"), url.alias("source_url"), text.capped(lifecycle, 160).alias("lifecycle_state"), mark.alias("fact_hash"))
     return F.when((verified == "VERIFIED") & name.isNotNull() & (F.size(https) > 0), made)
+
+
+def snapshot_checks(local: DataFrame, remote: DataFrame, key: str, rank: str, cards: int = 5) -> DataFrame:
+    """One row: whether two snapshots (key, rank from 1) hold the same keys in the same order, in the pool and among its cards, with counts and the first rank that differs.
+
+    Ranks meet by a join, so no list of keys is gathered.
+    """
+    a, b = local.select(rank, F.col(key).alias("_a")), remote.select(rank, F.col(key).alias("_b"))
+    differ = ~F.col("_a").eqNullSafe(F.col("_b"))
+    met = a.join(b, rank, "full")
+    return met.agg(
+        F.count("_a").alias("local_count"), F.count("_b").alias("remote_count"), (F.count_if(differ) == 0).alias("pool_ids"), (F.count_if(differ & (F.col(rank) <= cards)) == 0).alias("card_ids"), F.min(F.when(differ, F.col(rank))).alias("first_difference")
+    ).withColumn("pool_count", F.col("local_count") == F.col("remote_count"))

@@ -160,3 +160,22 @@ def percent(part: Column, whole: Column) -> Column:
 
 def tier(score: Column) -> Column:
     return reduce(lambda rest, t: F.when(score >= t[0], t[1]).otherwise(rest), reversed(TIERS), F.lit("low"))
+
+
+def percent_points(shown: Column, most: int) -> Column:
+    """Points that a percentage of their most stands for, half up, held between 0 and the most; 0 of none or no finite one."""
+    finite = shown.isNotNull() & ~F.isnan(shown.cast("double")) & (F.abs(shown) != float("inf"))
+    return F.when(finite, F.greatest(F.lit(0), F.least(F.lit(most), F.floor(shown / 100.0 * most + 0.5)))).otherwise(0).cast("int")
+
+
+def points_percent(points: Column, most: int) -> Column:
+    """The percentage of the most that points are, half up, between 0 and 100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(points / float(most) * 100 + 0.5))).cast("int")
+
+
+def refreshed(score: Column, shown: dict[str, Column], fresh: dict[str, Column], most: dict[str, int]) -> Column:
+    """struct(score, percentages): a score whose components are shown as percentages, after some get fresh points."""
+    change = F.lit(0)
+    for code, points in fresh.items():
+        change = change - percent_points(shown[code], most[code]) + points
+    return F.struct(F.greatest(F.lit(0), F.least(F.lit(100), score + change)).cast("int").alias("score"), *[points_percent(p, most[c]).alias(c) for c, p in fresh.items()])
