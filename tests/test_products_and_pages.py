@@ -63,6 +63,22 @@ def test_tables(spark):
     assert [(x.field_path, x.source_url) for x in r.a] == [("facts.product_categories", "new"), ("facts.product_items", "new")] and [x.source_url for x in r.b] == ["old"]
 
 
+def test_products_of_a_record(spark):
+    item = "struct<raw_name:string,category:string,quantity:string,specification:string>"
+    kinds = f"known array<{item}>, cats array<string>, evidence array<struct<field_path:string,source_url:string,locator:string>>, words array<{item}>, tables array<{item}>"
+    a, b, c = ("a", None, None, None), ("b", "K", "1台", None), ("c", "K", None, None)
+    old = [("facts.product_items", "u", "old"), ("facts.region", "u", "r")]
+    rows = [([a], ["old"], old, [b], [c, b]), ([], [], old, [a], []), ([a], ["old"], old, [b], []), (None, None, None, [], [])]
+    made = products.with_structured(*[F.col(x) for x in ("known", "cats", "evidence", "words", "tables")], F.lit("n"))
+    got = [r.m for r in spark.createDataFrame(rows, kinds).select(made.alias("m")).collect()]
+    assert [[tuple(i) for i in m.product_items or []] for m in got] == [[c, b], [a], [a], []]
+    assert [m.product_categories for m in got] == [["K"], [], ["old"], None]
+    assert [[(e.field_path, e.locator) for e in m.evidence or []] for m in got] == [
+        [("facts.region", "r"), ("facts.product_categories", products.TABLE_CATEGORIES), ("facts.product_items", products.TABLE_ITEMS)], [("facts.region", "r"), ("facts.product_items", products.TEXT_ITEMS)],
+        [(p, w) for p, _, w in old], [],
+    ]
+
+
 def test_charsets(spark):
     page = "<meta charset=gb2312>天津市 医疗设备"
     rows = [(page.encode("gb18030"), None), ("plain".encode(), "gbk"), ("医院".encode("gb18030"), "nonsense"), (b"\xff\xfe\xfa", None), (None, None)]
