@@ -192,6 +192,8 @@ def _is_day(x: Column) -> Column:
     return x.rlike(r"^\d{4}-\d{2}-\d{2}$") & x.try_cast("date").isNotNull()
 
 
+# Fixed values from here to SITES: the patterns by which each site words its facts, and the codes of faults with their order.
+
 # ---- A: a research of needs; products in a numbered section, each with its own budget.
 
 
