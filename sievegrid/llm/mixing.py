@@ -12,23 +12,30 @@ multiplier moves any more, or after ``rounds``. Documents meet the multipliers b
 while those tables are few rows (``broadcast_rows``), else by joins whose skewed sides Spark splits.
 
 A topic is any column expression. Tables without one can be told apart by ``genre``: surface marks
-that mean the same in every language.
+that mean the same in every language. ``seeded`` adds the word topic of a text: seeds are the long
+words that most documents of a language have, counted over all texts. Raking over seeds by default
+has no solution (a language's tempered seeds may want more tokens than the language), so they are a
+column that a caller may rake over with targets of its own.
 
 Defined results: a null text has no tokens; null values, and values that given targets do not list,
 count as the value "other", whose target is what the listed targets leave; targets of values without
 tokens are shared out among the rest; rows with the same id are taken or left together; an empty
-table gives no rows; other columns pass through, and an output replaces a column that has its name.
+table gives no rows; seeds that as many rows have come in alphabetical order, a text that has two as
+often is of the first, and one that has none of "none"; other columns pass through, and an output replaces a column that has its name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievegrid.functions.text import let
 from sievegrid.llm.common import WORD, all_of, fresh, materialise, named
 
 ROUNDS = 40
 OTHER = "other"
+#: Seed words of a language, and the letters that they have at least.
+SEEDS, SEED_LETTERS = 8, 6
 #: Share of the natural token shares' logarithms that default targets keep: below one, it evens out.
 TEMPER = 0.7
 #: Multipliers that move by less than this share in a round have settled.
@@ -58,6 +65,42 @@ def genre(text: Column) -> Column:
     )
 
 
+def long_words(text: Column, letters: int = SEED_LETTERS) -> Column:
+    """Runs of so many letters of a text, as written."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(\p{{L}}{{{letters},}})"), F.lit(1))
+
+
+def _low(word: Column) -> Column:
+    """A-Z in lower case; lower() does just that to a word of ASCII, and much faster."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
+
+
+def seed_words(df: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = SEEDS, letters: int = SEED_LETTERS) -> DataFrame:
+    """(language, seeds): of each language the long words that most of its rows have, those of most rows first."""
+    said = df.select(F.coalesce(named(lang_col).cast("string"), F.lit(OTHER)).alias("language"), F.explode(F.array_distinct(F.transform(F.array_distinct(long_words(named(text_col), letters)), _low))).alias("word"))
+    counted = said.groupBy("language", "word").agg(F.count("*").alias("n"))
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("place") <= most)
+    return placed.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("s")).select("language", F.col("s.word").alias("seeds"))
+
+
+def seed_of(text: Column, seeds: Column, letters: int = SEED_LETTERS) -> Column:
+    """The seed (of an array in order) that the text has most often, of equals the first; none if it has none."""
+    counted = lambda had: F.transform(seeds, lambda s, i: F.struct(F.size(F.filter(had, lambda w: w == s)).alias("n"), (-i).alias("i"), s.alias("s")))
+    best = let(F.filter(F.transform(long_words(text, letters), _low), lambda w: F.array_contains(seeds, w)), lambda had: F.when(F.size(had) > 0, F.array_max(counted(had))["s"]))
+    return F.coalesce(best, F.lit("none"))
+
+
+def seeded(df: DataFrame, text_col: str = "text", lang_col: str = "lang", name: str = "seed", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with the seed word of each text, of the seeds of its language."""
+    found = materialise(seed_words(df, text_col, lang_col), "seeds")
+    language, seeds = fresh(df, "seed_language"), fresh(df, "seeds")
+    listed = found.select(F.col("language").alias(language), F.col("seeds").alias(seeds))
+    met = df.join(F.broadcast(listed) if found.count() <= broadcast_rows else listed, F.coalesce(named(lang_col).cast("string"), F.lit(OTHER)) == F.col(language), "left")
+    kept = [named(c) for c in df.columns if c.lower() != name.lower()]
+    return met.select(*kept, seed_of(named(text_col), F.col(seeds)).alias(name))
+
+
 def uniform(id_: Column) -> Column:
     """A number in [0, 1) from the id's digits."""
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))

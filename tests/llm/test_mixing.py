@@ -102,3 +102,24 @@ def test_genres(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.t for r in df.select("doc_id", op.genre(F.col("text")).alias("t")).collect()}
     assert got == {1: "figures", 2: "web", 3: "lines", 4: "long", 5: "prose", 6: "prose", 7: "web", 8: "prose"}
+
+
+def test_seed_words_of_each_language(spark):
+    """Words of all texts tell seeds, each language its own; lower case is of A-Z."""
+    rows = [(1, "Harbour harbour lantern is", "en"), (2, "the LANTERN, harbour!", "en"), (3, "Straße Hafenstadt", "de"), (4, "hafenstadt im Nebel", "de"), (5, "short ones", "en"), (6, None, None), (7, "orchards", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.seed for r in op.seeded(df).collect()}
+    assert got == {1: "harbour", 2: "harbour", 3: "hafenstadt", 4: "hafenstadt", 5: "none", 6: "none", 7: "orchards"}
+    assert op.seeded(df.where("false")).count() == 0
+
+
+def test_query_tells_seeds_as_in_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = op4_mixing(spark, sf).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.execute(ORACLE_SQL["op4_mixing"])
+    columns = [d[0] for d in want.description]
+    assert "seed" in columns
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in got)
+    assert {lang for lang in {r.lang for r in got} if any(r.seed != "none" for r in got if r.lang == lang)} == {r.lang for r in got}
