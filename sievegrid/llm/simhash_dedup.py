@@ -33,6 +33,8 @@ SEED = 42
 BITS = 64
 #: Shingles whose bits are counted together.
 BLOCK = 1 << 16
+#: Wide fingerprints, to propose pairs far beyond DISTANCE: lanes of 64 bits, keys and the bits that each samples.
+LANES, KEYS, KEY_BITS = 4, 64, 20
 
 
 def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -41,9 +43,19 @@ def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
 
 
-def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of a text's shingle hashes."""
-    votes = np.zeros((len(texts), BITS), np.int64)
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other 64 bits of each hash (SplitMix64), the hash itself as lane 0."""
+    if not lane:
+        return hashes
+    z = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def fingerprints_of(texts: list[bytes], size: int = SHINGLE, lanes: int = 1) -> np.ndarray:
+    """Fingerprints: a bit is set if it is set in over half of a text's shingle hashes. 64 bits, or as many for each lane in a row."""
+    votes = np.zeros((len(texts), BITS * lanes), np.int64)
     totals = np.zeros(len(texts), np.int64)
     hashes: list[np.ndarray] = []
     owners: list[int] = []
@@ -51,7 +63,9 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
     def count() -> None:
         if hashes:
-            bits = np.unpackbits(np.concatenate(hashes).astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS)
+            every = np.concatenate(hashes)
+            wide = np.stack([_mixed(every, k) for k in range(lanes)], axis=1)
+            bits = np.unpackbits(wide.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS * lanes)
             sizes = [len(h) for h in hashes]
             sums = np.add.reduceat(bits, np.cumsum([0, *sizes[:-1]]), axis=0, dtype=np.int64)
             np.add.at(votes, owners, sums)
@@ -74,7 +88,20 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
                 count()
                 held = 0
     count()
-    return np.packbits(votes * 2 > totals[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(votes * 2 > totals[:, None], axis=1, bitorder="little").view("<u8").reshape((-1, lanes) if lanes > 1 else -1)
+
+
+def wide_prints(texts: list[bytes]) -> np.ndarray:
+    """A row of lanes for each text, over its distinct words: what common words weigh would bring unlike texts together."""
+    return fingerprints_of([b" ".join(dict.fromkeys(t.lower().split())) for t in texts], 1, LANES)
+
+
+def sampled_keys(prints: np.ndarray, keys: int = KEYS, key_bits: int = KEY_BITS) -> np.ndarray:
+    """Of wide fingerprints (rows of lanes) so many keys each: the key's number, then the bits that it samples, places fixed once for all."""
+    places = np.stack([np.random.RandomState(SEED + k).permutation(prints.shape[1] * BITS)[:key_bits] for k in range(keys)])
+    bits = np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    read = bits[:, places.ravel()].reshape(len(prints), keys, key_bits) @ (1 << np.arange(key_bits, dtype=np.int32))
+    return read.astype(np.int32) | np.arange(keys, dtype=np.int32) << key_bits
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
