@@ -10,10 +10,14 @@ from sievegrid.operators import sites
 from sievegrid.plans.tables import _table
 
 
-def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are dear to parse: a single small file would be one task, so it is dealt to all cores."""
-    df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Rows that one task parses at most.
+TASK_ROWS = 20_000
+
+
+def _rows(spark: SparkSession, sf_dir: str, name: str, most: int = TASK_ROWS) -> DataFrame:
+    """A table whose rows are dear to parse, dealt into tasks of so many rows, one for each core at least: files may hold any number of them."""
+    df = _table(spark, sf_dir, name)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // most)))
 
 
 def _day(ts: Column) -> Column:

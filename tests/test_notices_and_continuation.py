@@ -99,3 +99,14 @@ def test_unseen_and_findings(spark):
     assert [one(spark, continuation.publish_gate(*map(F.lit, x))) for x in ((0, 0, 0), (1, 2, 0), (1, 0, 0))] == ["NO_SEARCH_SUCCEEDED", "NOTHING_VERIFIED", None]
     ids = continuation.prewarm_ids(spark.createDataFrame([("x", 1)], "id string, rank int"), spark.createDataFrame([("x", 9), ("y", 5), ("z", 7)], "id string, score int"), "id", "rank", "score", F.col("id") != "q", 2)
     assert [r.id for r in ids.collect()] == ["x", "z"]
+
+
+def test_parsing_tasks_are_of_bounded_rows(spark, tmp_path):
+    """One file of many rows is dealt into tasks that do not grow with it; no row is lost."""
+    from pyspark.sql import functions as F
+
+    from sievegrid.plans import notices as plan
+
+    spark.range(400_000).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    sizes = [r["count"] for r in plan._rows(spark, str(tmp_path), "orders").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) <= plan.TASK_ROWS * 1.05
