@@ -49,7 +49,7 @@ def contains_either(a: Column, b: Column, least: int = 1) -> Column:
 def keyword_matches(rows: DataFrame, text: str, keywords: DataFrame, word: str) -> DataFrame:
     """rows joined with each keyword that their text contains, in any case; up to three ASCII letters or digits must stand alone.
 
-    Texts and keywords meet on a character gram, so the rule is the same for lists of any length.
+    Texts and keywords meet on a run of bytes, so the rule is the same for lists of any length.
     """
     listed = keywords.withColumn("_word", F.lower(F.col(word))).where(~F.coalesce(F.trim("_word") == "", F.lit(True)))
     met = containing(rows.withColumn("_text", F.lower(F.col(text))), "_text", listed, "_word")

@@ -1,17 +1,22 @@
 """A customer's own lists against public records: capabilities by keyword, institutions by name, private points.
 
 Lists are matched by what texts contain. A keyword and the texts that may contain it meet on one of the
-keyword's character grams, so no pair of every text and every keyword is formed at any size.
+keyword's runs of bytes, so no pair of every text and every keyword is formed at any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievegrid.functions.text import any_term, let
+from sievegrid.functions.text import any_term
 from sievegrid.operators.scoring import private_points, relationship_points
 
 # Words too general to be a capability, short words that are one, and words that mean the same.
@@ -52,44 +57,84 @@ def keyword_terms(x: Column) -> Column:
     return F.when(specific_keyword(x), own).otherwise(F.array().cast("array<string>"))
 
 
-#: Buckets of the table that tells which grams are some word's, one byte each.
-GRAM_BUCKETS = 1 << 17
+#: Bytes of a gram at most, and bits of the table that tells which grams are some word's.
+GRAM, TABLE_BITS = 8, 20
+#: Bytes of texts looked at in one step, and bytes of texts in one batch that goes on.
+STEP_BYTES, OUT_BYTES = 1 << 18, 1 << 22
 
 
-def _grams(x: Column, n: int, keep=None) -> Column:
-    """Distinct runs of n characters of x, in time linear in x; keep: only those that it holds for."""
+def _with_grams(df: DataFrame, text: str, sizes: list[int] | None = None, tables: dict[int, bytes] | None = None) -> DataFrame:
+    """df once for each distinct run of n bytes of its UTF-8 text, with _n, the run as a number, and its place in the table of n.
 
-    def runs(chars: Column) -> Column:
-        each = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]) if n > 1 else c)
-        whole = F.filter(each, lambda g: g.isNotNull() if keep is None else g.isNotNull() & keep(g))
-        return F.array_distinct(whole)
-
-    return F.coalesce(let(F.regexp_extract_all(x, F.lit("(?s)(.)"), F.lit(1)), runs), F.array().cast("array<string>"))
-
-
-def containing(texts: DataFrame, text: str, words: DataFrame, word: str, gram: int = 3) -> DataFrame:
+    sizes: each n, with those runs only whose bit tables[n] has; by default GRAM, or a shorter text's whole length, and all runs.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("_n", T.IntegerType()), T.StructField("_gram", T.LongType()), T.StructField("_bit", T.LongType())])
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = {n: np.unpackbits(np.frombuffer(t, np.uint8), bitorder="little").view(bool) for n, t in (tables or {}).items()}
+        for batch in batches:
+            said = pc.fill_null(batch.column(at).cast(pa.large_binary()), b"")
+            ends = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + len(said) + 1]
+            start, stop = int(ends[0]), int(ends[-1])
+            data = np.frombuffer(said.buffers()[2] or b"", np.uint8)
+            size, ends = np.diff(ends), ends - start
+            found: list[np.ndarray] = []
+            for first in range(0, stop - start, STEP_BYTES):
+                there = min(STEP_BYTES, stop - start - first)
+                held = np.zeros(there + GRAM, np.uint8)
+                some = data[start + first : min(start + first + there + GRAM, stop)]
+                held[: len(some)] = some
+                eight = np.ndarray((there,), "<u8", held, strides=(1,)).copy()
+                rows = None if sizes else np.searchsorted(ends, np.arange(first, first + there), "right") - 1
+                for n in sizes or range(1, GRAM + 1):
+                    value = eight & np.uint64((1 << 8 * n) - 1)
+                    bit = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+                    place = np.flatnonzero(bits[n][bit]) if sizes else np.flatnonzero(np.minimum(size[rows], GRAM) == n)
+                    row = np.searchsorted(ends, place + first, "right") - 1
+                    inside = place + first + n <= ends[row + 1]
+                    row, place = row[inside], place[inside]
+                    found.append(np.stack([row, np.full(len(row), n), value[place].view(np.int64), bit[place].view(np.int64)]))
+                # Rows that end here are told; the last one may go on in the next step.
+                last = len(size) if first + there == stop - start else np.searchsorted(ends, first + there, "right") - 1
+                once = np.concatenate(found, axis=1)
+                once = once[:, np.lexsort(once[2::-1])]
+                once = once[:, np.append(True, np.any(np.diff(once[:3], axis=1) != 0, axis=0))[: once.shape[1]]]
+                cut = np.searchsorted(once[0], last)
+                found = [once[:, cut:]]
+                yield from taken(batch, once[:, :cut], size)
+
+    def taken(batch: pa.RecordBatch, once: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = np.cumsum(size[once[0]]) // OUT_BYTES
+        for row, n, gram, bit in np.split(once, np.flatnonzero(np.diff(part)) + 1, axis=1):
+            if len(row):
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(n, pa.int32()), pa.array(gram), pa.array(bit)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
     """texts joined with each row of words whose word the text contains; NULL and empty words match nothing.
 
-    A word is represented by the gram of it that fewest words share (its whole self if it is shorter),
-    which is the join key; the containment itself decides. A text leaves its scan only with the grams
-    that some word may have: a table of one byte for each of GRAM_BUCKETS hashes, the same at any
-    number of words, tells them.
+    A word is represented by the run of GRAM bytes of it that fewest words share (its whole self if it
+    is shorter), which is the join key; the containment itself decides. A text leaves its scan only
+    with the runs that some word may have: tables of 2^TABLE_BITS bits, the same at any number of
+    words, tell them. Texts are scanned as bytes in Arrow batches, in time linear in them.
     """
     listed = words.where(F.length(word) > 0)
-    spread = listed.select(F.col(word).alias("_w")).distinct().select("_w", F.explode(F.when(F.length("_w") < gram, F.array("_w")).otherwise(_grams(F.col("_w"), gram))).alias("_gram"))
-    shared = spread.groupBy("_gram").agg(F.count("*").alias("_n"))
-    chosen = spread.join(shared, "_gram").groupBy("_w").agg(F.min(F.struct("_n", "_gram")).alias("_c")).select(F.col("_w"), F.col("_c._gram").alias("_gram"))
-    keyed = listed.join(chosen, F.col(word) == F.col("_w")).drop("_w")
-    bucket = lambda g: F.xxhash64(g).bitwiseAND(F.lit(GRAM_BUCKETS - 1)).cast("int")
-    known = chosen.select(F.length("_gram").alias("n"), bucket(F.col("_gram")).alias("b")).distinct().collect()  # gram * GRAM_BUCKETS rows at most
+    spread = _with_grams(listed.select(F.col(word).alias("_w")).distinct(), "_w")
+    shared = spread.groupBy("_n", "_gram").agg(F.count("*").alias("_many"))
+    chosen = spread.join(shared, ["_n", "_gram"]).groupBy("_w").agg(F.min(F.struct("_many", "_n", "_gram", "_bit")).alias("_c")).select("_w", "_c._n", "_c._gram", "_c._bit")
+    bits = chosen.select("_n", (F.col("_bit") + 1).alias("b"))
+    known = bits.groupBy("_n", F.bitmap_bucket_number("b").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()  # GRAM tables at most
+    keyed = listed.join(chosen.drop("_bit"), F.col(word) == F.col("_w")).drop("_w")
     if not known:
-        return texts.join(keyed.drop("_gram"), F.lit(False))
-    table = bytearray(GRAM_BUCKETS)
+        return texts.join(keyed.drop("_n", "_gram"), F.lit(False))
+    tables = {r._n: bytearray((1 << TABLE_BITS) // 8) for r in known}
     for r in known:
-        table[r.b] = 1
-    some = lambda g: F.substring(F.lit(bytes(table)), bucket(g) + 1, F.lit(1)) == F.lit(b"\x01")
-    own = F.concat(*[_grams(F.col(text), n, some) for n in sorted({r.n for r in known})])
-    met = texts.withColumn("_gram", F.explode(own)).join(keyed, "_gram").drop("_gram")
+        tables[r._n][(r.part - 1) * len(r.bits) : r.part * len(r.bits)] = r.bits
+    own = _with_grams(texts, text, sorted(tables), {n: bytes(t) for n, t in tables.items()})
+    met = own.drop("_bit").join(keyed, ["_n", "_gram"]).drop("_n", "_gram")
     return met.where(F.contains(F.col(text), F.col(word)))
 
 

@@ -132,3 +132,19 @@ def test_sources(spark, tmp_path):
 @pytest.mark.parametrize("minute, want", [(689, 690), (1141, None)])
 def test_ticks(spark, minute, want):
     assert one(spark, ledger.next_tick(F.lit(minute))) == want
+
+
+def test_texts_are_scanned_as_bytes(spark, monkeypatch):
+    """No array of characters is made; runs that cross steps and batches of the scan are found, each pair once."""
+    import random
+
+    monkeypatch.setattr(profile, "STEP_BYTES", 61)
+    monkeypatch.setattr(profile, "OUT_BYTES", 97)
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("ab\0é中\U0001f600") for _ in range(n))
+    texts = [(i, made(rng.randrange(90))) for i in range(300)] + [(300, None), (301, "")]
+    words = sorted({made(rng.randrange(1, 7)) for _ in range(80)} | {texts[7][1], texts[8][1][3:30], "\0", "a\0", "a"} - {""})
+    t, w = spark.createDataFrame(texts, "i int, t string").repartition(3), spark.createDataFrame([(x,) for x in [*words, "", None]], "w string")
+    found = profile.containing(t, "t", w, "w")
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.i, r.w) for r in found.collect()) == sorted((i, x) for i, said in texts for x in words if said and x in said)
