@@ -151,9 +151,11 @@ def capability_matches(cards: DataFrame, key: str, text: Column, capabilities: D
     """
     raw = F.lower(text)
     texts = cards.select(key, raw.alias("_raw"), normalized(raw).alias("_text"))
-    terms = capabilities.select(*owner, keyword, kind, updated, F.explode(keyword_terms(F.col(keyword))).alias("_term"))
-    met = containing(texts, "_text", terms, "_term").where(term_found(F.col("_raw"), F.col("_text"), F.col("_term")))
-    once = met.select(key, *owner, keyword, kind, updated).distinct()
+    own = capabilities.select(*owner, keyword, kind, updated, keyword_terms(F.col(keyword)).alias("_terms")).where(F.size("_terms") > 0).distinct()
+    # A card meets groups of terms first, each once, whoever has them; owners come after.
+    groups = own.select("_terms").distinct().select("_terms", F.explode("_terms").alias("_term"))
+    met = containing(texts, "_text", groups, "_term").where(term_found(F.col("_raw"), F.col("_text"), F.col("_term"))).select(key, "_terms").distinct()
+    once = met.join(own, "_terms").drop("_terms")
     from sievegrid.operators.ranking import ranked_within
 
     return ranked_within(once, [key, *owner], [F.col(updated).desc(), F.col(keyword)], most, "place").drop(updated)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import text, times
 from sievegrid.operators import analytics, cards, ledger, merge, profile, ranking, scoring, validate
+from sievegrid.plans.notices import _rows
 from sievegrid.plans.tables import _events, _table
 
 #: 2001-07-15 08:00 in Shanghai.
@@ -157,7 +158,7 @@ def capability_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _table(spark, sf_dir, "supplier").withColumn("n", F.row_number().over(_by_key("s_suppkey")))
     words = F.element_at(F.array(*[F.lit(w) for w in ("Bolt", "red widget", "ct", "GEAR", "xx", "采购", "blue-ring", "large")]), (F.col("s_suppkey") % 8 + 1).cast("int"))
     own = s.select(F.col("s_nationkey").alias("owner"), words.alias("keyword"), F.col("s_acctbal").alias("updated"), F.lit("DIRECT").alias("kind")).groupBy("owner", "keyword", "kind").agg(F.max("updated").alias("updated"))
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    parts = _rows(spark, sf_dir, "part").select("p_partkey", "p_name")
     return profile.capability_matches(parts, "p_partkey", F.col("p_name"), own, ["owner"], "keyword", "kind", "updated", 2).select("p_partkey", "owner", "keyword", "place")
 
 

@@ -134,6 +134,20 @@ def test_ticks(spark, minute, want):
     assert one(spark, ledger.next_tick(F.lit(minute))) == want
 
 
+def test_cards_meet_terms_before_owners(spark):
+    """One row a card and group of terms is told apart, not one for each owner."""
+    from sievegrid.plans import cards
+
+    plan = cards.QUERIES["capability_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.split("\n") if "Aggregate [" in line and "p_partkey" in line]
+    assert grouped and not any("owner" in line for line in grouped)
+    # Owners of one keyword, a keyword by two of its group's terms, two spellings of one keyword.
+    texts = spark.createDataFrame([(1, "CT机 计算机断层扫描 one"), (2, "act")], "id int, t string")
+    own = spark.createDataFrame([("a", "ct", "k", 1), ("a", "CT", "k", 2), ("b", "ct", "k", 1), ("b", "ct", "k", 1), ("b", None, "k", 1)], "owner string, word string, kind string, at int")
+    got = profile.capability_matches(texts, "id", F.col("t"), own, ["owner"], "word", "kind", "at", 12).collect()
+    assert sorted((r.id, r.owner, r.word, r.place) for r in got) == [(1, "a", "CT", 1), (1, "a", "ct", 2), (1, "b", "ct", 1)]
+
+
 def test_texts_are_scanned_as_bytes(spark, monkeypatch):
     """No array of characters is made; runs that cross steps and batches of the scan are found, each pair once."""
     import random
