@@ -26,7 +26,12 @@ def canonical_hash(x: Column) -> Column:
 
 def value_at(x: Column, *keys: str) -> Column:
     """The Variant below these keys; NULL if one is missing or stands in no object."""
-    return F.try_variant_get(F.try_parse_json(x), "$" + "".join(f"['{k}']" for k in keys), "variant")
+    return value_of(F.try_parse_json(x), *keys)
+
+
+def value_of(v: Column, *keys: str) -> Column:
+    """value_at of a Variant, as the other functions in _of: a payload whose parts are asked for one by one is parsed once."""
+    return F.try_variant_get(v, "$" + "".join(f"['{k}']" for k in keys), "variant")
 
 
 def bounded(v: Column, depth: int = DEPTH, most: int = MOST, text: int = TEXT) -> Column:
@@ -58,10 +63,21 @@ def _bounded(x: Column, depth: int, most: int, text: int) -> Column:
 
 def changed_keys(before: Column, after: Column) -> Column:
     """Sorted keys of two payloads' objects whose values differ, missing ones as NULL; a payload that is no object has none."""
-    fields = lambda x: F.coalesce(F.try_variant_get(F.try_parse_json(x), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    shown = lambda m, k: F.coalesce(F.to_json(F.try_element_at(m, k)), F.lit("null"))
-    both = F.struct(fields(before).alias("a"), fields(after).alias("b"))
-    return let(both, lambda p: F.filter(F.array_sort(F.array_union(F.map_keys(p["a"]), F.map_keys(p["b"]))), lambda k: shown(p["a"], k) != shown(p["b"], k)))
+    return changed_fields(fields_of(F.try_parse_json(before)), fields_of(F.try_parse_json(after)))
+
+
+def fields_of(v: Column) -> Column:
+    """The fields of a Variant's object as JSON, by key; none of what is no object."""
+    fields = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.transform_values(fields, lambda _, x: F.coalesce(F.to_json(x), F.lit("null")))
+
+
+def changed_fields(before: Column, after: Column) -> Column:
+    """Sorted keys of two payloads' fields_of whose values differ, missing ones as NULL; a NULL payload has none."""
+    none = F.create_map().cast("map<string,string>")
+    both = F.struct(F.coalesce(before, none).alias("a"), F.coalesce(after, none).alias("b"))
+    shown = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit("null"))
+    return let(both, lambda p: F.sort_array(F.filter(F.array_union(F.map_keys(p["a"]), F.map_keys(p["b"])), lambda k: shown(p["a"], k) != shown(p["b"], k))))
 
 
 def all_keys(x: Column) -> Column:
@@ -69,10 +85,19 @@ def all_keys(x: Column) -> Column:
 
     In compact JSON only a key has a brace or comma before its quotes and a colon after them.
     """
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(canonical(x), F.lit(r'[{,]"((?:[^"\\]|\\.)*)":'), F.lit(1))))
+    return _keys(canonical(x))
+
+
+def _keys(compact: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(compact, F.lit(r'[{,]"((?:[^"\\]|\\.)*)":'), F.lit(1))))
 
 
 def forbidden_keys(x: Column, names: list[str], prefixes: list[str] = []) -> Column:
     """Keys at any depth that are forbidden, in any case, or begin as forbidden ones do."""
+    return forbidden_of(canonical(x), names, prefixes)
+
+
+def forbidden_of(compact: Column, names: list[str], prefixes: list[str] = []) -> Column:
+    """forbidden_keys of a payload in canonical form."""
     pattern = f"(?i)^(?:(?:{any_term(names)})$" + (f"|(?:{any_term(prefixes)})" if prefixes else "") + ")"
-    return F.filter(all_keys(x), lambda k: k.rlike(pattern))
+    return F.filter(_keys(compact), lambda k: k.rlike(pattern))

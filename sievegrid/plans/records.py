@@ -19,10 +19,12 @@ def payload_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     said = F.concat(F.lit('{ "type": "'), "event_type", F.lit('", "facts": {"z": '), "props", F.lit(', "list": [1, {"y": null, "session_id": "'), "event_type", F.lit('"}]}, "n": '), F.floor("value").cast("string"), F.lit("}"))
     by = Window.partitionBy("user_id").orderBy("at_s", "event_id")
-    rows = e.select("event_id", "user_id", "at_s", said.alias("p")).withColumn("before", F.lag("p").over(by))
+    # Each payload is parsed once, after the shuffle: few files may hold many events.
+    rows = e.repartition("user_id").select("event_id", "user_id", "at_s", F.try_parse_json(said).alias("v"))
+    rows = rows.select("*", F.to_json("v").alias("p"), payload.fields_of(F.col("v")).alias("fields")).withColumn("before", F.lag("fields").over(by))
     return rows.select(
-        "event_id", payload.canonical_hash(F.col("p")).alias("mark"), F.to_json(payload.value_at(F.col("p"), "facts", "z")).alias("z"), F.array_join(payload.changed_keys(F.col("before"), F.col("p")), ",").alias("changed"),
-        F.array_join(payload.forbidden_keys(F.col("p"), ["user_id"], ["session"]), ",").alias("forbidden"), F.sha2(F.to_json(payload.bounded(F.try_parse_json("p"), 2, 30, 3)), 256).alias("shown"),
+        "event_id", F.sha2("p", 256).alias("mark"), F.to_json(payload.value_of(F.col("v"), "facts", "z")).alias("z"), F.array_join(payload.changed_fields(F.col("before"), F.col("fields")), ",").alias("changed"),
+        F.array_join(payload.forbidden_of(F.col("p"), ["user_id"], ["session"]), ",").alias("forbidden"), F.sha2(F.to_json(payload.bounded(F.col("v"), 2, 30, 3)), 256).alias("shown"),
     )
 
 

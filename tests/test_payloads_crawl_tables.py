@@ -153,3 +153,17 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     t = KeyedTable(spark, root, ["k"], "k string, n int")
     assert t.version() == 9 and len(faults) == 1 and len(done) == 1
     assert {r.k for r in t.read().collect()} == {f"{w}{i}" for w in (1, 2) for i in range(4)} | {"both", "as_of"}
+
+
+def test_payloads_are_parsed_once(spark):
+    """Hash, value, changed and forbidden keys and the public form of an event share one parse; parts agree with the functions of whole texts."""
+    from sievegrid.plans import records
+
+    plan = records.QUERIES["payload_projection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1
+    df = spark.createDataFrame([('{"b": 1, "a": {"A1": null}}', '{"a": {"A1": 0}, "c": null}'), (None, '{"z": "1"}'), ("[1]", "x")], "x string, y string")
+    x, y = F.col("x"), F.col("y")
+    v, w = F.try_parse_json(x), F.try_parse_json(y)
+    rows = df.select(payload.changed_keys(x, y).alias("a"), payload.changed_fields(payload.fields_of(v), payload.fields_of(w)).alias("b"), payload.changed_fields(F.lit(None).cast("map<string,string>"), payload.fields_of(w)).alias("c"), payload.forbidden_of(payload.canonical(x), ["a1"]).alias("f"))
+    got = [tuple(r) for r in rows.collect()]
+    assert got == [(["a", "b"], ["a", "b"], ["a"], ["A1"]), (["z"], ["z"], ["z"], None), ([], [], [], [])]
