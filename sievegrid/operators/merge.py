@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from sievegrid.operators.components import components
 
+#: Rows of a table of linked numbers (two longs each) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
@@ -84,10 +87,13 @@ def merge_by_two_keys(df: DataFrame, group: str, order: str, id_col: str, number
     named = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit("id"), F.col(id_col)))
     numbered = F.when(F.col(number_col).isNotNull(), F.xxhash64(F.lit("number"), F.col(group), F.col(number_col)))
     keyed = df.withColumn(key, named).withColumn(node, F.coalesce(numbered, F.col(key), F.xxhash64(F.lit("row"), F.col(order))))
-    pairs = keyed.where(F.col(key).isNotNull()).select(key, node).distinct()
-    hubs = pairs.groupBy(key).agg(F.min(node).alias("a"), F.max(node).alias("b")).where("a <> b").select(key, "a")
-    links = pairs.join(hubs, key).where(F.col("a") != F.col(node)).select("a", F.col(node).alias("b")).distinct()
-    placed = keyed.drop(key).join(components(links).select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+    # An id's numbers come in order, so its least one is at hand at each of them: one shuffle of two longs a row.
+    least = F.min(node).over(Window.partitionBy(key).orderBy(node))
+    links = keyed.where(F.col(key).isNotNull()).select(key, node).withColumn("a", least).where(F.col("a") != F.col(node)).select("a", F.col(node).alias("b")).distinct()
+    roots = components(links).select(F.col("node").alias(node), F.col("root").alias(root))
+    # Whole rows move once, to their root, while the linked numbers are few enough to come to the rows.
+    few = roots.count() <= BROADCAST_ROWS
+    placed = keyed.drop(key).join(F.broadcast(roots) if few else roots, node, "left").withColumn(root, F.coalesce(root, node))
     sorted_ = placed.select(*df.columns, root).repartition(root).sortWithinPartitions(root, order)
     columns = [group, order, id_col, number_col, root]
 

@@ -207,3 +207,18 @@ def test_validation(spark):
     outputs = spark.createDataFrame([(1, None), (1, None), (2, None), (3, "UNGROUNDED"), (4, "INVALID")], "id int, g string")
     m = analytics.discovery_metrics(outputs, spark.createDataFrame([(1,), (9,)], "id int"), "id", "g").first()
     assert (m.candidates, m.hits, m.novel, m.recall, m.grounding, m.format_valid, m.score) == (2, 1, 1, 0.5, 0.8, 0.6, 56.5)
+
+
+def test_merged_rows_move_once(spark, monkeypatch):
+    """Whole rows are joined with few linked numbers by broadcast; many linked ones are shuffled, with the same result."""
+    rows = [("m", i, f"i{i * 7 % 60}" if i % 5 else None, f"n{i * 11 % 90}" if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "market string, seq int, id string, number string")
+    merged = lambda: merge.merge_by_two_keys(df, "market", "seq", "id", "number")
+    few = merged()
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1 and plan.count("RepartitionByExpression") == 1
+    alone = lambda x, i: x or f"null {i}"  # noqa: E731  NULL matches nothing
+    want = plain_merge([(i, alone(name, i), alone(number, i)) for _, i, name, number in rows])
+    assert sorted((r.seq, alone(r.id, r.seq), alone(r.number, r.seq)) for r in few.collect()) == want
+    monkeypatch.setattr(merge, "BROADCAST_ROWS", 0)
+    assert sorted((r.seq, alone(r.id, r.seq), alone(r.number, r.seq)) for r in merged().collect()) == want
