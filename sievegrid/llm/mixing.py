@@ -6,9 +6,11 @@ and a document is sampled with probability c * factor, where c makes the largest
 be taken (or meets a smaller token budget). So no probability is ever cut at one, and expected
 token shares equal the fitted ones. The draw is a hash of the document's id: the same every time.
 
-Every step is a grouped sum over the table of cells, folded in each task before it is shuffled, and
-leaves a written table of one multiplier a value, at any number of values; rounds end when no
-multiplier moves any more, or after ``rounds``. Documents meet the multipliers by broadcast joins
+A text is measured once, and what it measures is written beside its row. Every step of the fit is a
+grouped sum over the table of cells. While that has few rows (``FEW_CELLS``, whatever the number of
+documents) the steps are sums on the driver, as thousands of small jobs would cost its memory; else
+each is folded in tasks before it is shuffled, and leaves a written table of one multiplier a value, at
+any number of values. Rounds end when no multiplier moves any more, or after ``rounds``. Documents meet the multipliers by broadcast joins
 while those tables are few rows (``broadcast_rows``), else by joins whose skewed sides Spark splits.
 
 A topic is any column expression. Tables without one can be told apart by ``genre``: surface marks
@@ -42,6 +44,8 @@ TEMPER = 0.7
 SETTLED = 1e-10
 #: Rows of a table of multipliers that may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Cells that are fitted on the driver; more are fitted by jobs.
+FEW_CELLS = 10_000
 
 Targets = dict[str, dict[str, float]]
 
@@ -131,8 +135,49 @@ def target_tokens(cells: DataFrame, d: str, targets: Targets | None, temper: flo
     return shared.crossJoin(whole).select("value", (F.when(F.col("shares") > 0, F.col("share") / F.col("shares")).otherwise(0.0) * F.col("total")).alias("target"))  # one row beside
 
 
+def _fit_few(rows: list[tuple], dims: list[str], targets: Targets | None, rounds: int) -> dict[str, dict[str, float]]:
+    """The steps of fit over rows (a value of each dimension, then w): multipliers by dimension and value."""
+    at = range(len(dims))
+    aims: list[dict[str, float]] = []
+    for k, d in enumerate(dims):
+        own: dict[str, float] = {}
+        for row in rows:
+            own[row[k]] = own.get(row[k], 0.0) + row[-1]
+        if targets is None:
+            share = {v: w**TEMPER for v, w in own.items()}
+        else:
+            listed = targets[d] if OTHER in targets[d] else targets[d] | {OTHER: max(0.0, 1.0 - sum(targets[d].values()))}
+            share = {v: float(listed[v]) for v in own}
+        shares, total = sum(share.values()), sum(own.values())
+        aims.append({v: s / shares * total if shares > 0 else 0.0 for v, s in share.items()})
+    found = [dict.fromkeys(a, 1.0) for a in aims]
+    for _ in range(rounds):
+        moved = 0.0
+        for k in at:
+            have = dict.fromkeys(aims[k], 0.0)
+            others = [o for o in at if o != k]
+            for row in rows:
+                weight = row[-1]
+                for o in others:
+                    weight *= found[o][row[o]]
+                have[row[k]] += weight
+            for v, n in have.items():
+                f = aims[k][v] / n if n > 0 else 0.0
+                moved = max(moved, abs(f - found[k][v]) / max(f, 1e-300))
+                found[k][v] = f
+        if moved <= SETTLED:
+            break
+    return dict(zip(dims, found, strict=True))
+
+
 def fit(cells: DataFrame, dims: list[str], targets: Targets | None = None, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> dict[str, DataFrame]:
-    """For each dimension a written table (value, f) of multipliers, to be broadcast where it has few rows."""
+    """For each dimension a table (value, f) of multipliers, to be broadcast where it has few rows."""
+    most = min(FEW_CELLS, broadcast_rows)
+    few = cells.select(*dims, "w").limit(most + 1).collect()  # grouped sums, so many rows at most
+    if len(few) <= most:
+        # In order, so that sums are the same each time.
+        fitted = _fit_few(sorted(map(tuple, few)), dims, targets, rounds)
+        return {d: F.broadcast(cells.sparkSession.createDataFrame(sorted(f.items()), "value string, f double")) for d, f in fitted.items()}
     aims = {d: materialise(target_tokens(cells, d, targets), "targets") for d in dims}
     # A dimension's table has the same values in every round, so its size is checked once.
     sized = {d: F.broadcast if aims[d].count() <= broadcast_rows else (lambda df: df) for d in dims}
@@ -172,31 +217,32 @@ def scale(cells: DataFrame, found: dict[str, DataFrame], budget: float | None =
     return min(1.0 if budget is None else float(budget), 1.0 / largest) if largest > 0 else 0.0
 
 
+def _drawn(df: DataFrame, targets: Targets | None, id_col: str, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, budget: float | None = None, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(whole, topic, n_tokens, probability, sampled) of every row of df, whole is the row."""
+    values = {"source": named(source_col), "lang": named(lang_col), "topic": genre(named(text_col)) if topic is None else topic}
+    rows = df.select(F.struct(*all_of(df)).alias("whole"), values["topic"].alias("topic"), n_tokens(named(text_col)).alias("n_tokens"), *[_value(v, d, targets).alias(f"v_{d}") for d, v in values.items()])
+    rows = materialise(rows, "measured")
+    cells = materialise(cell_weights(rows.select(*[F.col(f"v_{d}").alias(d) for d in values], "n_tokens"), list(values), targets), "cells")
+    found = fit(cells, list(values), targets, rounds, broadcast_rows)
+    p = F.lit(scale(cells, found, budget))
+    for d, table in found.items():
+        rows = rows.join(table.select(F.col("value").alias(f"v_{d}"), F.col("f").alias(f"f_{d}")), f"v_{d}", "left")
+        p = p * F.coalesce(f"f_{d}", F.lit(0.0))
+    p = F.least(F.lit(1.0), p)
+    return rows.select("whole", "topic", "n_tokens", p.alias("probability"), (uniform(F.col("whole")[id_col]) < p).alias("sampled"))
+
+
 def mix(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, budget: float | None = None, rounds: int = ROUNDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with n_tokens, topic, probability and sampled.
 
     targets: for "source", "lang" and "topic" the target share of each value; by default tempered
     natural shares of all values. topic: a column expression; by default genre of the text.
     """
-    df = df.drop(*({"n_tokens", "topic", "probability", "sampled"} - {id_col, text_col, source_col, lang_col}) if topic is None else ())
-    subject = genre(named(text_col)) if topic is None else topic
-    values = {"source": named(source_col), "lang": named(lang_col), "topic": subject}
-    measured = df.select(*[v.alias(d) for d, v in values.items()], n_tokens(named(text_col)).alias("n_tokens"))
-    cells = materialise(cell_weights(measured, list(values), targets), "cells")
-    found = fit(cells, list(values), targets, rounds, broadcast_rows)
-    c = scale(cells, found, budget)
-    whole, s = fresh(df, "whole_row"), fresh(df, "subject")
-    rows = df.select(F.struct(*all_of(df)).alias(whole), subject.alias(s), n_tokens(named(text_col)).alias("n_tokens"), *[_value(v, d, targets).alias(f"v_{d}") for d, v in values.items()])
-    p = F.lit(c)
-    for d, table in found.items():
-        rows = rows.join(table.select(F.col("value").alias(f"v_{d}"), F.col("f").alias(f"f_{d}")), f"v_{d}", "left")
-        p = p * F.coalesce(f"f_{d}", F.lit(0.0))
-    made = {"topic": F.col(s), "n_tokens": F.col("n_tokens"), "probability": F.least(F.lit(1.0), p), "sampled": uniform(F.col(whole)[id_col]) < F.least(F.lit(1.0), p)}
-    kept = [F.col(whole)[c_].alias(c_) for c_ in df.columns if c_.lower() not in made]
-    return rows.select(*kept, *[v.alias(k) for k, v in made.items()])
+    drawn = _drawn(df, targets, id_col, text_col, source_col, lang_col, topic, budget, rounds, broadcast_rows)
+    made = ("topic", "n_tokens", "probability", "sampled")
+    return drawn.select(*[F.col("whole")[c].alias(c) for c in df.columns if c.lower() not in made], *made)
 
 
 def sample(df: DataFrame, targets: Targets | None = None, id_col: str = "doc_id", **options) -> DataFrame:
     """The sampled rows of df, with the columns of df."""
-    mixed = mix(df.withColumn(keep := fresh(df, "kept_columns"), F.struct(*all_of(df))), targets, id_col, **options)
-    return mixed.where("sampled").select(f"{keep}.*")
+    return _drawn(df, targets, id_col, **options).where("sampled").select(*[F.col("whole")[c].alias(c) for c in df.columns])

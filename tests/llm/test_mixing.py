@@ -123,3 +123,22 @@ def test_query_tells_seeds_as_in_sql(spark):
     assert "seed" in columns
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in got)
     assert {lang for lang in {r.lang for r in got} if any(r.seed != "none" for r in got if r.lang == lang)} == {r.lang for r in got}
+
+
+def test_few_cells_are_fitted_on_the_driver_as_by_jobs(spark, monkeypatch):
+    """Both forms give the same multipliers; while there are few cells no round writes a table, and texts are measured once."""
+    rng = random.Random(11)
+    rows = [(f"s{rng.randrange(4)}", rng.choice(["en", "fr"]), rng.choice("abc"), float(rng.randrange(1, 99))) for _ in range(60)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, w double").groupBy("source", "lang", "topic").agg(F.sum("w").alias("w"))
+    written = []
+    monkeypatch.setattr(op, "materialise", lambda df, label, free=False, real=op.materialise: (written.append(label), real(df, label, free))[1])
+    for targets in (None, {"source": {"s0": 0.5, "s1": 0.2}, "lang": {"en": 1.0}, "topic": {"a": 0.4, "b": 0.6, "other": 0.0}}):
+        shown = cells if targets is None else cells.select(*[op._value(F.col(d), d, targets).alias(d) for d in targets], "w")
+        tables = [{d: dict(t.select("value", "f").collect()) for d, t in op.fit(shown, ["source", "lang", "topic"], targets, broadcast_rows=n).items()} for n in (op.BROADCAST_ROWS, 10)]
+        for d in tables[0]:
+            assert tables[0][d].keys() == tables[1][d].keys()
+            assert all(abs(f - tables[1][d][v]) <= 1e-9 * max(f, 1.0) for v, f in tables[0][d].items())
+    assert "multipliers" in written  # ten rows at most: by jobs
+    written.clear()
+    op.mix(spark.createDataFrame([(1, "a b", "s", "en"), (2, "c", "t", "fr")], "doc_id long, text string, source string, lang string")).collect()
+    assert written == ["measured", "cells"]
