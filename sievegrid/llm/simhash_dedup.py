@@ -33,8 +33,8 @@ SEED = 42
 BITS = 64
 #: Shingles whose bits are counted together.
 BLOCK = 1 << 16
-#: Wide fingerprints, to propose pairs far beyond DISTANCE: lanes of 64 bits, keys and the bits that each samples.
-LANES, KEYS, KEY_BITS = 4, 64, 20
+#: Wide fingerprints, to propose pairs far beyond DISTANCE: lanes of 64 bits, keys, the bits that each samples and the least hashes that stand beside those.
+LANES, KEYS, KEY_BITS, KEY_LEAST = 4, 48, 10, 2
 
 
 def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -96,12 +96,38 @@ def wide_prints(texts: list[bytes]) -> np.ndarray:
     return fingerprints_of([b" ".join(dict.fromkeys(t.lower().split())) for t in texts], 1, LANES)
 
 
-def sampled_keys(prints: np.ndarray, keys: int = KEYS, key_bits: int = KEY_BITS) -> np.ndarray:
-    """Of wide fingerprints (rows of lanes) so many keys each: the key's number, then the bits that it samples, places fixed once for all."""
-    places = np.stack([np.random.RandomState(SEED + k).permutation(prints.shape[1] * BITS)[:key_bits] for k in range(keys)])
+def set_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of lanes for each set of hashes: a bit is set if it is set in over half of them."""
+    out = np.empty((len(sets), LANES), np.uint64)
+    for i, hashes in enumerate(sets):
+        votes = np.zeros(BITS * LANES, np.int64)
+        for at in range(0, len(hashes), BLOCK):
+            wide = np.stack([_mixed(hashes[at : at + BLOCK], k) for k in range(LANES)], axis=1)
+            votes += np.unpackbits(wide.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS * LANES).sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")
+    return out
+
+
+#: Odd multipliers, each an order of all hashes of its own.
+_ORDERS = _mixed(np.arange(KEYS * KEY_LEAST, dtype=np.uint64) + np.uint64(SEED), 1) | np.uint64(1)
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of a set in each of the orders."""
+    block = 1 << 12
+    return np.min([(_ORDERS[:, None] * hashes[None, at : at + block]).min(axis=1) for at in range(0, len(hashes), block)], axis=0)
+
+
+def sampled_keys(prints: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Of wide fingerprints (rows of lanes) with their sets of hashes KEYS keys each, as 64-bit hashes: the key's number, the bits that it samples, places fixed once for all, and the set's least hashes in the key's own orders."""
+    places = np.stack([np.random.RandomState(SEED + k).permutation(prints.shape[1] * BITS)[:KEY_BITS] for k in range(KEYS)])
     bits = np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    read = bits[:, places.ravel()].reshape(len(prints), keys, key_bits) @ (1 << np.arange(key_bits, dtype=np.int32))
-    return read.astype(np.int32) | np.arange(keys, dtype=np.int32) << key_bits
+    read = bits[:, places.ravel()].reshape(len(prints), KEYS, KEY_BITS) @ (1 << np.arange(KEY_BITS, dtype=np.uint64))
+    keys = _mixed(read | np.arange(KEYS, dtype=np.uint64) << np.uint64(KEY_BITS), 1)
+    least = np.stack([_least(s) for s in sets]).reshape(len(sets), KEYS, KEY_LEAST)
+    for k in range(KEY_LEAST):
+        keys = _mixed(keys ^ least[:, :, k], 1)
+    return keys
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
