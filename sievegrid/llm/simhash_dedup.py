@@ -96,18 +96,6 @@ def wide_prints(texts: list[bytes]) -> np.ndarray:
     return fingerprints_of([b" ".join(dict.fromkeys(t.lower().split())) for t in texts], 1, LANES)
 
 
-def set_prints(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of lanes for each set of hashes: a bit is set if it is set in over half of them."""
-    out = np.empty((len(sets), LANES), np.uint64)
-    for i, hashes in enumerate(sets):
-        votes = np.zeros(BITS * LANES, np.int64)
-        for at in range(0, len(hashes), BLOCK):
-            wide = np.stack([_mixed(hashes[at : at + BLOCK], k) for k in range(LANES)], axis=1)
-            votes += np.unpackbits(wide.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS * LANES).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")
-    return out
-
-
 #: Odd multipliers, each an order of all hashes of its own.
 _ORDERS = _mixed(np.arange(KEYS * KEY_LEAST, dtype=np.uint64) + np.uint64(SEED), 1) | np.uint64(1)
 
@@ -119,7 +107,7 @@ def _least(hashes: np.ndarray) -> np.ndarray:
 
 
 def sampled_keys(prints: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Of wide fingerprints (rows of lanes) with their sets of hashes KEYS keys each, as 64-bit hashes: the key's number, the bits that it samples, places fixed once for all, and the set's least hashes in the key's own orders."""
+    """Of wide fingerprints (rows of lanes) with their sets of hashes KEYS keys each, as 64-bit hashes: the key's number, the bits that it samples, places fixed once for all, and the set's least hashes in the key's own orders. They propose pairs and may miss one: who needs all adds keys that miss none (``shingle_dedup.part_keys``)."""
     places = np.stack([np.random.RandomState(SEED + k).permutation(prints.shape[1] * BITS)[:KEY_BITS] for k in range(KEYS)])
     bits = np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
     read = bits[:, places.ravel()].reshape(len(prints), KEYS, KEY_BITS) @ (1 << np.arange(KEY_BITS, dtype=np.uint64))
