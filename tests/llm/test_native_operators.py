@@ -47,6 +47,33 @@ def test_lines(spark, options):
     assert line_dedup.dedup_lines(df.where("false"), **options).count() == 0
 
 
+def test_links_of_many_near_copies_are_counted_in_their_group(spark, monkeypatch):
+    """The pairs that are formed grow with the lines of a group, not with its links; every link is counted."""
+    rng = random.Random(17)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for k in range(240):
+        words = list(base)
+        for at in rng.sample(range(60), rng.randrange(5)):
+            words[at] = f"e{rng.randrange(40)}"
+        if k % 9 == 0:
+            rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    pairs = {}
+
+    def counted(df, label, free=False, real=line_dedup.materialise):
+        out = real(df, label, free)
+        if label.startswith("line-pairs"):
+            pairs[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    want, df = plain_lines(rows), spark.createDataFrame(rows, "doc_id long, text string")
+    shown = lambda found: sorted(((r.doc_id, r.n_lines, r.n_removed, r.n_links, r.kept_text) for r in found.collect()), key=str)
+    assert shown(line_dedup.dedup_lines(df)) == want
+    assert sum(r[3] for r in want) > 30_000 and 0 < sum(pairs.values()) < len(rows) * 20
+    assert shown(line_dedup.dedup_lines(df, block=20)) == want
+
+
 PLAIN = "die der und words that say nothing at all "
 TEXTS = {name: text for name, text, header in licences.templates() if not header}
 
